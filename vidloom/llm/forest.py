@@ -49,18 +49,18 @@ def _keyed(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "id bigint, k1 bigint, k2 bigint, v binary")
 
 
-def classes(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Members (``id``, ``k1``, ``k2``, each once) and classes of equal vectors.
+def classes(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (``id``, ``k1``, ``k2``, each once), classes of equal vectors, and a vector of each class.
 
-    A class has ``rep`` (its smallest id), ``n`` members, ``ids`` (the k + 1 smallest) and ``v``, one of its vectors.
+    A class has ``rep`` (its smallest id), ``k1``, ``k2``, ``n`` members and ``ids`` (the k + 1 smallest); the vectors
+    are ``k1``, ``k2``, ``v``. A vector is of 256 bytes, a member of 24: the vectors are shuffled once, by class, and
+    whatever needs them joins on the class, so that they stay where they are.
     """
     keyed = _keyed(vectors)
     members = scratch.table(keyed.select("id", "k1", "k2").distinct(), "members")
-    # A vector is of 256 bytes, a member of 24: the vectors are shuffled once, the members apart from them.
-    one = keyed.groupBy("k1", "k2").agg(F.first("v").alias("v"))
     facts = members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), InternalFunction.collect_top_k(F.col("id"), k + 1, True).alias("ids"))
-    facts = facts.select("k1", "k2", "n", F.array_sort("ids").alias("ids"))
-    return members, facts.join(one, ["k1", "k2"]).select(F.col("ids")[0].alias("rep"), "k1", "k2", "n", "ids", "v")
+    facts = facts.select("k1", "k2", "n", F.array_sort("ids").alias("ids")).withColumn("rep", F.col("ids")[0])
+    return members, scratch.table(facts, "classes"), keyed.groupBy("k1", "k2").agg(F.first("v").alias("v"))
 
 
 def _tree_rows(classes_df: DataFrame, h: np.ndarray, edges: list[np.ndarray], parts: int) -> DataFrame:
@@ -142,7 +142,8 @@ def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, tree
     scratch = scratch or Scratch(spark, "forest")
     vectors = A.valid_vectors(frames)
     rows = frames.count()
-    members, cls = classes(vectors, k, scratch)
+    members, facts, one = classes(vectors, k, scratch)
+    cls = facts.select("rep", "k1", "k2").join(one, ["k1", "k2"])
     parts = max(1, -(-rows // rows_per_part))
     h = A.planes(trees, BITS, A.DIMS, seed)
     sample = A.sample_vectors(vectors, rows, A.SAMPLE_ROWS) if parts > 1 else np.zeros((0, A.DIMS), np.float32)
@@ -150,18 +151,17 @@ def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, tree
     near = _tree_rows(cls, h, edges, parts).select("key", "rep", "q").mapInArrow(_ascend(window, k + 3, min_similarity - INT8_ERROR), "i bigint, j bigint")
     # A pair may come from both its ends and from several trees; its cosine is wanted once.
     near = near.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    full = cls.select("rep", "v")
+    ends = near.select(F.col("i").alias("rep")).unionAll(near.select("j")).distinct()
+    # Only vectors of classes with a candidate go on; they are found where the classes lie.
+    full = facts.select("rep", "k1", "k2").join(ends, "rep", "left_semi").join(one, ["k1", "k2"]).select("rep", "v")
     exact = near.join(full.withColumnRenamed("rep", "ri"), F.col("i") == F.col("ri")).select("i", "j", "v")
     exact = exact.join(full.select(F.col("rep").alias("rj"), F.col("v").alias("w")), F.col("j") == F.col("rj")).select("i", "j", "v", "w")
     pairs = scratch.table(_cosines(exact).where(F.col("s") >= min_similarity), "pairs")
-    return _expand(pairs, members, scratch, k)
+    return _expand(pairs, members, facts, scratch, k)
 
 
-def _expand(pairs: DataFrame, members: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """From pairs of classes to neighbours of members."""
-    # Which classes matter: those with a partner or with more than one member.
-    facts = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), InternalFunction.collect_top_k(F.col("id"), k + 1, True).alias("ids"))
-    facts = scratch.table(facts, "classes")
+def _expand(pairs: DataFrame, members: DataFrame, facts: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """From pairs of classes to neighbours of members. Classes without a partner and with one member have none."""
     sides = pairs.select(F.col("i").alias("c"), F.col("j").alias("d"), "s").unionAll(pairs.select("j", "i", "s"))
     best = sides.groupBy("c").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("d")).alias("d")), k, False).alias("near"))
     best = best.select("c", F.explode("near").alias("x")).select("c", (-F.col("x.d")).alias("d"), F.col("x.s").alias("s"))
