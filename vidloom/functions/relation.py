@@ -154,13 +154,13 @@ def normalized_ratio(value: Column | str) -> Column:
 def format_percent(value: Column | str) -> Column:
     v = _c(value).cast("double")
     ok = v.isNotNull() & ~F.isnan(v)
-    return F.when(ok, F.concat(F.format_string("%.1f", F.when(v <= 1, v * 100).otherwise(v)), F.lit("%"))).otherwise("-")
+    return F.when(ok, F.concat(F.format_number(F.when(v <= 1, v * 100).otherwise(v), 1), F.lit("%"))).otherwise("-")
 
 
 def format_score(value: Column | str) -> Column:
     v = _c(value).cast("double")
     ok = v.isNotNull() & ~F.isnan(v)
-    return F.when(ok, F.format_string("%.2f", F.when(v > 1, v / 100).otherwise(v))).otherwise("-")
+    return F.when(ok, F.format_number(F.when(v > 1, v / 100).otherwise(v), 2)).otherwise("-")
 
 
 def metric_percent(value: Column | str) -> Column:

@@ -136,7 +136,7 @@ def file_size(size: Column | str) -> Column:
     b = _c(size).cast("double")
     step = F.least(F.lit(4), F.floor(F.log2(b) / 10 + 1e-12)).cast("int")
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), step + 1)
-    number = F.regexp_replace(F.format_string("%.2f", b / F.pow(F.lit(1024.0), step)), r"\.?0+$", "")
+    number = F.regexp_replace(F.replace(F.format_number(b / F.pow(F.lit(1024.0), step), 2), F.lit(","), F.lit("")), r"\.?0+$", "")
     return F.when(b >= 1, F.concat_ws(" ", number, unit)).otherwise("0 B")
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .skew import null_safe_join
+
 #: Fixed value: tolerance in seconds of the coverage estimate.
 COVERAGE_TOLERANCE = 3.0
 
@@ -53,11 +55,7 @@ def offset_clusters(matches: DataFrame, keys: list[str], tolerance: float, digit
     fields = ", ".join(f"`{c}` {distinct.schema[c].dataType.simpleString()}" for c in [*keys, "offset"])
     folded = runs.repartition(*keys, "run").sortWithinPartitions(*keys, "run", "offset").mapInPandas(fold, f"{fields}, run bigint, part bigint")
     numbered = folded.withColumn("cluster", F.dense_rank().over(W.partitionBy(*keys).orderBy("run", "part")) - 1).drop("run", "part")
-    same = [m[c].eqNullSafe(numbered[c]) for c in [*keys, "offset"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return m.join(numbered, cond).select(*[m[c] for c in m.columns], numbered["cluster"])
+    return null_safe_join(m, numbered, [*keys, "offset"]).select(*m.columns, "cluster")
 
 
 def _clusters(clustered: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,17 +76,13 @@ def temporal_coverage(matches: DataFrame, keys: list[str], totals: str, toleranc
     """
     c = _clusters(offset_clusters(matches, keys, tolerance), keys)
     facts = matches.where("src_ts is not null and tgt_ts is not null and not isnan(src_ts) and not isnan(tgt_ts)").groupBy(*keys).agg(F.max(totals).alias("total"), F.count(F.lit(1)).alias("all"))
-    same = None
-    for k in keys:
-        cond = c[k].eqNullSafe(facts[k])
-        same = cond if same is None else same & cond
-    x = facts.join(c, same).select(*[facts[k] for k in keys], "total", "all", *[c[n] for n in ("cluster", "n", "frames", "source_start", "source_end", "target_start", "target_end", "avg_similarity")])
+    x = null_safe_join(facts, c.drop("offset_std"), keys)
     long_enough = (F.col("total") <= 3) | (F.greatest(F.col("source_end") - F.col("source_start"), F.col("target_end") - F.col("target_start")) >= 1.0)
     valid = (F.col("n") >= F.least(F.lit(3).cast("long"), F.col("all"), F.col("total").cast("long"))) & long_enough
     score = F.round(F.col("frames") * F.greatest(F.lit(0.0), F.col("avg_similarity")), 9)
-    best = x.groupBy(*keys).agg(F.max("total").alias("total"), F.max(F.when(valid & (score > 0), F.struct(score.alias("s"), (-F.col("cluster")).alias("c"), F.col("frames")))).alias("b"))
-    share = F.least(F.lit(1.0), F.col("b.frames") / F.col("total"))
-    return best.select(*keys, F.when(F.col("total") > 0, F.coalesce(share, F.lit(0.0))).otherwise(0.0).alias("coverage"))
+    best = x.groupBy(*keys).agg(F.max("total").alias("total"), F.max(F.when(valid & (score > 0), F.struct(score.alias("s"), (-F.col("cluster")).alias("c"), F.col("frames")))).alias("__best"))
+    share = F.least(F.lit(1.0), F.col("__best.frames") / F.col("total"))
+    return best.select(*keys, F.when((F.col("total") > 0) & F.col("__best").isNotNull(), share).otherwise(0.0).alias("coverage"))
 
 
 def segments(matches: DataFrame, keys: list[str], min_duration: float = 5.0, min_matches: int = 3, tolerance: float = 3.0, dedupe: bool = True) -> DataFrame:
@@ -124,20 +118,13 @@ def fixed_windows(matches: DataFrame, keys: list[str], size: float = 30.0, durat
     base = base.withColumn("last", F.when(F.col("last") <= F.col("first"), F.col("first") + size).otherwise(F.col("last")))
     n = F.ceil((F.col("last") - F.col("first")) / size).cast("long")
     spine = base.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    same = None
-    for k in keys:
-        cond = m[k].eqNullSafe(base[k])
-        same = cond if same is None else same & cond
-    placed = m.join(base, same).select(*[m[k] for k in keys], F.floor((m["src_ts"] - base["first"]) / size).alias("k"), m["tgt_ts"], m["sim"])
+    placed = null_safe_join(m.select(*keys, "src_ts", "tgt_ts", "sim"), base, keys).withColumn("k", F.floor((F.col("src_ts") - F.col("first")) / size))
     stats = placed.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"), F.avg("sim").alias("s"), F.min("tgt_ts").alias("lo"), F.max("tgt_ts").alias("hi"))
-    same = spine["k"] == stats["k"]
-    for k in keys:
-        same = same & spine[k].eqNullSafe(stats[k])
-    out = spine.join(stats, same, "left")
+    out = null_safe_join(spine, stats, [*keys, "k"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    count = F.coalesce(stats["n"], F.lit(0))
-    start = spine["first"] + spine["k"] * size
+    count = F.coalesce("n", F.lit(0))
+    start = F.col("first") + F.col("k") * size
     return out.select(
-        *[spine[k] for k in keys], spine["k"].alias("window"), start.alias("source_start"), (start + size).alias("source_end"), count.alias("matched_frame_count"),
-        F.least(F.lit(1.0), count / max(1, int(size))).alias("matched_frame_ratio"), zero(stats["s"]).alias("avg_similarity"), zero(stats["lo"]).alias("best_target_start"), zero(stats["hi"]).alias("best_target_end"),
+        *keys, F.col("k").alias("window"), start.alias("source_start"), (start + size).alias("source_end"), count.alias("matched_frame_count"),
+        F.least(F.lit(1.0), count / max(1, int(size))).alias("matched_frame_ratio"), zero("s").alias("avg_similarity"), zero("lo").alias("best_target_start"), zero("hi").alias("best_target_end"),
     )

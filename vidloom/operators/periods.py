@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .skew import null_safe_join
+
 
 def whole_ms(seconds: Column | str) -> Column:
     """Seconds as whole milliseconds; null for null, NaN and what doesn't fit a long."""
@@ -69,11 +71,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, shard
     ends = own.groupBy(*k, "shard").agg(F.max("e").alias("last"))
     ends = ends.withColumn("earlier", F.max("last").over(W.partitionBy(*k).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)))
     firsts = own.where(F.col("before").isNull())
-    same = [firsts[c].eqNullSafe(ends[c]) for c in [*k, "shard"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    firsts = firsts.join(ends, cond).select(*[firsts[c] for c in k], firsts["s"], ends["earlier"].alias("before"))
+    firsts = null_safe_join(firsts.select(*k, "shard", "s"), ends.select(*k, "shard", F.col("earlier").alias("before")), [*k, "shard"]).drop("shard")
     gaps = own.where(F.col("before").isNotNull()).select(*k, "s", "before").unionByName(firsts.where(F.col("before").isNotNull()))
     gaps = gaps.where(F.col("before") < F.col("s")).select(*k, F.lit("gap").alias("kind"), F.col("before").alias("start"), F.col("s").alias("end"))
     out = periods.select(*k, F.lit("period").alias("kind"), F.col("s").alias("start"), F.col("e").alias("end")).unionByName(gaps)

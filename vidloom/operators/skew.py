@@ -1,4 +1,4 @@
-"""Lookups that survive hot keys."""
+"""Joins: lookups that survive hot keys, and joins in which null keys are equal."""
 
 from __future__ import annotations
 
@@ -29,3 +29,13 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str
     cold = t.where(F.col("__w") * HOT_KEYS <= total)
     rest = df.join(hot.select("__k"), df[key] == F.col("__k"), "left_anti")
     return joined(df, hot).unionByName(joined(rest, cold))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """All columns of ``left`` and the others of ``right``; null keys are equal. Both sides may come from one frame."""
+    others = [c for c in right.columns if c not in keys]
+    r = right.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], *others)
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r{i}"))
+    return left.join(r, cond, how).drop(*[f"__r{i}" for i in range(len(keys))])

@@ -255,7 +255,7 @@ def _videos(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _durations(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "report_pairs").select(F.explode(F.array(F.struct(F.col("video_a_path").alias("path"), F.col("duration_a").alias("x")), F.struct(F.col("video_b_path"), F.col("duration_b")))).alias("s"))
+    p = read(spark, d, "report_pairs").select(F.explode(F.array(F.struct(F.col("video_a_path").alias("path"), F.col("duration_a").alias("x")), F.struct(F.col("video_b_path").alias("path"), F.col("duration_b").alias("x")))).alias("s"))
     x = F.col("s.x")
     good = F.when(x.isNotNull() & ~F.isnan(x) & (x > 0), x)
     p = p.select(T.normalize_path("s.path").alias("path"), good.alias("duration")).where("path is not null and path <> '-'")
@@ -288,7 +288,7 @@ def scan_sort(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def scan_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = scan.scan_summary(_videos(spark, d).where("not isnan(size_mb)"))
+    s = scan.scan_summary(_videos(spark, d).where("size_mb is not null and not isnan(size_mb)"))
     return s.select("videos", F.round("total_mb", 2).alias("total_mb"))
 
 
@@ -455,20 +455,20 @@ def delete_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_orientation(spark: SparkSession, d: str) -> DataFrame:
-    m = report.normalize_matches(read(spark, d, "frame_matches").where("not isnan(similarity)"), 0.6)
+    m = report.normalize_matches(read(spark, d, "frame_matches").where("similarity is not null and not isnan(similarity)"), 0.6)
     return m.select("match_id", "direction", "frame_a", "frame_b", "ts_a", r6("similarity")).distinct()
 
 
 @query
 def top240_matches(spark: SparkSession, d: str) -> DataFrame:
     """A top-k report: the matches that a report keeps of each pair and direction."""
-    m = read(spark, d, "frame_matches").where("not isnan(similarity)").select("match_id", "pair_id", "direction", R.normalized_ratio("similarity").alias("similarity")).distinct()
+    m = read(spark, d, "frame_matches").where("similarity is not null and not isnan(similarity)").select("match_id", "pair_id", "direction", R.normalized_ratio("similarity").alias("similarity")).distinct()
     return report.top_matches(m).select("match_id", "rank", "total")
 
 
 @query
 def dedupe_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = report.dedupe_windows(read(spark, d, "report_windows").where("not isnan(source_start) and not isnan(source_end)"))
+    w = report.dedupe_windows(read(spark, d, "report_windows").where("source_start is not null and source_end is not null and not isnan(source_start) and not isnan(source_end)"))
     return w.groupBy("direction").agg(F.count(F.lit(1)).alias("windows"))
 
 

@@ -37,7 +37,7 @@ REPORT = relation_case("a_in_b", "b_in_a", 0.75, "when a_in_b >= 0.8 and b_in_a
 LABELS = "frames_ as (select label video_id, row_number() over (partition by label order by vec_id) - 1 pos, embedding::double[] e from embeddings)"
 
 CLIPS = """shapes as (select * from (values ('v', 30, 0, 75), ('c', 60, 10, 30), ('n', 150, 0, 72)) t(letter, step, base, size)),
-frames_ as (select letter || printf('%06d', k) video_id, vec_id - base - k * step pos, (vec_id - base - k * step) * 0.5 ts, embedding::double[] e from (
+frames_ as (select letter || printf('%06d', k) video_id, vec_id - base - k * step pos, ((vec_id - base - k * step) * 0.5)::double ts, embedding::double[] e from (
   select s.*, e.*, unnest(range(greatest(0, ceil((vec_id - base - size + 1) / step)::bigint), floor((vec_id - base) / step)::bigint + 1)) k from embeddings e, shapes s where vec_id >= base))"""
 
 
@@ -228,11 +228,11 @@ SQL["monotone_progress"] = "with m as (select event_id, max(least(greatest(value
 SQL["log_tail"] = "select event_id from (select event_id, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn <= 20"
 
 SQL["weighted_progress"] = "with s as (select o_custkey, o_totalprice w, case o_orderstatus when 'F' then 100.0 when 'O' then 0.0 else 55.5 end p from orders) select o_custkey, round(sum(w::double * p::double) / sum(w), 2) progress from s group by 1"
-SQL["stage_replay"] = """with e as (select user_id task, ts, event_id, epoch_ms(ts) at, case event_type when 'view' then 'running' when 'click' then 'paused' when 'purchase' then 'completed' when 'error' then 'failed' else 'pending' end status, value from events),
+SQL["stage_replay"] = """with e as (select user_id task, ts, event_id, epoch_us(ts) // 1000 at_ms, case event_type when 'view' then 'running' when 'click' then 'paused' when 'purchase' then 'completed' when 'error' then 'failed' else 'pending' end status, value from events),
 b as (select *, coalesce(lag(status) over w, 'pending') before from e window w as (partition by task order by ts, event_id)),
-s as (select *, last_value(case when status = 'running' and before <> 'running' then at end ignore nulls) over (partition by task order by ts, event_id rows between unbounded preceding and current row) since from b)
+s as (select *, last_value(case when status = 'running' and before <> 'running' then at_ms end ignore nulls) over (partition by task order by ts, event_id rows between unbounded preceding and current row) since from b)
 select task, 'compare' stage, arg_max(status, (ts, event_id)) status, arg_max(case when status = 'completed' then 100.0 else round(least(100.0, greatest(0.0, value)), 2) end, (ts, event_id)) progress,
-  sum(case when status in ('paused', 'completed', 'failed') and before = 'running' then greatest(0, at - since) else 0 end)::bigint elapsed_ms from s group by task"""
+  sum(case when status in ('paused', 'completed', 'failed') and before = 'running' then greatest(0, at_ms - since) else 0 end)::bigint elapsed_ms from s group by task"""
 SQL["smallest_unused"] = "with u as (select distinct o_custkey, o_orderkey % 7 + 1 n from orders), g as (select c.o_custkey, g.n from (select distinct o_custkey from u) c, range(1, 9) g(n)) select g.o_custkey, min(g.n) unused from g left join u on u.o_custkey = g.o_custkey and u.n = g.n where u.n is null group by 1"
 
 KEYED = f"p as (select *, least(x, y) || '||' || greatest(x, y) pair_key from (select {norm_path('video_a_path')} x, {norm_path('video_b_path')} y, config_id, pair_id, completed_at, video_a_path, video_b_path from report_pairs))"
@@ -256,13 +256,13 @@ SQL["top240_matches"] = f"""with m as (select distinct match_id, pair_id, direct
 select match_id, rank::int as rank, total from (select match_id, row_number() over (partition by pair_id, direction order by s desc nulls last, match_id) as rank, count(*) over (partition by pair_id, direction) total from m) where rank <= 240"""
 SQL["dedupe_windows"] = "select direction, count(*) windows from (select distinct pair_id, direction, source_start, source_end from report_windows where not isnan(source_start) and not isnan(source_end)) group by 1"
 
-SQL["timeline_intervals"] = f"""with {EVENT_CLIPS}, pts as (select composition, s at from clips union select composition, e from clips), sp as (select *, lead(at) over (partition by composition order by at) nxt from pts)
-select sp.composition, at as start, nxt as "end", string_agg(clip::varchar, ',' order by track, clip) active from sp join clips c on c.composition = sp.composition and s <= (at + nxt) / 2 and (at + nxt) / 2 < e where nxt - at > 0.000001 group by 1, 2, 3"""
+SQL["timeline_intervals"] = f"""with {EVENT_CLIPS}, pts as (select composition, s pt from clips union select composition, e from clips), sp as (select *, lead(pt) over (partition by composition order by pt) nxt from pts)
+select sp.composition, pt as start, nxt as "end", string_agg(clip::varchar, ',' order by track, clip) active from sp join clips c on c.composition = sp.composition and s <= (pt + nxt) / 2 and (pt + nxt) / 2 < e where nxt - pt > 0.000001 group by 1, 2, 3"""
 SQL["active_at"] = f"with {EVENT_CLIPS} select track, clip, s as start from clips where s <= 2500.5 and 2500.5 < e"
 SQL["points_in_clips"] = f"with {EVENT_CLIPS} select p.clip point, c.clip from clips p join clips c on c.composition = p.composition and c.track = p.track and c.s <= p.s + 0.5 and p.s + 0.5 < c.e where p.o_orderpriority = '1-URGENT'"
 SQL["sequential_track_cursor"] = f"""with recursive {EVENT_CLIPS}, n as materialized (select *, row_number() over (partition by composition order by clip) rn, e - s d, case when o_orderpriority = '1-URGENT' then s end want from clips),
 w as (select composition, clip, rn, greatest(0.0, coalesce(want, 0.0)) st, d, greatest(0.0, greatest(0.0, coalesce(want, 0.0)) + d) cur from n where rn = 1 union all
-  select n.composition, n.clip, n.rn, coalesce(greatest(0.0, n.want), w.cur), n.d, greatest(w.cur, coalesce(greatest(0.0, n.want), w.cur) + n.d) from w join n on n.composition = w.composition and n.rn = w.rn + 1)
+  select n.composition, n.clip, n.rn, (case when n.want is null then w.cur else greatest(0.0, n.want) end), n.d, greatest(w.cur, (case when n.want is null then w.cur else greatest(0.0, n.want) end) + n.d) from w join n on n.composition = w.composition and n.rn = w.rn + 1)
 select composition track, clip, st::double as start, (st + d)::double as "end" from w"""
 SQL["track_neighbours"] = f"with {EVENT_CLIPS} select clip, lag(clip) over (partition by composition order by s, clip) previous, lead(clip) over (partition by composition order by s, clip) as \"next\" from clips"
 SQL["grid_cells"] = """with c as (select o_orderkey clip, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int i, (count(*) over (partition by o_custkey))::int n from orders),
@@ -275,8 +275,8 @@ SQL["ratio_normalise"] = f"""with {ONE_PAIR} select pair_id, {ratio("a")} a_in_b
   case when s is not null and not isnan(s) then printf('%.2f', case when s > 1 then s / 100 else s end) else '-' end score from one"""
 SQL["path_normalise"] = f"select distinct scan_id, {norm_path('video_path')} path, regexp_extract({norm_path('video_path')}, '[^/]*$') base from videos where video_path is not null"
 SQL["timecode_format"] = """with f as (select frame_id, max(ts) ts from frames group by 1), n as (select *, greatest(0, floor(ts))::bigint n from f)
-select frame_id, case when ts is null or isnan(ts) then '-' else lpad((n // 3600)::varchar, greatest(2, length((n // 3600)::varchar)), '0') || ':' || lpad((n % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n % 60)::varchar, 2, '0') end hhmmss,
-  case when n >= 3600 then lpad((n // 3600)::varchar, greatest(2, length((n // 3600)::varchar)), '0') || ':' || lpad((n % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n % 60)::varchar, 2, '0') else lpad((n // 60)::varchar, 2, '0') || ':' || lpad((n % 60)::varchar, 2, '0') end clock from n"""
+select frame_id, case when ts is null or isnan(ts) then '-' else lpad((n // 3600)::varchar, greatest(2, length((n // 3600)::varchar))::int, '0') || ':' || lpad((n % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n % 60)::varchar, 2, '0') end hhmmss,
+  case when ts is null then null when n >= 3600 then lpad((n // 3600)::varchar, greatest(2, length((n // 3600)::varchar))::int, '0') || ':' || lpad((n % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n % 60)::varchar, 2, '0') else lpad((n // 60)::varchar, 2, '0') || ':' || lpad((n % 60)::varchar, 2, '0') end clock from n"""
 SQL["size_format"] = """with x as (select distinct scan_id, size_bytes::double b from videos), y as (select *, case when b >= 1 then least(4, floor(log2(b) / 10 + 1e-12))::int end k from x)
 select distinct scan_id, case when b >= 1 then regexp_replace(printf('%.2f', b / pow(1024.0, k)), '\\.?0+$', '') || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][k + 1] else '0 B' end size from y"""
 F4 = "replace(regexp_replace(printf('%.4f', {0}::double), '\\.?0+$', ''), '.', 'p')"

@@ -9,8 +9,11 @@ executors, so a lost executor loses nothing. Only where the setting is absent
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +35,25 @@ def build_session(app: str = "vidloom", cores: int | str = "*", **conf: str) ->
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=base | conf).getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="vidloom-ship-")) / "vidloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, names in os.walk(home):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(Path(root) / n, Path("vidloom") / Path(root).relative_to(home) / n)
+    sc.addPyFile(str(target))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables, read from the session first."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""

@@ -12,12 +12,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.logs import MISSING, SEVERE, SUMMARY_EVERY, SUMMARY_FIRST
+from ..operators.logs import MISSING, SEVERE, SUMMARY_EVERY, SUMMARY_FIRST, SUMMARY_SEVERE
 from ..operators.sampling import keep_frame
 
+#: The state store that several state variables need.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _portable() -> None:
+    """Lets the processors travel by value: the driver's own Python worker has no access to shipped packages."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    from ..operators import sampling
+
+    for module in (sys.modules[__name__], sampling):
+        cloudpickle.register_pickle_by_value(module)
+
+
 class FrameSampler(StatefulProcessor):
     """Keeps a frame if it is the first, far enough from the last kept one, or unlike it."""
 
@@ -47,6 +60,7 @@ class FrameSampler(StatefulProcessor):
 
 def sample_stream(frames: DataFrame, video: str, index: str, bits: str, max_gap: str, skip: float = 0.90) -> DataFrame:
     """The kept rows of a stream of frames; the frames of a video must arrive in order of their index, batch by batch."""
+    _portable()
     rows = frames.where(f"{video} is not null and {index} is not null and {bits} is not null")
     return rows.groupBy(video).transformWithStateInPandas(FrameSampler(video, index, bits, max_gap, skip, rows.columns), rows.schema, "Append", "None")
 
@@ -84,14 +98,13 @@ class WarningCounter(StatefulProcessor):
 
 
 def _unreported(nal: int, missing: int, other: int) -> bool:
-    from ..operators.logs import SUMMARY_SEVERE
-
     total = nal + missing + other
     return not (total == SUMMARY_FIRST or total % SUMMARY_EVERY == 0) and (total >= SUMMARY_FIRST or nal + other >= SUMMARY_SEVERE)
 
 
 def warning_stream(lines: DataFrame, kind: str = "bigint") -> DataFrame:
     """Summaries of a stream of log lines: ``stream``, ``line_no``, ``marker`` (context, null for a warning line), ``line``."""
+    _portable()
     schema = f"stream {kind}, context string, kind string, invalid_nal bigint, missing_picture bigint, other bigint"
     return lines.groupBy("stream").transformWithStateInPandas(WarningCounter(), schema, "Append", "None")
 
@@ -128,4 +141,5 @@ class Heartbeat(StatefulProcessor):
 
 def heartbeat_stream(lines: DataFrame, stream: str = "stream", idle_ms: int = 15_000) -> DataFrame:
     """``stream``, ``rows`` so far, ``idle_ms`` whenever a stream was silent for ``idle_ms``."""
+    _portable()
     return lines.groupBy(stream).transformWithStateInPandas(Heartbeat(idle_ms), "stream string, rows bigint, idle_ms bigint", "Append", "ProcessingTime")
