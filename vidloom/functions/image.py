@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as St
 
 
 def grey(frame: np.ndarray) -> np.ndarray:
@@ -125,13 +126,13 @@ def _decode(data: bytes, height: int, width: int) -> np.ndarray:
     return a.reshape(height, width) if channels == 1 else a.reshape(height, width, channels)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(St.StringType())
 def phash_of(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     """Hash of raw pixels; null where there are none."""
     return pd.Series([phash(_decode(p, h, w)) if p is not None and h and w else None for p, h, w in zip(pixels, height, width)])
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(St.ArrayType(St.FloatType()))
 def embedding_of(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     """Deterministic 64-number feature vector of raw pixels: low cosine frequencies of the fitted frame, unit length."""
 

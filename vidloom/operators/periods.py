@@ -58,14 +58,19 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, shard
     covered = marks.withColumn("depth", F.sum("n").over(by)).withColumn("next", F.lead("at").over(by)).where(F.col("depth") > 0)
     covered = covered.select(*k, (F.col("at") * w).alias("s"), (F.col("next") * w).alias("e"))
 
+    # What lies inside a shard that a longer interval covers whole is part of that interval's period.
+    touched = local.select(*k, F.col("shard").alias("at")).distinct().withColumn("n", F.lit(None).cast("long"))
+    upto = W.partitionBy(*k).orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    depth = marks.unionByName(touched).withColumn("depth", F.sum("n").over(upto))
+    hidden = depth.where(F.col("n").isNull() & (F.col("depth") > 0)).select(*k, F.col("at").alias("shard"))
+    local = null_safe_join(local, hidden, [*k, "shard"], "left_anti")
+
     at_border = (F.col("s") == F.col("shard") * w) | (F.col("e") == (F.col("shard") + 1) * w)
     stitched = _islands(local.where(at_border).select(*k, "s", "e").unionByName(covered), k)
     periods = local.where(~at_border).select(*k, "s", "e").unionByName(stitched)
 
-    # Gaps: the period before, within the shard of the start, else the last one of an earlier shard. A shard that
-    # one period covers whole has none of its own left, as what lies inside it was clipped or stitched away.
+    # Gaps: the period before, within the shard of the start, else the last one of an earlier shard.
     own = periods.withColumn("shard", F.floor(F.col("s") / w).cast("long"))
-    # A stitched period may swallow local ones that begin in the same shard, but only those that touch it.
     inside = W.partitionBy(*k, "shard").orderBy("s")
     own = own.withColumn("before", F.max("e").over(inside.rowsBetween(W.unboundedPreceding, -1)))
     ends = own.groupBy(*k, "shard").agg(F.max("e").alias("last"))

@@ -121,7 +121,10 @@ def sort_scan(videos: DataFrame, by: str = "name", descending: bool = False) ->
         chosen = [F.col("width") * F.col("height"), F.col("width"), F.col("height")]
     else:
         chosen = keys[by]
-    first = [F.coalesce("readable", F.lit(False)).desc()] if by in ("duration", "fps", "resolution") else []
+    first = []
+    if by in ("duration", "fps", "resolution"):
+        first = [F.coalesce("readable", F.lit(False)).desc()]
+        chosen = [F.when(F.col("readable"), c) for c in chosen]
     return videos.orderBy(*first, *[turn(c) for c in chosen], T.natural_key("name"), T.natural_key("path"))
 
 

@@ -38,4 +38,5 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     cond = F.lit(True)
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"__r{i}"))
-    return left.join(r, cond, how).drop(*[f"__r{i}" for i in range(len(keys))])
+    joined = left.join(r, cond, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"__r{i}" for i in range(len(keys))])

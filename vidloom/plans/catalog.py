@@ -174,20 +174,20 @@ def offset_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query
 def matched_segments(spark: SparkSession, d: str) -> DataFrame:
     s = offsets.segments(_matches(spark, d), ["pair_id", "direction"], dedupe=False)
-    return s.select("pair_id", "direction", *[r6(c) for c in ("source_start", "source_end", "target_start", "target_end", "duration", "coverage", "avg_similarity", "confidence")], "match_count")
+    return s.select("pair_id", "direction", *[r6(c) for c in ("source_start", "source_end", "target_start", "target_end", "duration", "coverage")], F.round("avg_similarity", 9).alias("avg_similarity"), F.round("confidence", 9).alias("confidence"), "match_count")
 
 
 @query
 def segments_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Segments over the matches of both directions of a pair, mirror images once."""
     s = offsets.segments(_matches(spark, d), ["pair_id"])
-    return s.select("pair_id", *[r6(c) for c in ("source_start", "source_end", "target_start", "target_end", "confidence")], "match_count")
+    return s.select("pair_id", *[r6(c) for c in ("source_start", "source_end", "target_start", "target_end")], F.round("confidence", 9).alias("confidence"), "match_count")
 
 
 @query
 def window_similarity(spark: SparkSession, d: str) -> DataFrame:
     w = offsets.fixed_windows(_matches(spark, d).where("tgt_ts is not null"), ["pair_id", "direction"], 30.0)
-    return w.select("pair_id", "direction", "window", r6("source_start"), r6("source_end"), "matched_frame_count", r6("matched_frame_ratio"), r6("avg_similarity"), r6("best_target_start"), r6("best_target_end"))
+    return w.select("pair_id", "direction", "window", r6("source_start"), r6("source_end"), "matched_frame_count", r6("matched_frame_ratio"), F.round("avg_similarity", 9).alias("avg_similarity"), r6("best_target_start"), r6("best_target_end"))
 
 
 # Sampling --------------------------------------------------------------------------------------
@@ -316,8 +316,9 @@ def _log_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_validation(spark: SparkSession, d: str) -> DataFrame:
-    v = logs.validate_streams(_log_lines(spark, d), "strict")
-    return v.where("severe + missing > 0 or verdict is not null").select("video", "severe", "missing", F.col("verdict").isNotNull().alias("rejected"))
+    """Events as the error lines of each user's stream."""
+    v = logs.validate_streams(_event_lines(spark, d), "lenient", severe_limit=20, missing_limit=12, video="stream")
+    return v.select("video", "severe", "missing", F.col("verdict").isNotNull().alias("rejected"))
 
 
 @query

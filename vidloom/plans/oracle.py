@@ -177,17 +177,17 @@ select frame_id, 1 - bit_count(xor(h, b)) / 64.0::double similarity from p where
 SQL["temporal_coverage"] = f"with recursive {MATCHES}, {fold('pair_id, direction', 'matches')}, {coverage('pair_id, direction')} select pair_id, direction, round(coverage, 6) coverage from covered"
 SQL["offset_clusters"] = f"with recursive {MATCHES}, {fold('pair_id, direction', 'matches')} select match_id, cluster from clustered"
 SQL["matched_segments"] = f"""with recursive {MATCHES}, {fold("pair_id, direction", "matches")}, x as (select *, {SEGMENT} from clusters where n >= 3 and se - ss >= 5)
-select pair_id, direction, round(ss, 6) source_start, round(se, 6) source_end, round(ts, 6) target_start, round(te, 6) target_end, round(duration, 6) duration, round(coverage, 6) coverage, round(s, 6) avg_similarity, round(confidence, 6) confidence, n match_count from x"""
+select pair_id, direction, round(ss, 6) source_start, round(se, 6) source_end, round(ts, 6) target_start, round(te, 6) target_end, round(duration, 6) duration, round(coverage, 6) coverage, round(s, 9) avg_similarity, round(confidence, 9) confidence, n match_count from x"""
 SQL["segments_dedup"] = f"""with recursive {MATCHES}, {fold("pair_id", "matches")}, x as (select *, {SEGMENT} from clusters where n >= 3 and se - ss >= 5),
 y as (select *, row_number() over (partition by pair_id, least((ss, se), (ts, te)), greatest((ss, se), (ts, te)) order by round(confidence, 9) desc, cluster) rn from x)
-select pair_id, round(ss, 6) source_start, round(se, 6) source_end, round(ts, 6) target_start, round(te, 6) target_end, round(confidence, 6) confidence, n match_count from y where rn = 1"""
+select pair_id, round(ss, 6) source_start, round(se, 6) source_end, round(ts, 6) target_start, round(te, 6) target_end, round(confidence, 9) confidence, n match_count from y where rn = 1"""
 
 SQL["window_similarity"] = f"""with {MATCHES}, m as (select * from matches where src_ts is not null and not isnan(src_ts) and tgt_ts is not null),
 b as (select pair_id, direction, min(src_ts) f, case when max(src_ts) <= min(src_ts) then min(src_ts) + 30 else max(src_ts) end l from m group by 1, 2),
 spine as (select pair_id, direction, f, unnest(range(ceil((l - f) / 30)::bigint)) k from b),
 st as (select m.pair_id, m.direction, floor((src_ts - f) / 30)::bigint k, count(*) n, avg(sim) s, min(tgt_ts) lo, max(tgt_ts) hi from m join b on m.pair_id = b.pair_id and m.direction = b.direction group by 1, 2, 3)
 select s.pair_id, s.direction, s.k as "window", round(f + s.k * 30, 6) source_start, round(f + s.k * 30 + 30, 6) source_end, coalesce(n, 0) matched_frame_count, round(least(1.0, coalesce(n, 0) / 30), 6) matched_frame_ratio,
-  round(coalesce(t.s, 0), 6) avg_similarity, round(coalesce(lo, 0), 6) best_target_start, round(coalesce(hi, 0), 6) best_target_end from spine s left join st t on t.pair_id = s.pair_id and t.direction = s.direction and t.k = s.k"""
+  round(coalesce(t.s, 0), 9) avg_similarity, round(coalesce(lo, 0), 6) best_target_start, round(coalesce(hi, 0), 6) best_target_end from spine s left join st t on t.pair_id = s.pair_id and t.direction = s.direction and t.k = s.k"""
 
 SQL["dynamic_sampling"] = f"""with recursive {HASHED}, f as materialized (select *, row_number() over (partition by video order by frame_index, bits) rn from hashed),
 w as (select video, frame_index, bits, rn, true kept, frame_index li, bits lb from f where rn = 1 union all
@@ -215,12 +215,10 @@ SQL["report_catalogue"] = """with f as (select 'r' || o_custkey report_key, case
 select report_key, sum(s)::bigint size_bytes, max(t) modified_ms, string_agg(distinct ext, '+' order by ext) formats,
   '/reports/' || report_key || '.' || (case when bool_or(ext = 'json') then 'json' when bool_or(ext = 'csv') then 'csv' else 'html' end) path from f group by report_key"""
 
-SQL["stream_validation"] = f"""with {LINES}, k as (select video, line_no, case when {has("trim(line)", ("Error opening input", "Invalid data found when processing input", "moov atom not found", "does not contain any stream", "matches no streams"))} then 'f'
-  when {has("trim(line)", ("Invalid NAL unit size", "Error splitting the input into NAL units"))} then 's' when contains(line, 'missing picture in access unit') then 'm' else 'o' end kind from lines where trim(line) <> ''),
-r as (select *, sum((kind = 's')::int) over w s, sum((kind = 'm')::int) over w m from k window w as (partition by video order by line_no rows between unbounded preceding and current row)),
-e as (select video, min(line_no) filter (where kind = 'f' or s >= 5 or m >= 20) stop from r group by video),
-z as (select r.video, max(s) severe, max(m) missing, any_value(stop) is not null rejected from r join e using (video) where stop is null or line_no <= stop group by r.video)
-select * from z where severe + missing > 0 or rejected"""
+SQL["stream_validation"] = """with k as (select user_id video, row_number() over (partition by user_id order by ts, event_id) n, event_type from events),
+r as (select *, sum((event_type = 'error')::int) over w s, sum((event_type = 'view')::int) over w m from k window w as (partition by video order by n rows between unbounded preceding and current row)),
+e as (select video, min(n) filter (where s >= 20 or m >= 12) stop from r group by video)
+select r.video, max(s)::bigint severe, max(m)::bigint missing, any_value(stop) is not null rejected from r join e using (video) where stop is null or n <= stop group by r.video"""
 SQL["log_filter"] = f"with {LINES} select video, count(*) filter (where {HIDDEN}) hidden, count(*) filter (where {IMPORTANT}) important, count(*) filter (where {has('lower(line)', ('cannot open video', 'decoded no usable frames', 'no frames retained', 'error splitting the input', 'invalid nal unit', 'failed to decode', 'unable to decode', 'decord'))}) decode_failures from lines group by video"
 SQL["log_warning_summaries"] = f"""with {WARNINGS} select stream, episode, context, 'running' kind, invalid_nal, missing_picture, other, total from run where total = 100 or total % 1000 = 0
 union all select stream, episode, context, 'final', invalid_nal, missing_picture, other, total from run where nxt is null and not (total = 100 or total % 1000 = 0) and (total >= 100 or invalid_nal + other >= 20)"""
