@@ -21,13 +21,13 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str
     kept = [c for c in df.columns if c != key]
 
     def joined(rows: DataFrame, side: DataFrame) -> DataFrame:
-        return rows.join(side, rows[key] == side["__k"], "inner").select(*[rows[c] for c in kept], side["__v"].alias(out))
+        return rows.join(side, F.col(key) == F.col("__k"), "inner").select(*kept, F.col("__v").alias(out))
 
     if total <= small:
         return joined(df, t)
     hot = F.broadcast(t.where(F.col("__w") * HOT_KEYS > total))
     cold = t.where(F.col("__w") * HOT_KEYS <= total)
-    rest = df.join(hot.select("__k"), df[key] == F.col("__k"), "left_anti")
+    rest = df.join(hot.select("__k"), F.col(key) == F.col("__k"), "left_anti")
     return joined(df, hot).unionByName(joined(rest, cold))
 
 
