@@ -150,7 +150,7 @@ def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, tree
     edges = [A.borders(A.bit_strings(sample, t), parts) for t in h]
     near = _tree_rows(cls, h, edges, parts).select("key", "rep", "q").mapInArrow(_ascend(window, k + 3, min_similarity - INT8_ERROR), "i bigint, j bigint")
     # A pair may come from both its ends and from several trees; its cosine is wanted once.
-    near = near.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    near = scratch.table(near.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "near")
     ends = near.select(F.col("i").alias("rep")).unionAll(near.select("j")).distinct()
     # Only vectors of classes with a candidate go on; they are found where the classes lie.
     full = facts.select("rep", "k1", "k2").join(ends, "rep", "left_semi").join(one, ["k1", "k2"]).select("rep", "v")
