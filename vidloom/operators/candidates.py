@@ -2,8 +2,9 @@
 
 Every video asks with a bounded number of vectors (evenly spaced frames and pooled
 windows) for its nearest vectors among a bounded number per video, so the work
-depends on the number of videos, not of frames. Vectors meet as blocks, a matrix
-product per pair of blocks, and only the best of each block leave the task.
+depends on the number of videos, not of frames. ``exact`` compares every query with
+every vector, in blocks; ``forest`` looks at the neighbours in sorted arrays of hash
+strings, so that its work grows in proportion to the number of videos.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import sorted_arrays as A
 from .similarity import all_pairs, mean_vector
 
+#: Vectors up to which ``auto`` compares exactly.
+EXACT_VECTORS = 200_000
+
 
 def even_positions(counts: DataFrame, limit: int, video: str = "video_id", n: str = "n") -> DataFrame:
     """``video``, ``pos``: at most ``limit`` evenly spaced positions of each video, first and last included."""
@@ -47,30 +52,11 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.groupBy(b.alias("b")).agg(F.collect_list(F.struct("video_id", "item", "vector")).alias("items"))
 
 
-def candidate_pairs(
-    frames: DataFrame, limit: int, match_threshold: float, representatives: int = 64, index_frames: int = 2048, window_seconds: float = 30.0, max_windows: int = 96, block_videos: int = 64, digits: int = 6
-) -> DataFrame:
-    """``a``, ``b`` with ``a`` before ``b``: pairs of which one side is among the ``limit`` best targets of the other.
-
-    ``frames``: ``video_id``, ``frame_pos`` (0, 1, ... per video), ``ts``, ``embedding``. A limit of 0, or one that
-    leaves nothing to choose, gives all pairs. Ties go to the smaller video. Rows with null columns don't take part.
-    """
-    f = frames.select("video_id", F.col("frame_pos").cast("long").alias("frame_pos"), "ts", F.col("embedding").cast("array<double>").alias("embedding"))
-    f = f.where("video_id is not null and frame_pos is not null and size(embedding) > 0")
-    videos = f.select("video_id").distinct()
-    n = videos.count()
-    if n < 2 or limit <= 0 or limit >= n - 1:
-        return all_pairs(videos)
-    frame_item = F.concat(F.lit("f"), F.col("frame_pos").cast("string")).alias("item")
-    windows = window_vectors(f, window_seconds, max(1, max_windows))
-    ask = even_sample(f, max(4, representatives)).select("video_id", frame_item, F.col("embedding").alias("vector")).unionByName(windows)
-    index = even_sample(f, max(representatives, index_frames)).select("video_id", frame_item, F.col("embedding").alias("vector")).unionByName(windows)
-    coarse = max(0.35, min(0.90, match_threshold - 0.16))
-    k = max(128, limit * 16)
-    blocks = max(1, -(-n // block_videos))
+def _exact_nearest(ask: DataFrame, index: DataFrame, k: int, blocks: int, digits: int) -> DataFrame:
+    """``src``, ``query``, ``tgt``, ``tie``, ``sim``: the best ``k`` vectors of each block for every query."""
     left = _blocks(ask, blocks).select(F.col("items").alias("q"))
     right = _blocks(index, blocks).select(F.col("items").alias("x"))
-    kind = f.schema["video_id"].dataType.simpleString()
+    kind = ask.schema["video_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def unit(items: list) -> np.ndarray:
@@ -89,7 +75,82 @@ def candidate_pairs(
                     yield pd.DataFrame({"src": [item["video_id"]] * len(c), "query": item["item"], "tgt": owners[c], "tie": tie[c], "sim": s[r, c]})
 
     # Blocks of a stated, bounded set of vectors against blocks of another one.
-    near = left.crossJoin(right).mapInPandas(run, f"src {kind}, query string, tgt {kind}, tie string, sim double")
+    return left.crossJoin(right).mapInPandas(run, f"src {kind}, query string, tgt {kind}, tie string, sim double")
+
+
+def _forest_nearest(ask: DataFrame, index: DataFrame, k: int, trees: int, window: int, digits: int, rows_per_part: int = 60_000, seed: int = 23) -> DataFrame:
+    """As ``_exact_nearest``, from the ``window`` neighbours on either side in each of several sorted arrays."""
+    both = ask.withColumn("asks", F.lit(True)).withColumn("held", F.lit(False)).unionByName(index.withColumn("asks", F.lit(False)).withColumn("held", F.lit(True)))
+    both = both.groupBy("video_id", "item").agg(F.first("vector").alias("vector"), F.max("asks").alias("asks"), F.max("held").alias("held"))
+    both = both.withColumn("uid", F.xxhash64("video_id", "item"))
+    rows = index.count()
+    every = max(1, rows // A.SAMPLE_ROWS)
+    # A bounded sample fits the range borders; every vector is in every array.
+    sample = index.where(F.pmod(F.xxhash64("video_id", "item"), F.lit(every)) == 0).select("vector").limit(4 * A.SAMPLE_ROWS).toPandas()["vector"]
+    first = np.stack([np.asarray(v, dtype=np.float32) for v in sample]) if len(sample) else np.zeros((0, 1), np.float32)
+    h = A.planes(trees, A.BITS, first.shape[1], seed)
+    parts = max(1, -(-rows // rows_per_part))
+    edges = [A.borders(A.bit_strings(first, t), parts) for t in h]
+    kind = ask.schema["video_id"].dataType.simpleString()
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                u = np.stack([np.asarray(v, dtype=np.float32) for v in x["vector"]])
+                for t in range(trees):
+                    keys = A.bit_strings(u, h[t])
+                    yield x.assign(key=keys, part=A.range_of(keys, edges[t], x["uid"].to_numpy()) + t * parts).drop(columns="uid")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [x for x in batches if len(x)]
+        if not got:
+            return
+        x = pd.concat(got).sort_values(["key", "video_id", "item"], kind="stable", ignore_index=True)
+        e = np.stack([np.asarray(v, dtype=np.float64) for v in x["vector"]])
+        m = np.sqrt((e * e).sum(axis=1, keepdims=True))
+        e /= np.where(m > 0, m, 1.0)
+        held, asking = np.flatnonzero(x["held"].to_numpy(bool)), np.flatnonzero(x["asks"].to_numpy(bool))
+        place = np.searchsorted(held, asking)
+        videos, items = x["video_id"].to_numpy(), x["item"].to_numpy()
+        for i, p in zip(asking, place):
+            near = held[max(0, p - window) : p + window]
+            s = np.round(e[near] @ e[i], digits)
+            top = np.argsort(-s, kind="stable")[:k]
+            tgt = videos[near[top]]
+            yield pd.DataFrame({"src": [videos[i]] * len(top), "query": items[i], "tgt": tgt, "tie": [f"{v}|{w}" for v, w in zip(tgt, items[near[top]])], "sim": s[top]})
+
+    fields = f"video_id {kind}, item string, vector array<double>, asks boolean, held boolean, key bigint, part bigint"
+    placed = A.by_range(both.mapInPandas(spread, fields).withColumn("part", F.col("part").cast("int")), parts * trees)
+    return placed.mapInPandas(look, f"src {kind}, query string, tgt {kind}, tie string, sim double").distinct()
+
+
+def candidate_pairs(
+    frames: DataFrame, limit: int, match_threshold: float, representatives: int = 64, index_frames: int = 2048, window_seconds: float = 30.0, max_windows: int = 96, block_videos: int = 64, digits: int = 6,
+    method: str = "auto", trees: int = 8, window: int = 2048,
+) -> DataFrame:
+    """``a``, ``b`` with ``a`` before ``b``: pairs of which one side is among the ``limit`` best targets of the other.
+
+    ``frames``: ``video_id``, ``frame_pos`` (0, 1, ... per video), ``ts``, ``embedding``. A limit of 0, or one that
+    leaves nothing to choose, gives all pairs. Ties go to the smaller video. Rows with null columns don't take part.
+    ``auto`` takes ``exact`` for up to ``EXACT_VECTORS`` indexed vectors and ``forest`` beyond, which may miss some of
+    the nearest vectors of a query, as any approximate index does, but asks for every video and indexes every vector.
+    """
+    f = frames.select("video_id", F.col("frame_pos").cast("long").alias("frame_pos"), "ts", F.col("embedding").cast("array<double>").alias("embedding"))
+    f = f.where("video_id is not null and frame_pos is not null and size(embedding) > 0")
+    videos = f.select("video_id").distinct()
+    n = videos.count()
+    if n < 2 or limit <= 0 or limit >= n - 1:
+        return all_pairs(videos)
+    frame_item = F.concat(F.lit("f"), F.col("frame_pos").cast("string")).alias("item")
+    windows = window_vectors(f, window_seconds, max(1, max_windows))
+    ask = even_sample(f, max(4, representatives)).select("video_id", frame_item, F.col("embedding").alias("vector")).unionByName(windows)
+    index = even_sample(f, max(representatives, index_frames)).select("video_id", frame_item, F.col("embedding").alias("vector")).unionByName(windows)
+    coarse = max(0.35, min(0.90, match_threshold - 0.16))
+    k = max(128, limit * 16)
+    if method == "forest" or (method == "auto" and index.count() > EXACT_VECTORS):
+        near = _forest_nearest(ask, index, k, trees, window, digits)
+    else:
+        near = _exact_nearest(ask, index, k, max(1, -(-n // block_videos)), digits)
     rank = F.row_number().over(W.partitionBy("src", "query").orderBy(F.desc("sim"), "tie"))
     near = near.withColumn("rank", rank).where(F.col("rank") <= k).where("src <> tgt")
     best = near.groupBy("src", "tgt", "query").agg(F.max("sim").alias("s")).where("s > 0")
