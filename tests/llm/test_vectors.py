@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vidloom.llm import forest, scenes
-from vidloom.llm import sorted_arrays as A
+from vidloom.operators import sorted_arrays as A
 
 SCHEMA = "frame_id bigint, embedding array<float>"
 

@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
+from ..operators import sorted_arrays as A
 from ..operators.skew import HOT_KEYS
 from ..session import Scratch
-from . import sorted_arrays as A
 
-BITS = 63
 #: The int8 cosine of two vectors is within this of the true one.
 INT8_ERROR = 0.02
 
@@ -145,7 +144,7 @@ def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, tree
     members, facts, one = classes(vectors, k, scratch)
     cls = facts.select("rep", "k1", "k2").join(one, ["k1", "k2"])
     parts = max(1, -(-rows // rows_per_part))
-    h = A.planes(trees, BITS, A.DIMS, seed)
+    h = A.planes(trees, A.BITS, A.DIMS, seed)
     sample = A.sample_vectors(vectors, rows, A.SAMPLE_ROWS) if parts > 1 else np.zeros((0, A.DIMS), np.float32)
     edges = [A.borders(A.bit_strings(sample, t), parts) for t in h]
     near = _tree_rows(cls, h, edges, parts).select("key", "rep", "q").mapInArrow(_ascend(window, k + 3, min_similarity - INT8_ERROR), "i bigint, j bigint")
@@ -193,7 +192,7 @@ def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, wi
     wanted = queries.select(F.col("frame_id").cast("long").alias("qid")).where("qid is not null").distinct()
     base = vectors.join(wanted, vectors["id"] == wanted["qid"], "left").select("id", "v", F.col("qid").isNotNull().alias("asks"))
     parts = max(1, -(-rows // rows_per_part))
-    h = A.planes(trees, BITS, A.DIMS, seed)
+    h = A.planes(trees, A.BITS, A.DIMS, seed)
     sample = A.sample_vectors(A.valid_vectors(frames), rows, A.SAMPLE_ROWS) if parts > 1 else np.zeros((0, A.DIMS), np.float32)
     edges = [A.borders(A.bit_strings(sample, t), parts) for t in h]
 

@@ -92,10 +92,10 @@ def mix(sized: DataFrame, targets: DataFrame, slot_tokens: int = 65_536, seed: i
 
     got = placed.groupBy("source").agg(F.sum("size").alias("placed"), (F.max("copy") + 1).alias("repeats"))
     report = facts.join(weights.select("source", "target_share"), "source").join(got, "source", "left")
-    placed_c, all_placed = F.coalesce("placed", F.lit(0)), placed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("all_placed"))
-    report = report.crossJoin(F.broadcast(all_placed)).select(
+    placed_c, all_placed = F.coalesce("placed", F.lit(0)), placed.agg(F.sum("size")).first()[0] or 0
+    report = report.select(
         "source", "target_share", "max_repeats", F.col("have").alias("available_tokens"), (F.col("target_share") * total).alias("wanted_tokens"),
-        placed_c.alias("placed_tokens"), F.when(F.col("all_placed") > 0, placed_c / F.col("all_placed")).otherwise(0.0).alias("reached_share"),
+        placed_c.alias("placed_tokens"), (placed_c / F.lit(max(1, all_placed))).alias("reached_share"),
         F.coalesce("repeats", F.lit(0)).alias("repeats"), (F.col("have") * F.col("max_repeats") < F.col("target_share") * total).alias("short"),
     )
     return placed, report
