@@ -26,21 +26,21 @@ def contract(edges: DataFrame, scratch: Scratch, seed: int = 20240) -> DataFrame
     cost no more than the tasks they ran.
     """
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # The salt of the hash order is a column, so that all rounds run the same compiled code.
+    e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(seed).cast("long").alias("salt")).distinct()
     e = scratch.table(e, "edges")
     steps: list[DataFrame] = []
     n = e.count()
     while n:
-        salt = F.lit(seed + 7919 * len(steps))
-        both = e.select("a", "b").unionAll(e.select(F.col("b"), F.col("a")))
-        near = both.groupBy(F.col("a").alias("v")).agg(F.min_by("b", F.xxhash64("b", salt)).alias("w"), F.count(F.lit(1)).alias("degree"))
-        hook = F.when(F.xxhash64("v", salt) <= F.xxhash64("w", salt), F.col("v")).otherwise(F.col("w"))
-        hooks = scratch.table(near.select("v", hook.alias("r"), "degree"), f"hooks{len(steps)}")
+        both = e.select("a", "b", "salt").unionAll(e.select(F.col("b"), F.col("a"), F.col("salt")))
+        near = both.groupBy(F.col("a").alias("v")).agg(F.min_by("b", F.xxhash64("b", "salt")).alias("w"), F.count(F.lit(1)).alias("degree"), F.max("salt").alias("salt"))
+        hook = F.when(F.xxhash64("v", "salt") <= F.xxhash64("w", "salt"), F.col("v")).otherwise(F.col("w"))
+        hooks = scratch.table(near.select("v", hook.alias("r"), "degree"), "hooks")
         steps.append(hooks)
         moved = lookup(e, "a", hooks, "v", "r", "degree", 2 * n, "x")
         moved = lookup(moved, "b", hooks, "v", "r", "degree", 2 * n, "y")
-        nxt = moved.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        nxt = scratch.table(nxt, f"edges{len(steps)}")
+        nxt = moved.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("salt") + 7919).alias("salt")).distinct()
+        nxt = scratch.table(nxt, "edges")
         scratch.drop(e)
         e, n = nxt, nxt.count()
     scratch.drop(e)
