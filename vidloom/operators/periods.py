@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import Scratch
 from .skew import null_safe_join
 
 
@@ -42,6 +43,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, shard
     """
     k = [f"__k{i}" for i in range(len(keys))]
     d = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where(F.col("e") > F.col("s"))
+    scratch = Scratch(df.sparkSession, "periods")
     d = d.groupBy(*k, "s").agg(F.max("e").alias("e"))
 
     # First and last shard of an interval; an end on a border belongs to the shard before it.
@@ -50,7 +52,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, shard
     one = F.struct(F.col("a").alias("shard"), F.col("s"), F.least("e", (F.col("a") + 1) * w).alias("e"))
     two = F.struct(F.col("z").alias("shard"), (F.col("z") * w).alias("s"), F.col("e"))
     clips = d.select(*k, F.explode(F.when(F.col("a") == F.col("z"), F.array(one)).otherwise(F.array(one, two))).alias("c")).select(*k, "c.*")
-    local = _islands(clips, [*k, "shard"])
+    local = scratch.table(_islands(clips, [*k, "shard"]), "local")  # read by several of the steps below
 
     marks = d.where(F.col("z") - F.col("a") > 1).select(*k, F.explode(F.array(F.struct((F.col("a") + 1).alias("at"), F.lit(1).alias("n")), F.struct(F.col("z").alias("at"), F.lit(-1).alias("n")))).alias("m"))
     marks = marks.groupBy(*k, F.col("m.at").alias("at")).agg(F.sum("m.n").alias("n"))
@@ -67,7 +69,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, shard
 
     at_border = (F.col("s") == F.col("shard") * w) | (F.col("e") == (F.col("shard") + 1) * w)
     stitched = _islands(local.where(at_border).select(*k, "s", "e").unionByName(covered), k)
-    periods = local.where(~at_border).select(*k, "s", "e").unionByName(stitched)
+    periods = scratch.table(local.where(~at_border).select(*k, "s", "e").unionByName(stitched), "periods")
 
     # Gaps: the period before, within the shard of the start, else the last one of an earlier shard.
     own = periods.withColumn("shard", F.floor(F.col("s") / w).cast("long"))
