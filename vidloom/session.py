@@ -32,7 +32,9 @@ def build_session(app: str = "vidloom", cores: int | str = "*", **conf: str) ->
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
-    return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=base | conf).getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=base | conf).getOrCreate()
+    ship(spark)
+    return spark
 
 
 _shipped: set[str] = set()
