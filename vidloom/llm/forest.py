@@ -128,7 +128,7 @@ def _cosines(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("s", cosine("v", "w")).drop("v", "w")
 
 
-def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, trees: int = 8, window: int = 256, rows_per_part: int = 60_000, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, trees: int = 10, window: int = 384, rows_per_part: int = 60_000, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """``id``, ``rank``, ``neighbour``, ``similarity``: the ``k`` most similar other vectors of every vector.
 
     Vectors of another length, with non-finite numbers or all zero, and null keys, don't take part and get no
@@ -179,11 +179,12 @@ def _expand(pairs: DataFrame, members: DataFrame, facts: DataFrame, scratch: Scr
     return out.select("id", (F.col("rank") + 1).alias("rank"), (-F.col("x.o")).alias("neighbour"), F.col("x.s").alias("similarity"))
 
 
-def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, window: int = 16_384, rows_per_part: int = 120_000, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, window: int | None = None, rows_per_part: int = 120_000, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """``id``, ``rank``, ``neighbour``, ``similarity`` for the frames whose ``frame_id`` is in ``queries``.
 
     As ``neighbours``, for a stated set of queries, of which each looks at ``window`` candidates on either side in
-    every tree, so that also the ranks among many nearly equal neighbours come out. ``queries`` has ``frame_id``.
+    every tree, so that also the ranks among many nearly equal neighbours come out. ``queries`` has ``frame_id``. By
+    default the window is a thirtieth of the collection (at least 16,384): neighbours that nearly tie get more with it.
     """
     spark = frames.sparkSession
     scratch = scratch or Scratch(spark, "search")
@@ -191,6 +192,8 @@ def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, wi
     rows = frames.count()
     wanted = queries.select(F.col("frame_id").cast("long").alias("qid")).where("qid is not null").distinct()
     base = vectors.join(wanted, vectors["id"] == wanted["qid"], "left").select("id", "v", F.col("qid").isNotNull().alias("asks"))
+    window = window or max(16_384, rows // 30)
+    rows_per_part = max(rows_per_part, 3 * window) if rows > rows_per_part else rows_per_part
     parts = max(1, -(-rows // rows_per_part))
     h = A.planes(trees, A.BITS, A.DIMS, seed)
     sample = A.sample_vectors(A.valid_vectors(frames), rows, A.SAMPLE_ROWS) if parts > 1 else np.zeros((0, A.DIMS), np.float32)
