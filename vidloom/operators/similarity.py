@@ -60,15 +60,22 @@ def pair_similarities(blocks: DataFrame, pairs: DataFrame, k: int, digits: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            names, src, tgt, sim = [], [], [], []
             for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"]):
                 (px, ux), (py, uy) = _unit(x), _unit(y)
                 s = np.round(ux @ uy.T, digits) + 0.0
                 for direction, m, ps, pt in (("A_to_B", s, px, py), ("B_to_A", s.T, py, px)):
                     n = min(k, m.shape[1])
-                    order = np.lexsort((np.broadcast_to(pt, m.shape), -m), axis=1)[:, :n]
+                    by_pos = np.argsort(pt, kind="stable")  # a stable sort by similarity then keeps ties in this order
+                    order = by_pos[np.argsort(-m[:, by_pos], axis=1, kind="stable")[:, :n]]
                     r = np.repeat(np.arange(m.shape[0]), n)
-                    c = order.ravel()
-                    yield pd.DataFrame({"a": [a] * len(r), "b": [b] * len(r), "direction": direction, "src": ps[r], "tgt": pt[c], "sim": m[r, c]})
+                    names += [(a, b, direction)] * len(r)
+                    src.append(ps[r])
+                    tgt.append(pt[order.ravel()])
+                    sim.append(m[r, order.ravel()])
+            if names:
+                out = pd.DataFrame(names, columns=["a", "b", "direction"])
+                yield out.assign(src=np.concatenate(src), tgt=np.concatenate(tgt), sim=np.concatenate(sim))
 
     near = both.select("a", "b", "x", "y").mapInPandas(run, f"a {kind}, b {kind}, direction string, src bigint, tgt bigint, sim double")
     best = W.partitionBy("a", "b", "direction", "src").orderBy(F.desc("sim"), "tgt")
