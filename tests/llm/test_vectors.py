@@ -42,6 +42,19 @@ def test_neighbours_equal_brute_force_on_near_copies(spark, near_copies):
     assert len(got & want) >= 0.99 * len(want) > 100 and not got - want
 
 
+def test_neighbours_within_a_dense_group(spark):
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(4500, 64))
+    rows[:1500] = unit(rng.normal(size=(1, 64))) + 0.15 * unit(rng.normal(size=(1500, 64)))  # median cosine 0.978
+    rows[2000:2100] = rows[2100:2200] + 0.15 * rng.normal(size=(100, 64))
+    u = unit(rows)
+    got = {(r.id, r.neighbour) for r in forest.neighbours(table(spark, rows), 5, 0.95, trees=4, window=80, rows_per_part=2000).collect()}
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(u)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.95}
+    assert len(want) >= 7_500 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
 def test_copies_norms_and_invalid_vectors(spark):
     rng = np.random.default_rng(1)
     v, w = rng.normal(size=64), rng.normal(size=64)

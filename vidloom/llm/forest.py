@@ -7,6 +7,9 @@ prefixes, that is, going outwards from that place; all trees go outwards by the
 same number of candidates. Vectors travel to the trees as int8; the pairs that
 survive are compared again with the full vectors.
 
+A row whose window doesn't hold its surroundings (see ``_ascend``) is open: it is
+compared with every vector that can be near enough, in blocks.
+
 Equal vectors are one leaf: a class with its size and its smallest identifiers.
 So the copies of a vector, however many, cost one row per tree, and every one of
 them still gets its neighbours.
@@ -28,6 +31,10 @@ from ..session import Scratch
 
 #: The int8 cosine of two vectors is within this of the true one.
 INT8_ERROR = 0.02
+#: A row is open if more rows of its window than this can't be told from its k best ones by int8.
+TIES = 64
+#: ... or if half of its window is within this of its k-th best or the least similarity wanted.
+CROWD = 0.15
 
 
 def _class_keys(v: pa.Array) -> np.ndarray:
@@ -73,14 +80,18 @@ def _tree_rows(classes_df: DataFrame, h: np.ndarray, edges: list[np.ndarray], pa
             q = A.binary(A.quantized(u))
             for t in range(len(h)):
                 keys = A.bit_strings(u, h[t])
-                part = (A.range_of(keys, edges[t], ids) + t * parts).astype(np.int32)
+                part = (A.range_of(keys, edges[t], ids, t) + t * parts).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), x.column("rep"), q], names=["part", "key", "rep", "q"])
 
     return A.by_range(classes_df.select("rep", "v").mapInArrow(run, "part int, key bigint, rep bigint, q binary"), parts * len(h))
 
 
-def _ascend(window: int, keep: int, least: float, block: int = 256) -> object:
-    """Within a sorted range: of the ``window`` rows on either side of each row, the ``keep`` most similar ones."""
+def _ascend(window: int, k: int, min_similarity: float, block: int = 256) -> object:
+    """Within a sorted range: of the ``window`` rows on either side of each row, those that may be its ``k`` best ones.
+
+    ``i``, ``j``; with ``i`` = ``j`` an open row and ``b``, which its k-th similarity is not below.
+    """
+    least = min_similarity - INT8_ERROR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = A.whole(batches)
@@ -89,32 +100,164 @@ def _ascend(window: int, keep: int, least: float, block: int = 256) -> object:
         order = np.argsort(got.column("key").to_numpy(), kind="stable")
         ids = got.column("rep").to_numpy()[order]
         u = A.unit(A.matrix(got.column("q"), "i1", A.DIMS)[order])
-        n, ii, jj = len(ids), [], []
+        n, ii, jj, bb = len(ids), [], [], []
         for a in range(0, n, block):
             z = min(n, a + block)
             lo, hi = max(0, a - window), min(n, z + window)
             s = u[a:z] @ u[lo:hi].T
             s[np.arange(z - a), np.arange(a - lo, z - lo)] = -2
-            if hi - lo > keep:
-                rows = np.flatnonzero((s >= least).any(axis=1))
-                if not len(rows):
-                    continue
-                top = np.argpartition(s[rows], hi - lo - keep, axis=1)[:, hi - lo - keep :]
-                r = np.repeat(rows, keep)
-                c = top.ravel()
-            else:
-                r, c = (x.ravel() for x in np.indices(s.shape))
-            good = s[r, c] >= least
-            ii.append(ids[a + r[good]])
-            jj.append(ids[lo + c[good]])
+            m = min(k, hi - lo)
+            rows = np.flatnonzero((s >= max(least, min_similarity - CROWD if hi - lo > window else least)).any(axis=1))
+            if not len(rows):
+                continue
+            s = s[rows]
+            kth = np.maximum(np.partition(s, hi - lo - m, axis=1)[:, hi - lo - m], least)
+            good = s >= np.maximum(kth - 2 * INT8_ERROR, least)[:, None]
+            crowd = (s >= (np.maximum(kth, min_similarity) - CROWD)[:, None]).sum(axis=1)
+            wide = np.flatnonzero((good.sum(axis=1) > TIES) | (crowd > max(window, TIES)))
+            good[wide] = False
+            r, c = np.nonzero(good)
+            ii += [ids[a + rows[r]], ids[a + rows[wide]]]
+            jj += [ids[lo + c], ids[a + rows[wide]]]
+            bb += [np.full(len(r), -2.0), np.maximum(kth[wide] - INT8_ERROR, min_similarity).astype(np.float64)]
         if ii:
-            i, j = np.concatenate(ii), np.concatenate(jj)
+            i, j, b = np.concatenate(ii), np.concatenate(jj), np.concatenate(bb)
             for a in range(0, len(i), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(i[a : a + 100_000]), pa.array(j[a : a + 100_000])], names=["i", "j"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (i, j, b)], names=["i", "j", "b"])
 
     return run
 
 
+def _leaders(dense: DataFrame, near: float = 0.9, rounds: int = 12) -> np.ndarray:
+    """Vectors of which one is ``near`` most dense rows; what is near none is only slower to compare."""
+    out = np.zeros((0, A.DIMS), np.float32)
+    for turn in range(rounds):
+
+        def far(batches: Iterator[pa.RecordBatch], c: np.ndarray = out) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                if x.num_rows:
+                    u = A.matrix(x.column("v"), "<f4", A.DIMS)
+                    yield pa.RecordBatch.from_arrays([x.column("rep"), x.column("v")], names=["id", "v"]).filter(pa.array(_nearest(u, c)[1] < near))
+
+        left = dense.select("rep", "v").mapInArrow(far, "id bigint, v binary")
+        n = left.count()
+        if not n:
+            break
+        for v in A.sample_vectors(left, n, A.SAMPLE_ROWS // 4):
+            if not len(out) or (out @ v).max() < near:
+                out = np.vstack([out, v[None]])
+    return out
+
+
+def _nearest(u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of ``c`` nearest to each row of ``u``, and its cosine."""
+    best, s = np.zeros(len(u), np.int64), np.full(len(u), -2, np.float32)
+    for a in range(0, len(c), 4096):
+        x = u @ c[a : a + 4096].T
+        m = x.argmax(axis=1)
+        top = x[np.arange(len(u)), m]
+        best, s = np.where(top > s, m + a, best), np.maximum(s, top)
+    return best, s
+
+
+def _compared(cls: DataFrame, dense: DataFrame, k: int, scratch: Scratch, block: int = 40_000) -> DataFrame:
+    """``i``, ``j``: the best partners of the dense rows (``rep``, ``v``, ``b``) among all, each compared with every row
+    that the triangle inequality doesn't rule out: cell by cell around leaders, block against block."""
+    c = _leaders(dense)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                best, s = _nearest(A.matrix(x.column("v"), "<f4", A.DIMS), c)
+                b = x.column("b").to_numpy()
+                angle = np.arccos(np.clip(s.astype(np.float64), -1, 1)) + np.arccos(np.clip(b, -1, 1)) + 1e-3
+                yield pa.RecordBatch.from_arrays([pa.array(best), x.column("rep"), x.column("v"), x.column("b"), pa.array(angle)], names=["cell", "rep", "v", "b", "angle"])
+
+    asks = scratch.table(dense.select("rep", "v", "b").mapInArrow(cells, "cell bigint, rep bigint, v binary, b double, angle double"), "asks")
+    facts = asks.groupBy("cell").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).toArrow()
+    reach, nq = np.full(len(c), 2.0, np.float32), np.zeros(len(c), np.int64)
+    at = facts.column("cell").to_numpy()
+    reach[at], nq[at] = np.cos(np.minimum(facts.column("angle").to_numpy(), np.pi)) - 1e-6, facts.column("n").to_numpy()
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            u = A.matrix(x.column("v"), "<f4", A.DIMS)
+            for a in range(0, x.num_rows, 1024):
+                for d in range(0, len(c), 4096):
+                    r, m = np.nonzero(u[a : a + 1024] @ c[d : d + 4096].T >= reach[d : d + 4096])
+                    if len(r):
+                        take = pa.array(a + r)
+                        yield pa.RecordBatch.from_arrays([pa.array(m + d), x.column("rep").take(take), x.column("v").take(take)], names=["cell", "rep", "v"])
+
+    near = scratch.table(cls.select("rep", "v").mapInArrow(held, "cell bigint, rep bigint, v binary"), "held")
+    facts = near.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    nx = np.zeros(len(c), np.int64)
+    nx[facts.column("cell").to_numpy()] = facts.column("n").to_numpy()
+    qs, xs = -(-nq // block), -(-nx // block)
+    first = np.concatenate([[0], np.cumsum(qs * xs)])
+    parts = int(max(1, min(first[-1], max(16, -(-int(nq.sum() + nx.sum()) // block) * int(max(qs.max(), xs.max()))))))
+
+    def spread(asking: bool) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                if not x.num_rows:
+                    continue
+                cell, mix = x.column("cell").to_numpy(), A.mixed(x.column("rep").to_numpy()) >> np.uint64(7)
+                mine, others = (qs, xs) if asking else (xs, qs)
+                own = (mix % mine[cell].astype(np.uint64)).astype(np.int64)
+                for o in range(int(others[cell].max())):
+                    take = np.flatnonzero(others[cell] > o)
+                    if len(take):
+                        t, cl = pa.array(take), cell[take]
+                        pair = own[take] * xs[cl] + o if asking else o * xs[cl] + own[take]
+                        b = x.column("b").take(t) if asking else pa.nulls(len(take), pa.float64())
+                        unit = first[cl] + pair
+                        yield pa.RecordBatch.from_arrays([pa.array((unit % parts).astype(np.int32)), pa.array(unit), x.column("rep").take(t), x.column("v").take(t), b], names=["part", "unit", "rep", "v", "b"])
+
+        return run
+
+    fields = "part int, unit bigint, rep bigint, v binary, b double"
+    keep = k + 3
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = A.whole(batches)
+        if got is None:
+            return
+        unit, ids, b = got.column("unit").to_numpy(), got.column("rep").to_numpy(), got.column("b").to_numpy(zero_copy_only=False).astype(np.float32)
+        v = A.matrix(got.column("v"), "<f4", A.DIMS)
+        order = np.lexsort((np.isnan(b), unit))
+        for rows in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            asking = rows[~np.isnan(b[rows])]
+            other = rows[np.isnan(b[rows])]
+            other = other[np.argsort(ids[other])]
+            if not len(other):
+                continue
+            few = v[other[::16]].T
+            x = v[other].T
+            for a in range(0, len(asking), 256):
+                q = asking[a : a + 256]
+                bound = b[q] - np.float32(1e-5)
+                if few.shape[1] > keep:  # the k-th of a part is not above the k-th of all; the row itself may be among them
+                    s = v[q] @ few
+                    bound = np.maximum(bound, np.partition(s, few.shape[1] - keep, axis=1)[:, few.shape[1] - keep] - np.float32(1e-6))
+                s = v[q] @ x
+                at = np.minimum(np.searchsorted(ids[other], ids[q]), len(other) - 1)
+                own = np.flatnonzero(ids[other[at]] == ids[q])
+                s[own, at[own]] = -2
+                r, m = np.nonzero(s >= bound[:, None])
+                w = s[r, m]
+                o = np.lexsort((-w, r))
+                r, m, w = r[o], m[o], w[o]
+                rank = np.arange(len(r)) - np.searchsorted(r, r)
+                r, m, w = r[rank < keep], m[rank < keep], w[rank < keep]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[r]]), pa.array(ids[other[m]]), pa.array(w.astype(np.float64))], names=["i", "j", "s"])
+
+    both = asks.mapInArrow(spread(True), fields).unionAll(near.mapInArrow(spread(False), fields))
+    got = A.by_range(both, parts).select("unit", "rep", "v", "b").mapInArrow(compare, "i bigint, j bigint, s double")
+    got = got.groupBy("i").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("j")).alias("j")), keep, False).alias("x"))
+    return got.select("i", F.explode("x").alias("x")).select("i", (-F.col("x.j")).alias("j"))
+
+
 def _cosines(pairs: DataFrame) -> DataFrame:
     """Adds ``s``, the cosine of the unit vectors ``v`` and ``w``, which it drops."""
 
@@ -135,7 +278,8 @@ def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, tree
     rows; a row delivered twice counts once; norms don't matter. Ties go to the smaller identifier. Copies have
     similarity 1 to each other. ``min_similarity`` leaves out less similar neighbours early. Fewer than ``k`` rows
     come out for a vector only if fewer were found. The hyperplanes are random; range borders come from a sample of
-    ``SAMPLE_ROWS`` vectors; every vector is in every tree. Trees and window trade time for accuracy (see README).
+    ``SAMPLE_ROWS`` vectors; every vector is in every tree. Trees and window trade time for accuracy (see README); in
+    a place too dense for the window every row is compared with all that can be near enough, whatever that takes.
     """
     spark = frames.sparkSession
     scratch = scratch or Scratch(spark, "forest")
@@ -147,9 +291,15 @@ def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, tree
     h = A.planes(trees, A.BITS, A.DIMS, seed)
     sample = A.sample_vectors(vectors, rows, A.SAMPLE_ROWS) if parts > 1 else np.zeros((0, A.DIMS), np.float32)
     edges = [A.borders(A.bit_strings(sample, t), parts) for t in h]
-    near = _tree_rows(cls, h, edges, parts).select("key", "rep", "q").mapInArrow(_ascend(window, k + 3, min_similarity - INT8_ERROR), "i bigint, j bigint")
+    near = _tree_rows(cls, h, edges, parts).select("key", "rep", "q").mapInArrow(_ascend(window, k, min_similarity), "i bigint, j bigint, b double")
     # A pair may come from both its ends and from several trees; its cosine is wanted once.
-    near = scratch.table(near.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "near")
+    near = scratch.table(near.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("b").alias("b")), "near")
+    wide = near.where("i = j").select(F.col("i").alias("rep"), "b")
+    near = near.where("i <> j").select("i", "j")
+    if not wide.isEmpty():
+        dense = scratch.table(cls.join(wide, "rep").select("rep", "v", "b"), "dense")
+        more = _compared(cls, dense, k, scratch)
+        near = scratch.table(near.unionAll(more.select(F.least("i", "j"), F.greatest("i", "j"))).distinct(), "near")
     ends = near.select(F.col("i").alias("rep")).unionAll(near.select("j")).distinct()
     # Only vectors of classes with a candidate go on; they are found where the classes lie.
     full = facts.select("rep", "k1", "k2").join(ends, "rep", "left_semi").join(one, ["k1", "k2"]).select("rep", "v")

@@ -112,10 +112,10 @@ def borders(keys: np.ndarray, parts: int) -> np.ndarray:
     return s[(np.arange(1, parts) * len(s)) // parts]
 
 
-def range_of(keys: np.ndarray, edges: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Range of each key; equal edges share their key's rows by identifier."""
+def range_of(keys: np.ndarray, edges: np.ndarray, ids: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Range of each key; equal edges share their key's rows by identifier, in another way for each ``salt``."""
     lo, hi = np.searchsorted(edges, keys, "left"), np.searchsorted(edges, keys, "right")
-    return lo + (mixed(ids) % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
+    return lo + (mixed(ids ^ salt * 0x632BE5AB) % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
 
 
 def sample_vectors(vectors: DataFrame, rows: int, n: int) -> np.ndarray:
