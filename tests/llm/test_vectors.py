@@ -150,3 +150,19 @@ def test_stars_take_each_row_once():
     got = scenes.stars(m, 2)
     members = [int(x) for _, t in got for x in t]
     assert len(members) == len(set(members)) and 6 not in members
+
+
+def test_matches_reach_across_the_blocks_of_a_bucket():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 64))
+    scene = np.arange(0, 6000, 300)
+    x[scene] = unit(rng.normal(size=(1, 64))) + 0.6 * unit(rng.normal(size=(20, 64)))
+    keys = np.arange(6000, dtype=np.int64)  # one bucket; its order leaves two members at most in each block
+    batch = A.pa.RecordBatch.from_arrays([A.pa.array(keys), A.pa.array(keys), A.binary(A.quantized(x))], names=["key", "id", "q"])
+    links = [t.to_pandas().dropna(subset="id") for t in scenes._matches(4, 0.53, 3, 1)(iter([batch])) if t.column("id").null_count == 0]
+    largest = max(links[0].groupby("medoid")["id"].apply(set), key=len) if links else set()
+    assert len(largest & set(scene)) >= 18 and largest <= set(scene)
+
+
+def test_wider_bands_for_more_rows():
+    assert scenes._bands(140_000) == (8, 4) and scenes._bands(1_000_000) == (18, 5) and scenes._bands(10**9)[1] == scenes.VALUES

@@ -5,9 +5,10 @@ vectors of similar sets into the same bucket; in a bucket the exact Jaccard
 similarity decides which vectors match. Matches are kept as stars: in a block of
 a bucket the vector of highest degree (the medoid) takes its matches, then the
 next one among those that are left, so a bucket of m rows gives fewer than m
-links. Stars that share a vector are connected components. A component whose
-vectors don't point the same way is loose; it is split back into its stars around
-the medoids of highest degree.
+links. What the blocks of a bucket leave over is compared block against block.
+Stars that share a vector are connected components. A component whose vectors
+don't point the same way is loose; it is split back into its stars around the
+medoids of highest degree.
 
 The components give mean directions. Means of the same scene are merged, every
 vector is assigned to the mean that it is close enough to, means are taken again,
@@ -17,6 +18,7 @@ a round finds no further scene.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ from .components import contract
 PROJECTIONS = 256
 #: Values of a band signature: 9 bits each fill a long.
 VALUES = 7
+#: Rows up to which a band has 4 values; one more for each further factor of 3, to which unrelated buckets shrink.
+BAND_ROWS = 400_000
 #: Mean directions that are compared with all vectors in one pass; more are taken in several passes.
 MEANS_PER_PASS = 8192
 
@@ -77,8 +81,17 @@ def stars(agree: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _banded(base: DataFrame, bands: list[int], known: np.ndarray, near: float, edges: list[np.ndarray], parts: int, seed: int) -> DataFrame:
-    """``key``, ``id``, ``q`` of the vectors that are near no known mean, once per band, range partitioned."""
+def _bands(rows: int) -> tuple[int, int]:
+    """Number of bands and of values per band: wider ones for many rows, so that buckets don't grow with them, and as
+    many more as make up for the chance that two rows of a small scene have a member of it in their bucket (2.3 per value)."""
+    wider = 0
+    while rows > BAND_ROWS * 3**wider and wider < VALUES - 4:
+        wider += 1
+    return round(8 * 2.3**wider), 4 + wider
+
+
+def _banded(base: DataFrame, bands: list[int], known: np.ndarray, near: float, width: int, parts: int, seed: int) -> DataFrame:
+    """``key``, ``id``, ``q`` of the vectors that are near no known mean, once per band; a bucket is in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -95,14 +108,15 @@ def _banded(base: DataFrame, bands: list[int], known: np.ndarray, near: float, e
             s, q = signs(u, seed), A.binary(A.quantized(u))
             for t, b in enumerate(bands):
                 keys = band_keys(s, b)
-                part = (A.range_of(keys, edges[t], ids) + t * parts).astype(np.int32)
+                bucket = A.mixed(keys >> (9 * (VALUES - width))) >> np.uint64(17)
+                part = (bucket % np.uint64(parts)).astype(np.int32) + np.int32(t * parts)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), pa.array(ids), q], names=["part", "key", "id", "q"])
 
     return A.by_range(base.mapInArrow(run, "part int, key bigint, id bigint, q binary"), parts * len(bands))
 
 
-def _matches(rows: int, jaccard: float, least: int, seed: int, block: int = 512) -> object:
-    """Stars of the sorted buckets: rows ``(id, medoid)`` and, per medoid, its degree and summed vector."""
+def _matches(rows: int, jaccard: float, least: int, seed: int, across: bool = True, block: int = 512) -> object:
+    """Stars of the sorted buckets, of larger ones ``across`` their blocks: rows ``(id, medoid)`` and, per medoid, its degree and summed vector."""
     # |A and B| / |A or B| for sets with one token per projection: agreement p gives p / (2 - p).
     agreement = 2 * jaccard / (1 + jaccard) * PROJECTIONS
 
@@ -116,18 +130,42 @@ def _matches(rows: int, jaccard: float, least: int, seed: int, block: int = 512)
         ids = got.column("id").to_numpy()[order]
         q = A.matrix(got.column("q"), "i1", A.DIMS)
         who, star, deg, sums, heads = [], [], [], [], []
-        for a in range(0, len(ids), block):
-            z = min(len(ids), a + block)
-            u = A.unit(q[order[a:z]])
-            s = np.where(signs(u, seed), np.float32(1), np.float32(-1))
+        ends = np.append(np.flatnonzero(np.diff(buckets)) + 1, len(ids))
+        free, at = np.ones(len(ids), bool), {}
+
+        def add(medoid: int, took: np.ndarray) -> None:
+            free[took] = False
+            total = A.unit(q[order[took]]).sum(axis=0)
+            if ids[medoid] in at:
+                k = at[ids[medoid]]
+                who[k], star[k] = np.append(who[k], ids[took]), np.append(star[k], np.full(len(took), ids[medoid]))
+                deg[k], sums[k] = deg[k] + len(took), sums[k] + total
+                return
+            at[ids[medoid]] = len(heads)
+            who.append(ids[took])
+            star.append(np.full(len(took), ids[medoid]))
+            heads.append(ids[medoid])
+            deg.append(len(took))
+            sums.append(total)
+
+        def values(rows: np.ndarray) -> np.ndarray:
+            return np.where(signs(A.unit(q[order[rows]]), seed), np.float32(1), np.float32(-1))
+
+        a = 0
+        while a < len(ids):
+            begin, end = np.searchsorted(buckets, buckets[a]), ends[np.searchsorted(ends, a, "right")]
+            large = end - begin > block
+            # As many whole buckets as a block takes; a larger bucket goes block by block.
+            z = min(end, a + block) if large else ends[np.searchsorted(ends, a + block, "right") - 1]
+            s = values(np.arange(a, z))
             agree = (s @ s.T + PROJECTIONS) / 2 >= agreement
             agree &= buckets[a:z, None] == buckets[None, a:z]
             for medoid, took in stars(agree, least):
-                who.append(ids[a + took])
-                star.append(np.full(len(took), ids[a + medoid]))
-                heads.append(ids[a + medoid])
-                deg.append(len(took))
-                sums.append(u[took].sum(axis=0))
+                add(a + medoid, a + took)
+            if across and large and z == end:
+                medoids = begin + np.flatnonzero([i in at for i in ids[begin:end]])
+                _across(begin + np.flatnonzero(free[begin:end]), medoids, values, add, agreement, least, 4 * block)
+            a = z
         if heads:
             n, m = sum(map(len, who)), len(heads)
             none = pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())
@@ -137,6 +175,46 @@ def _matches(rows: int, jaccard: float, least: int, seed: int, block: int = 512)
     return run
 
 
+def _across(rest: np.ndarray, medoids: np.ndarray, values: object, add: object, agreement: float, least: int, block: int) -> None:
+    """What the blocks of a bucket left over: rows that match a medoid join its star, the others make new stars."""
+    rows = np.sort(np.concatenate([rest, medoids]))
+    ii, jj = [], []
+    for a in range(0, len(rows), block):
+        s = values(rows[a : a + block])
+        for b in range(a, len(rows), block):
+            i, j = np.nonzero((s @ (s if a == b else values(rows[b : b + block])).T + PROJECTIONS) / 2 >= agreement)
+            ii += [i + a, j + b] if a != b else [i + a]
+            jj += [j + b, i + a] if a != b else [j + b]
+    if not ii:
+        return
+    i, j = np.concatenate(ii), np.concatenate(jj)
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    first = np.searchsorted(i, np.arange(len(rows) + 1))
+    taken = np.isin(rows, medoids, assume_unique=True)
+    for m in np.flatnonzero(taken):
+        near = j[first[m] : first[m + 1]]
+        near = near[~taken[near]]
+        if len(near):
+            taken[near] = True
+            add(rows[m], rows[near])
+    degree = np.bincount(i[~taken[i] & ~taken[j]], minlength=len(rows))
+    heap = [(-d, k) for k, d in enumerate(degree.tolist()) if d >= least]
+    heapq.heapify(heap)
+    while heap:
+        d, k = heapq.heappop(heap)
+        if taken[k]:
+            continue
+        near = j[first[k] : first[k + 1]]
+        near = near[~taken[near]]
+        if len(near) < -d:
+            if len(near) >= least:
+                heapq.heappush(heap, (-len(near), k))
+            continue
+        taken[near] = True
+        add(rows[k], rows[near])
+
+
 def _add_vectors(rows: DataFrame, key: str) -> DataFrame:
     """Per ``key`` the sums of ``degree`` and of the vectors ``total``, combined in each task before the shuffle."""
 
@@ -294,20 +372,16 @@ def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, leas
     scratch = scratch or Scratch(spark, "scenes")
     base = scratch.table(A.valid_vectors(frames).groupBy("id").agg(F.first("v").alias("v")), "vectors")
     rows = base.count()
-    sample = A.sample_vectors(base, rows, A.SAMPLE_ROWS) if rows > rows_per_part else np.zeros((0, A.DIMS), np.float32)
     known = np.zeros((0, A.DIMS), np.float32)
     near = (similarity + apart) / 2
     left, turn = rows, 0
     while left:
-        # Later rounds see few rows, so more and wider bands cost no more and find the small scenes.
-        count, width = (2, 4) if turn == 0 else (8, 4)
+        # The first round only takes out the frequent scenes. The later ones see fewer rows, and find the small scenes.
+        count, width = (2, 4) if turn == 0 else _bands(left)
         bands = [seed * 1000 + turn * 100 + b for b in range(count)]
         parts = max(1, -(-left // rows_per_part))
-        unseen = sample[(sample @ known.T).max(axis=1) < near] if len(known) and len(sample) else sample
-        s = signs(unseen, seed + turn) if len(unseen) else np.zeros((0, PROJECTIONS), bool)
-        edges = [A.borders(band_keys(s, b), parts) if len(s) else np.zeros(0, np.int64) for b in bands]
-        rows_df = _banded(base, bands, known, near, edges, parts, seed + turn)
-        found = scratch.table(rows_df.select("key", "id", "q").mapInArrow(_matches(width, jaccard, 3, seed + turn), "id bigint, medoid bigint, degree bigint, total binary"), "stars")
+        rows_df = _banded(base, bands, known, near, width, parts, seed + turn)
+        found = scratch.table(rows_df.select("key", "id", "q").mapInArrow(_matches(width, jaccard, 3, seed + turn, turn > 0), "id bigint, medoid bigint, degree bigint, total binary"), "stars")
         sizes, sums = _condense(_nuclei(found, least_rows // 2, 0.72, scratch), (1 + apart) / 2, scratch)
         scratch.drop(found)
         fresh = merge_means(sizes, sums, apart) if len(sizes) else known[:0]
