@@ -120,6 +120,16 @@ def test_scenes_are_found_whole(spark, scene_data):
     assert len(top) == 10 and max(r["size"] for r in top) == max(r["size"] for r in got.values())
 
 
+def test_the_only_scene_is_a_small_one(spark):
+    rng = np.random.default_rng(0)  # the two bands of the first round miss it
+    m = unit(rng.normal(size=(1, 64)))
+    e = rng.normal(size=(20, 64))
+    e -= (e @ m.T) * m
+    x = np.concatenate([unit(m + 0.62 * unit(e)), rng.normal(size=(1500, 64))])
+    got = {(r.id, r.cluster, r["size"]) for r in scenes.scenes(table(spark, x)).collect()}
+    assert {(i, 0) for i in range(20)} == {(i, c) for i, c, _ in got if i < 20} and len(got) < 25
+
+
 def test_scenes_of_nothing_and_of_copies(spark):
     assert scenes.scenes(spark.createDataFrame([], SCHEMA)).count() == 0
     copies = table(spark, np.ones((60, 64)))

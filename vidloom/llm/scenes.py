@@ -13,7 +13,7 @@ medoids of highest degree.
 The components give mean directions. Means of the same scene are merged, every
 vector is assigned to the mean that it is close enough to, means are taken again,
 and the vectors that are near no scene go through banding with other hashes, until
-a round finds no further scene.
+two thorough rounds in a row find no further scene.
 """
 
 from __future__ import annotations
@@ -374,7 +374,7 @@ def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, leas
     rows = base.count()
     known = np.zeros((0, A.DIMS), np.float32)
     near = (similarity + apart) / 2
-    left, turn = rows, 0
+    left, turn, idle = rows, 0, 0
     while left:
         # The first round only takes out the frequent scenes. The later ones see fewer rows, and find the small scenes.
         count, width = (2, 4) if turn == 0 else _bands(left)
@@ -387,18 +387,22 @@ def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, leas
         fresh = merge_means(sizes, sums, apart) if len(sizes) else known[:0]
         if len(known) and len(fresh):
             fresh = fresh[(fresh @ known.T).max(axis=1) < apart]
-        if not len(fresh):
+        more = False
+        if len(fresh):
+            trial = np.vstack([known, fresh])
+            for least in (near, similarity):
+                n, t = _means(base, trial, least)
+                trial = merge_means(n[n >= least_rows // 2], t[n >= least_rows // 2], apart)
+            n, t = _means(base, trial, similarity)
+            trial = merge_means(n[n >= least_rows], t[n >= least_rows], apart)
+            more = len(trial) > len(known)
+        if more:
+            known, left = trial, rows - int(n.sum())
+        # Only rounds that look for small scenes end the search: two in a row, with other hashes, that find none.
+        idle = 0 if more or turn == 0 else idle + 1
+        if idle == 2:
             break
-        trial = np.vstack([known, fresh])
-        for least in (near, similarity):
-            n, t = _means(base, trial, least)
-            trial = merge_means(n[n >= least_rows // 2], t[n >= least_rows // 2], apart)
-        n, t = _means(base, trial, similarity)
-        trial = merge_means(n[n >= least_rows], t[n >= least_rows], apart)
-        if len(trial) <= len(known):
-            break
-        known, turn = trial, turn + 1
-        left = rows - int(n.sum())
+        turn += 1
     if not len(known):
         return spark.createDataFrame([], "id bigint, cluster bigint, similarity double, size bigint")
     placed = scratch.table(_assign(base, known, similarity), "placed")
