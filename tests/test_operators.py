@@ -194,6 +194,16 @@ def test_candidates_by_forest_equal_exact_ones(spark):
     assert {(f"v{i:02}", f"v{i + 1:02}") for i in range(11)} <= set(close) and len(set(close) & set(exact)) >= 0.7 * len(exact)
 
 
+def test_candidates_are_exact_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [rng.normal(size=(12, 16)) for _ in range(12)]
+    frames = frames_of(spark, {f"v{i:02}": np.concatenate([base[i], base[i - 1][:6] + 0.05 * rng.normal(size=(6, 16))]) for i in range(12)})
+    whole = rows(candidates.candidate_pairs(frames, 2, 0.8, method="exact"))
+    monkeypatch.setattr(candidates, "EXACT_VECTORS", 10, raising=False)
+    monkeypatch.setattr(candidates, "BLOCK_VECTORS", 100, raising=False)
+    assert rows(candidates.candidate_pairs(frames, 2, 0.8, trees=1, window=1)) == whole
+
+
 def test_even_positions(spark):
     df = spark.createDataFrame([("a", 10), ("b", 2), ("c", 1)], "video_id string, n int")
     got = rows(candidates.even_positions(df, 4))

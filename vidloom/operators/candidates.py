@@ -3,8 +3,9 @@
 Every video asks with a bounded number of vectors (evenly spaced frames and pooled
 windows) for its nearest vectors among a bounded number per video, so the work
 depends on the number of videos, not of frames. ``exact`` compares every query with
-every vector, in blocks; ``forest`` looks at the neighbours in sorted arrays of hash
-strings, so that its work grows in proportion to the number of videos.
+every vector, in blocks, at every size; ``forest``, only where it is asked for, looks at
+the neighbours in sorted arrays of hash strings, so that its work grows in proportion to
+the number of videos.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window as W
 from . import sorted_arrays as A
 from .similarity import all_pairs, mean_vector
 
-#: Vectors up to which ``auto`` compares exactly.
-EXACT_VECTORS = 200_000
+#: Vectors of a block of ``exact``: about as many as its videos may index.
+BLOCK_VECTORS = 16_384
 
 
 def even_positions(counts: DataFrame, limit: int, video: str = "video_id", n: str = "n") -> DataFrame:
@@ -47,35 +48,45 @@ def window_vectors(frames: DataFrame, seconds: float = 30.0, limit: int = 96) ->
     return even_sample(numbered, limit).select("video_id", F.concat(F.lit("w"), F.col("frame_pos").cast("string")).alias("item"), F.col("mean_vector").alias("vector"))
 
 
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    b = F.pmod(F.xxhash64("video_id"), F.lit(size))
-    return vectors.groupBy(b.alias("b")).agg(F.collect_list(F.struct("video_id", "item", "vector")).alias("items"))
+def _exact_nearest(ask: DataFrame, index: DataFrame, k: int, digits: int, size: int | None = None) -> DataFrame:
+    """``src``, ``query``, ``tgt``, ``tie``, ``sim``: the best ``k`` vectors of each block for every query.
 
-
-def _exact_nearest(ask: DataFrame, index: DataFrame, k: int, blocks: int, digits: int) -> DataFrame:
-    """``src``, ``query``, ``tgt``, ``tie``, ``sim``: the best ``k`` vectors of each block for every query."""
-    left = _blocks(ask, blocks).select(F.col("items").alias("q"))
-    right = _blocks(index, blocks).select(F.col("items").alias("x"))
+    Every block of queries meets every block of the index in a task of its own, which holds these two blocks only.
+    """
+    size = size or BLOCK_VECTORS
+    nq, nx = (max(1, -(-d.count() // size)) for d in (ask, index))
     kind = ask.schema["video_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unit(items: list) -> np.ndarray:
-            e = np.stack([np.asarray(i["vector"], dtype=np.float64) for i in items])
-            m = np.sqrt((e * e).sum(axis=1, keepdims=True))
-            return e / np.where(m > 0, m, 1.0)
+    def placed(d: DataFrame, asks: bool, own: int, others: int) -> DataFrame:
+        b, o = F.pmod(F.xxhash64("video_id", "item"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("o")
+        part = b * others + F.col("o") if asks else F.col("o") * own + b
+        d = d.select("video_id", "item", "vector", o).withColumn("part", part.cast("int"))
+        return d.select("part", F.lit(asks).alias("asks"), "video_id", "item", "vector")
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        e = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+        m = np.sqrt((e * e).sum(axis=1, keepdims=True))
+        return e / np.where(m > 0, m, 1.0)
 
-        for batch in batches:
-            for q, x in zip(batch["q"], batch["x"]):
-                s = np.round(unit(q) @ unit(x).T, digits)
-                owners = np.array([i["video_id"] for i in x])
-                tie = np.array([f"{i['video_id']}|{i['item']}" for i in x])
-                order = np.lexsort((np.broadcast_to(tie, s.shape), -s), axis=1)[:, :k]
-                for r, item in enumerate(q):
-                    c = order[r]
-                    yield pd.DataFrame({"src": [item["video_id"]] * len(c), "query": item["item"], "tgt": owners[c], "tie": tie[c], "sim": s[r, c]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [x for x in batches if len(x)]
+        if not got:
+            return
+        rows = pd.concat(got, ignore_index=True)
+        q, x = rows[rows["asks"]], rows[~rows["asks"]]
+        if not len(q) or not len(x):
+            return
+        x = x.assign(tie=[f"{v}|{i}" for v, i in zip(x["video_id"], x["item"])]).sort_values("tie", kind="stable")
+        owners, tie, e = x["video_id"].to_numpy(), x["tie"].to_numpy(), unit(x["vector"])
+        for a in range(0, len(q), 256):
+            mine = q.iloc[a : a + 256]
+            s = np.round(unit(mine["vector"]) @ e.T, digits)
+            c = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties stay in the order of tie
+            n = c.shape[1]
+            yield pd.DataFrame({"src": np.repeat(mine["video_id"].to_numpy(), n), "query": np.repeat(mine["item"].to_numpy(), n), "tgt": owners[c.ravel()], "tie": tie[c.ravel()], "sim": np.take_along_axis(s, c, 1).ravel()})
 
-    # Blocks of a stated, bounded set of vectors against blocks of another one.
-    return left.crossJoin(right).mapInPandas(run, f"src {kind}, query string, tgt {kind}, tie string, sim double")
+    both = placed(ask, True, nq, nx).unionAll(placed(index, False, nx, nq))
+    return A.by_range(both, nq * nx).select("asks", "video_id", "item", "vector").mapInPandas(run, f"src {kind}, query string, tgt {kind}, tie string, sim double")
 
 
 def _forest_nearest(ask: DataFrame, index: DataFrame, k: int, trees: int, window: int, digits: int, rows_per_part: int = 60_000, seed: int = 23) -> DataFrame:
@@ -132,8 +143,8 @@ def candidate_pairs(
 
     ``frames``: ``video_id``, ``frame_pos`` (0, 1, ... per video), ``ts``, ``embedding``. A limit of 0, or one that
     leaves nothing to choose, gives all pairs. Ties go to the smaller video. Rows with null columns don't take part.
-    ``auto`` takes ``exact`` for up to ``EXACT_VECTORS`` indexed vectors and ``forest`` beyond, which may miss some of
-    the nearest vectors of a query, as any approximate index does, but asks for every video and indexes every vector.
+    ``auto`` is ``exact`` at every size: its work grows with the square of the number of videos. ``forest`` must be asked
+    for: it may miss some of the nearest vectors of a query, as any approximate index does.
     """
     f = frames.select("video_id", F.col("frame_pos").cast("long").alias("frame_pos"), "ts", F.col("embedding").cast("array<double>").alias("embedding"))
     f = f.where("video_id is not null and frame_pos is not null and size(embedding) > 0")
@@ -147,10 +158,10 @@ def candidate_pairs(
     index = even_sample(f, max(representatives, index_frames)).select("video_id", frame_item, F.col("embedding").alias("vector")).unionByName(windows)
     coarse = max(0.35, min(0.90, match_threshold - 0.16))
     k = max(128, limit * 16)
-    if method == "forest" or (method == "auto" and index.count() > EXACT_VECTORS):
+    if method == "forest":
         near = _forest_nearest(ask, index, k, trees, window, digits)
     else:
-        near = _exact_nearest(ask, index, k, max(1, -(-n // block_videos)), digits)
+        near = _exact_nearest(ask, index, k, digits, block_videos * BLOCK_VECTORS // 64)
     rank = F.row_number().over(W.partitionBy("src", "query").orderBy(F.desc("sim"), "tie"))
     near = near.withColumn("rank", rank).where(F.col("rank") <= k).where("src <> tgt")
     best = near.groupBy("src", "tgt", "query").agg(F.max("sim").alias("s")).where("s > 0")
