@@ -151,14 +151,59 @@ def test_scenarios_of_whole_videos(spark):
     assert a.segments.where("a = 'same1' and b = 'same2'").count() >= 1 and a.windows.count() > 0
 
 
-def test_early_stop_changes_only_raw_stats(spark):
+def test_early_stop_skips_the_larger_side(spark):
     rng = np.random.default_rng(3)
-    frames = frames_of(spark, {"a": rng.normal(size=(5, 64)), "b": rng.normal(size=(9, 64))})
-    s = similarity.pair_similarities(similarity.frame_blocks(frames), similarity.all_pairs(frames), 2)
-    full, short = similarity.raw_stats(s).first(), similarity.raw_stats(s, early_stop=True).first()
-    assert full.raw_max == short.raw_max
-    best = [max(r.sim, 0) for r in s.where("rank = 1 and direction = 'A_to_B'").collect()]
-    assert short.raw_p95 == pytest.approx(np.percentile(best, 95))
+    base = rng.normal(size=(9, 64))
+    frames = frames_of(spark, {"a": rng.normal(size=(5, 64)), "b": base, "c": base[:4] + 0.1})
+    blocks, pairs = similarity.frame_blocks(frames, block=3), similarity.all_pairs(frames)
+    s = similarity.pair_similarities(blocks, pairs, 2)
+    early = similarity.early_stopped_similarities(blocks, pairs, 2, 0.65)
+    have, every = set(rows(early)), set(rows(s))
+    assert have < every and {(r[0], r[1], r[2]) for r in every - have} == {("a", "b", "B_to_A"), ("a", "c", "A_to_B")}
+    best = [max(r.sim, 0) for r in s.where("rank = 1 and a = 'a' and b = 'b' and direction = 'A_to_B'").collect()]
+    assert similarity.raw_stats(early).where("a = 'a' and b = 'b'").first().raw_p95 == pytest.approx(np.percentile(best, 95))
+    few = similarity.pair_similarities(blocks, pairs, 2, least=0.65)
+    assert rows(few.where("sim >= 0.65")) == rows(s.where("sim >= 0.65")) and few.where("rank = 1").count() == s.where("rank = 1").count()
+
+
+def test_vectors_of_different_lengths(spark):
+    bad = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [1.0])], "video_id string, frame_pos int, embedding array<float>")
+    with pytest.raises(Exception, match="different lengths"):
+        similarity.frame_blocks(bad).count()
+    with pytest.raises(Exception, match="different lengths"):
+        similarity.mean_vector(bad, ["video_id"]).count()
+
+
+def test_mean_vectors_of_many_batches(spark):
+    data = [(k, [float(i), float(-i)]) for k in ("x", None, "y") for i in range(300)] + [("x", None), ("x", []), ("z", [0.0, 0.0])]
+    df = spark.createDataFrame(data, "k string, embedding array<float>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.k: list(r.mean_vector) for r in similarity.mean_vector(df, ["k"], normalize=False).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {"x": [149.5, -149.5], None: [149.5, -149.5], "y": [149.5, -149.5], "z": [0.0, 0.0]}
+
+
+def test_search_equals_sorting(spark):
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(400, 8)).round(1)
+    e[50] = e[20]
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(e)] + [(900, None), (901, []), (None, [1.0] * 8), (902, [1.0] * 9), (3, [float(x) for x in e[3]])]
+    df = spark.createDataFrame(data, "vec_id int, embedding array<float>").withColumn("owner", F.lit("clash"))
+    got = {}
+    for r in similarity.search_top_k(df, df.where("vec_id < 30 or vec_id = 902"), 4, block=8).collect():
+        got.setdefault(r.query, {})[r["rank"]] = r.vec_id
+    u = e.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    assert got.pop(902) == {1: 902}
+    assert got == {i: dict(enumerate(sorted(range(400), key=lambda j: (-s[i, j], j))[:4], 1)) for i in range(30)}
+
+
+def test_media_durations(spark):
+    f = spark.createDataFrame([("a", 0, 3.0, 0.0, 9.5), ("a", 1, 4.0, None, None), ("b", 0, 2.0, -1.0, None), ("c", 0, None, None, math.nan)], "video_id string, frame_pos int, ts double, duration_sec double, retained_duration_sec double")
+    assert rows(analyze.video_facts(f)) == [("a", 2, 9.5), ("b", 1, 2.0), ("c", 1, 0.0)]
 
 
 def test_vector_statistics(spark):
@@ -199,9 +244,10 @@ def test_candidates_are_exact_at_every_size(spark, monkeypatch):
     base = [rng.normal(size=(12, 16)) for _ in range(12)]
     frames = frames_of(spark, {f"v{i:02}": np.concatenate([base[i], base[i - 1][:6] + 0.05 * rng.normal(size=(6, 16))]) for i in range(12)})
     whole = rows(candidates.candidate_pairs(frames, 2, 0.8, method="exact"))
-    monkeypatch.setattr(candidates, "EXACT_VECTORS", 10, raising=False)
-    monkeypatch.setattr(candidates, "BLOCK_VECTORS", 100, raising=False)
-    assert rows(candidates.candidate_pairs(frames, 2, 0.8, trees=1, window=1)) == whole
+    monkeypatch.setattr(candidates, "TILE", 100)
+    assert rows(candidates.candidate_pairs(frames, 2, 0.8, block=30)) == whole
+    with pytest.raises(ValueError):
+        candidates.candidate_pairs(frames, 2, 0.8, method="auto")
 
 
 def test_even_positions(spark):

@@ -3,9 +3,11 @@
 Every video asks with a bounded number of vectors (evenly spaced frames and pooled
 windows) for its nearest vectors among a bounded number per video, so the work
 depends on the number of videos, not of frames. ``exact`` compares every query with
-every vector, in blocks, at every size; ``forest``, only where it is asked for, looks at
-the neighbours in sorted arrays of hash strings, so that its work grows in proportion to
-the number of videos.
+every vector at every size: a task holds a block of queries with their best so far,
+and the vectors pass through it tile by tile. ``forest`` is the approximate form, for
+collections whose square is too much: it looks at the neighbours in sorted arrays of
+hash strings, so that its work grows in proportion to the number of videos. Which of
+them is used is the caller's choice, never the size's.
 """
 
 from __future__ import annotations
@@ -14,15 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import Scratch
 from . import sorted_arrays as A
-from .similarity import all_pairs, mean_vector
+from .similarity import all_pairs, mean_vector, top_of_rows
 
-#: Vectors of a block of ``exact``: about as many as its videos may index.
-BLOCK_VECTORS = 16_384
+#: Queries that a task of ``exact`` holds, with their best vectors so far.
+QUERY_BLOCK = 8_192
+#: Cells of a tile: queries times vectors that are compared at once.
+TILE = 4_000_000
 
 
 def even_positions(counts: DataFrame, limit: int, video: str = "video_id", n: str = "n") -> DataFrame:
@@ -48,61 +54,129 @@ def window_vectors(frames: DataFrame, seconds: float = 30.0, limit: int = 96) ->
     return even_sample(numbered, limit).select("video_id", F.concat(F.lit("w"), F.col("frame_pos").cast("string")).alias("item"), F.col("mean_vector").alias("vector"))
 
 
-def _exact_nearest(ask: DataFrame, index: DataFrame, k: int, digits: int, size: int | None = None) -> DataFrame:
-    """``src``, ``query``, ``tgt``, ``tie``, ``sim``: the best ``k`` vectors of each block for every query.
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists of a column and their numbers one after another."""
+    return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
 
-    Every block of queries meets every block of the index in a task of its own, which holds these two blocks only.
-    """
-    size = size or BLOCK_VECTORS
-    nq, nx = (max(1, -(-d.count() // size)) for d in (ask, index))
-    kind = ask.schema["video_id"].dataType.simpleString()
-
-    def placed(d: DataFrame, asks: bool, own: int, others: int) -> DataFrame:
-        b, o = F.pmod(F.xxhash64("video_id", "item"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("o")
-        part = b * others + F.col("o") if asks else F.col("o") * own + b
-        d = d.select("video_id", "item", "vector", o).withColumn("part", part.cast("int"))
-        return d.select("part", F.lit(asks).alias("asks"), "video_id", "item", "vector")
-
-    def unit(vectors: pd.Series) -> np.ndarray:
-        e = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        m = np.sqrt((e * e).sum(axis=1, keepdims=True))
-        return e / np.where(m > 0, m, 1.0)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [x for x in batches if len(x)]
-        if not got:
-            return
-        rows = pd.concat(got, ignore_index=True)
-        q, x = rows[rows["asks"]], rows[~rows["asks"]]
-        if not len(q) or not len(x):
+
+def _unit(e: np.ndarray) -> np.ndarray:
+    m = np.sqrt((e * e).sum(axis=1, keepdims=True))
+    return e / np.where(m > 0, m, 1.0)
+
+
+class _Best:
+    """The best ``k`` vectors of each of some queries, while vectors pass in order of their identifier."""
+
+    def __init__(self, u: np.ndarray, k: int, digits: int):
+        self.u, self.k, self.digits = u, k, digits
+        self.r, self.s = np.zeros(0, np.int64), np.zeros(0)
+        self.ids, self.owners = np.zeros(0, object), np.zeros(0, object)
+        self.kth = np.full(len(u), -np.inf)
+
+    def see(self, x: np.ndarray, ids: np.ndarray, owners: np.ndarray) -> None:
+        step = max(1, TILE // max(1, len(x)))
+        rs, cs, ss = [], [], []
+        for a in range(0, len(self.u), step):
+            s = np.round(self.u[a : a + step] @ x.T, self.digits) + 0.0
+            better = s > self.kth[a : a + step, None]  # a later vector that ties comes after those that are there
+            if better.sum() > 4 * self.k * len(s):
+                r, c = top_of_rows(s, self.k)
+                ok = better[r, c]
+                r, c = r[ok], c[ok]
+            else:
+                r, c = np.nonzero(better)
+            rs.append(r + a)
+            cs.append(c)
+            ss.append(s[r, c])
+        r, c = np.concatenate(rs), np.concatenate(cs)
+        if not len(r):
             return
-        x = x.assign(tie=[f"{v}|{i}" for v, i in zip(x["video_id"], x["item"])]).sort_values("tie", kind="stable")
-        owners, tie, e = x["video_id"].to_numpy(), x["tie"].to_numpy(), unit(x["vector"])
-        for a in range(0, len(q), 256):
-            mine = q.iloc[a : a + 256]
-            s = np.round(unit(mine["vector"]) @ e.T, digits)
-            c = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties stay in the order of tie
-            n = c.shape[1]
-            yield pd.DataFrame({"src": np.repeat(mine["video_id"].to_numpy(), n), "query": np.repeat(mine["item"].to_numpy(), n), "tgt": owners[c.ravel()], "tie": tie[c.ravel()], "sim": np.take_along_axis(s, c, 1).ravel()})
-
-    both = placed(ask, True, nq, nx).unionAll(placed(index, False, nx, nq))
-    return A.by_range(both, nq * nx).select("asks", "video_id", "item", "vector").mapInPandas(run, f"src {kind}, query string, tgt {kind}, tie string, sim double")
-
-
-def _forest_nearest(ask: DataFrame, index: DataFrame, k: int, trees: int, window: int, digits: int, rows_per_part: int = 60_000, seed: int = 23) -> DataFrame:
-    """As ``_exact_nearest``, from the ``window`` neighbours on either side in each of several sorted arrays."""
-    both = ask.withColumn("asks", F.lit(True)).withColumn("held", F.lit(False)).unionByName(index.withColumn("asks", F.lit(False)).withColumn("held", F.lit(True)))
-    both = both.groupBy("video_id", "item").agg(F.first("vector").alias("vector"), F.max("asks").alias("asks"), F.max("held").alias("held"))
-    both = both.withColumn("uid", F.xxhash64("video_id", "item"))
+        every = np.concatenate([self.r, r])
+        s = np.concatenate([self.s, *ss])
+        came = np.concatenate([np.full(len(self.r), -1), c])
+        order = np.lexsort((came, -s, every))  # stable: those that were there stay in their order
+        rank = np.arange(len(order)) - np.searchsorted(every[order], every[order])
+        order = order[rank < self.k]
+        self.ids, self.owners = np.concatenate([self.ids, ids[c]])[order], np.concatenate([self.owners, owners[c]])[order]
+        self.r, self.s = every[order], s[order]
+        n = np.bincount(self.r, minlength=len(self.u))
+        full = np.flatnonzero(n == self.k)
+        self.kth[full] = self.s[np.cumsum(n)[full] - 1]
+
+
+def nearest(asks: DataFrame, index: DataFrame, k: int, digits: int = 6, block: int | None = None) -> DataFrame:
+    """``query``, ``src``, ``tgt``, ``owner``, ``sim``: for every query the best ``k`` vectors of each part of the index.
+
+    Both have ``id``, ``owner`` and ``vector`` (array of doubles); ``src`` is the owner of the query, ``owner`` that of
+    the vector. Ties go to the smaller ``id``. Every block of queries meets every part of the index in a task of its own,
+    that holds the queries only: the index passes in tiles. Vectors of another length than a query aren't compared with it.
+    """
+    parallel = 2 * asks.sparkSession.sparkContext.defaultParallelism
+    n_asks, n_index = asks.count(), index.count()
+    nq = max(1, -(-n_asks // (block or QUERY_BLOCK)))
+    nx = max(1, min(-(-parallel // nq), -(-n_index // 1024)))
+    kinds = {c: index.schema[c].dataType.simpleString() for c in ("id", "owner")}
+    ask_kinds = {c: asks.schema[c].dataType.simpleString() for c in ("id", "owner")}
+
+    def placed(d: DataFrame, asking: bool, own: int, others: int) -> DataFrame:
+        b = F.pmod(F.xxhash64("id", "owner"), F.lit(own))
+        o = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("o")
+        d = d.select("id", "owner", "vector", o).withColumn("part", (b * others + F.col("o") if asking else F.col("o") * own + b).cast("int"))
+        null = {c: F.lit(None).cast((kinds if asking else ask_kinds)[c]) for c in ("id", "owner")}
+        q, x = ({c: F.col(c) for c in null}, null) if asking else (null, {c: F.col(c) for c in null})
+        return d.select("part", F.lit(0 if asking else 1).alias("turn"), q["id"].alias("qid"), q["owner"].alias("qowner"), x["id"].alias("xid"), x["owner"].alias("xowner"), "vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}
+        best: dict[int, tuple[_Best, pa.Array, pa.Array]] = {}
+        types: dict = {}
+        for b in batches:
+            turn = b.column("turn").to_numpy()
+            cut = int(np.searchsorted(turn, 1))
+            types = {c: b.column(c).type for c in ("qid", "qowner", "xid", "xowner")}
+            for part, asking in ((b.slice(0, cut), True), (b.slice(cut), False)):
+                if not part.num_rows:
+                    continue
+                sizes, flat = _lists(part.column("vector"))
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                for d in np.unique(sizes):
+                    pick = np.flatnonzero(sizes == d)
+                    e, take = _unit(flat[at[pick][:, None] + np.arange(d)]), pa.array(pick)
+                    if asking:
+                        waiting.setdefault(int(d), []).append((e, part.column("qid").take(take), part.column("qowner").take(take)))
+                        continue
+                    if d in waiting:
+                        es, ids, owners = zip(*waiting.pop(d))
+                        best[d] = (_Best(np.concatenate(es), k, digits), pa.concat_arrays(ids), pa.concat_arrays(owners))
+                    if d in best:
+                        best[d][0].see(e, *(part.column(c).take(take).to_numpy(zero_copy_only=False) for c in ("xid", "xowner")))
+        for found, ids, owners in best.values():
+            for a in range(0, len(found.r), 100_000):
+                z = slice(a, a + 100_000)
+                r = pa.array(found.r[z])
+                arrays = [ids.take(r), owners.take(r), pa.array(found.ids[z].tolist(), types["xid"]), pa.array(found.owners[z].tolist(), types["xowner"]), pa.array(found.s[z])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["query", "src", "tgt", "owner", "sim"])
+
+    both = A.by_range(placed(asks, True, nq, nx).unionAll(placed(index, False, nx, nq)), nq * nx).sortWithinPartitions("turn", "xid")
+    return both.drop("part").mapInArrow(run, f"query {ask_kinds['id']}, src {ask_kinds['owner']}, tgt {kinds['id']}, owner {kinds['owner']}, sim double")
+
+
+def nearest_by_forest(asks: DataFrame, index: DataFrame, k: int, trees: int = 8, window: int = 2048, digits: int = 6, rows_per_part: int = 60_000, seed: int = 23) -> DataFrame:
+    """As ``nearest``, from the ``window`` neighbours on either side in each of several sorted arrays.
+
+    Range borders come from a sample of at most 4 * ``SAMPLE_ROWS`` vectors; every vector is in every array.
+    """
+    both = asks.withColumn("asks", F.lit(True)).withColumn("held", F.lit(False)).unionByName(index.withColumn("asks", F.lit(False)).withColumn("held", F.lit(True)))
+    both = both.groupBy("id", "owner").agg(F.first("vector").alias("vector"), F.max("asks").alias("asks"), F.max("held").alias("held"))
+    both = both.withColumn("uid", F.xxhash64("id", "owner"))
     rows = index.count()
     every = max(1, rows // A.SAMPLE_ROWS)
-    # A bounded sample fits the range borders; every vector is in every array.
-    sample = index.where(F.pmod(F.xxhash64("video_id", "item"), F.lit(every)) == 0).select("vector").limit(4 * A.SAMPLE_ROWS).toPandas()["vector"]
+    sample = index.where(F.pmod(F.xxhash64("id", "owner"), F.lit(every)) == 0).select("vector").limit(4 * A.SAMPLE_ROWS).toPandas()["vector"]
     first = np.stack([np.asarray(v, dtype=np.float32) for v in sample]) if len(sample) else np.zeros((0, 1), np.float32)
     h = A.planes(trees, A.BITS, first.shape[1], seed)
     parts = max(1, -(-rows // rows_per_part))
     edges = [A.borders(A.bit_strings(first, t), parts) for t in h]
-    kind = ask.schema["video_id"].dataType.simpleString()
+    kinds = {c: asks.schema[c].dataType.simpleString() for c in ("id", "owner")}
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -116,58 +190,69 @@ def _forest_nearest(ask: DataFrame, index: DataFrame, k: int, trees: int, window
         got = [x for x in batches if len(x)]
         if not got:
             return
-        x = pd.concat(got).sort_values(["key", "video_id", "item"], kind="stable", ignore_index=True)
-        e = np.stack([np.asarray(v, dtype=np.float64) for v in x["vector"]])
-        m = np.sqrt((e * e).sum(axis=1, keepdims=True))
-        e /= np.where(m > 0, m, 1.0)
+        x = pd.concat(got).sort_values(["key", "id"], kind="stable", ignore_index=True)
+        e = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in x["vector"]]))
         held, asking = np.flatnonzero(x["held"].to_numpy(bool)), np.flatnonzero(x["asks"].to_numpy(bool))
         place = np.searchsorted(held, asking)
-        videos, items = x["video_id"].to_numpy(), x["item"].to_numpy()
-        for i, p in zip(asking, place):
-            near = held[max(0, p - window) : p + window]
-            s = np.round(e[near] @ e[i], digits)
-            top = np.argsort(-s, kind="stable")[:k]
-            tgt = videos[near[top]]
-            yield pd.DataFrame({"src": [videos[i]] * len(top), "query": items[i], "tgt": tgt, "tie": [f"{v}|{w}" for v, w in zip(tgt, items[near[top]])], "sim": s[top]})
-
-    fields = f"video_id {kind}, item string, vector array<double>, asks boolean, held boolean, key bigint, part bigint"
+        ids, owners = x["id"].to_numpy(), x["owner"].to_numpy()
+        del x, got
+        for a in range(0, len(asking), 128):
+            mine, p = asking[a : a + 128], place[a : a + 128]
+            near = held[max(0, p[0] - window) : p[-1] + window]
+            r, c = top_of_rows(np.round(e[mine] @ e[near].T, digits) + 0.0, k)
+            q, t = mine[r], near[c]
+            yield pd.DataFrame({"query": ids[q], "src": owners[q], "tgt": ids[t], "owner": owners[t], "sim": np.round((e[q] * e[t]).sum(axis=1), digits)})
+
+    fields = f"id {kinds['id']}, owner {kinds['owner']}, vector array<double>, asks boolean, held boolean, key bigint, part bigint"
     placed = A.by_range(both.mapInPandas(spread, fields).withColumn("part", F.col("part").cast("int")), parts * trees)
-    return placed.mapInPandas(look, f"src {kind}, query string, tgt {kind}, tie string, sim double").distinct()
+    return placed.mapInPandas(look, f"query {kinds['id']}, src {kinds['owner']}, tgt {kinds['id']}, owner {kinds['owner']}, sim double").dropDuplicates(["query", "src", "tgt", "owner"])
+
+
+def asking_vectors(frames: DataFrame, representatives: int = 64, index_frames: int = 2048, window_seconds: float = 30.0, max_windows: int = 96) -> tuple[DataFrame, DataFrame]:
+    """The vectors with which videos ask, and those among which they look: ``id`` (video and item), ``owner``, ``vector``."""
+    frame_item = F.concat(F.lit("f"), F.col("frame_pos").cast("string")).alias("item")
+    windows = window_vectors(frames, window_seconds, max(1, max_windows))
+
+    def shaped(limit: int) -> DataFrame:
+        v = even_sample(frames, limit).select("video_id", frame_item, F.col("embedding").alias("vector")).unionByName(windows)
+        return v.select(F.concat_ws("|", F.col("video_id").cast("string"), "item").alias("id"), F.col("video_id").alias("owner"), "vector")
+
+    return shaped(max(4, representatives)), shaped(max(representatives, index_frames))
 
 
 def candidate_pairs(
-    frames: DataFrame, limit: int, match_threshold: float, representatives: int = 64, index_frames: int = 2048, window_seconds: float = 30.0, max_windows: int = 96, block_videos: int = 64, digits: int = 6,
-    method: str = "auto", trees: int = 8, window: int = 2048,
+    frames: DataFrame, limit: int, match_threshold: float, representatives: int = 64, index_frames: int = 2048, window_seconds: float = 30.0, max_windows: int = 96, digits: int = 6,
+    method: str = "exact", trees: int = 8, window: int = 2048, block: int | None = None, scratch: Scratch | None = None,
 ) -> DataFrame:
     """``a``, ``b`` with ``a`` before ``b``: pairs of which one side is among the ``limit`` best targets of the other.
 
     ``frames``: ``video_id``, ``frame_pos`` (0, 1, ... per video), ``ts``, ``embedding``. A limit of 0, or one that
     leaves nothing to choose, gives all pairs. Ties go to the smaller video. Rows with null columns don't take part.
-    ``auto`` is ``exact`` at every size: its work grows with the square of the number of videos. ``forest`` must be asked
-    for: it may miss some of the nearest vectors of a query, as any approximate index does.
+    ``exact`` compares all queries with all vectors at every size: its work grows with the square of the number of
+    videos, its memory doesn't. ``forest`` may miss some of the nearest vectors of a query, as any approximate index
+    does (recall in the README).
     """
+    if method not in ("exact", "forest"):
+        raise ValueError(f"unknown method {method}")
+    scratch = scratch or Scratch(frames.sparkSession, "candidates")
     f = frames.select("video_id", F.col("frame_pos").cast("long").alias("frame_pos"), "ts", F.col("embedding").cast("array<double>").alias("embedding"))
     f = f.where("video_id is not null and frame_pos is not null and size(embedding) > 0")
     videos = f.select("video_id").distinct()
     n = videos.count()
     if n < 2 or limit <= 0 or limit >= n - 1:
         return all_pairs(videos)
-    frame_item = F.concat(F.lit("f"), F.col("frame_pos").cast("string")).alias("item")
-    windows = window_vectors(f, window_seconds, max(1, max_windows))
-    ask = even_sample(f, max(4, representatives)).select("video_id", frame_item, F.col("embedding").alias("vector")).unionByName(windows)
-    index = even_sample(f, max(representatives, index_frames)).select("video_id", frame_item, F.col("embedding").alias("vector")).unionByName(windows)
+    ask, index = (scratch.table(v, "vectors") for v in asking_vectors(f, representatives, index_frames, window_seconds, max_windows))
     coarse = max(0.35, min(0.90, match_threshold - 0.16))
     k = max(128, limit * 16)
-    if method == "forest":
-        near = _forest_nearest(ask, index, k, trees, window, digits)
-    else:
-        near = _exact_nearest(ask, index, k, digits, block_videos * BLOCK_VECTORS // 64)
-    rank = F.row_number().over(W.partitionBy("src", "query").orderBy(F.desc("sim"), "tie"))
-    near = near.withColumn("rank", rank).where(F.col("rank") <= k).where("src <> tgt")
-    best = near.groupBy("src", "tgt", "query").agg(F.max("sim").alias("s")).where("s > 0")
-    asked = ask.groupBy("video_id").agg(F.count(F.lit(1)).alias("queries"))
+    near = nearest_by_forest(ask, index, k, trees, window, digits) if method == "forest" else nearest(ask, index, k, digits, block)
+    rank = F.row_number().over(W.partitionBy("src", "query").orderBy(F.desc("sim"), "tgt"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= k).where("src <> owner")
+    best = near.groupBy("src", F.col("owner").alias("tgt"), "query").agg(F.max("sim").alias("s")).where("s > 0")
+    asked = ask.groupBy(F.col("owner").alias("video_id")).agg(F.count(F.lit(1)).alias("queries"))
     scored = best.groupBy("src", "tgt").agg(F.sort_array(F.collect_list("s"), asc=False).alias("scores")).join(asked, F.col("src") == F.col("video_id"))
-    return ranked_pairs(scored, limit, coarse, match_threshold)
+    out = scratch.table(ranked_pairs(scored, limit, coarse, match_threshold), "pairs")
+    scratch.drop(ask, index)
+    return out
 
 
 def candidate_score(scores: str, queries: str, coarse: float, strong: float):  # noqa: ANN201

