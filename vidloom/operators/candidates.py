@@ -105,7 +105,7 @@ class _Best:
 
 
 def nearest(asks: DataFrame, index: DataFrame, k: int, digits: int = 6, block: int | None = None) -> DataFrame:
-    """``query``, ``src``, ``tgt``, ``owner``, ``sim``: for every query the best ``k`` vectors of each part of the index.
+    """``query``, ``src``, ``tgt``, ``owner``, ``sim``: for every query the best ``k`` vectors of the index.
 
     Both have ``id``, ``owner`` and ``vector`` (array of doubles); ``src`` is the owner of the query, ``owner`` that of
     the vector. Ties go to the smaller ``id``. Every block of queries meets every part of the index in a task of its own,
@@ -113,7 +113,10 @@ def nearest(asks: DataFrame, index: DataFrame, k: int, digits: int = 6, block: i
     """
     parallel = 2 * asks.sparkSession.sparkContext.defaultParallelism
     n_asks, n_index = asks.count(), index.count()
-    nq = max(1, -(-n_asks // (block or QUERY_BLOCK)))
+    # Every query block takes the whole index, every index part gives k rows a query: as many of each as move least.
+    wide = 8 * (asks.select(F.size("vector")).first() or [1])[0]
+    balanced = round((n_asks * k * 64 * parallel / max(1, n_index * wide)) ** 0.5)
+    nq = max(1, -(-n_asks // (block or QUERY_BLOCK)), min(balanced, parallel, -(-n_asks // 64)))
     nx = max(1, min(-(-parallel // nq), -(-n_index // 1024)))
     kinds = {c: index.schema[c].dataType.simpleString() for c in ("id", "owner")}
     ask_kinds = {c: asks.schema[c].dataType.simpleString() for c in ("id", "owner")}
@@ -158,7 +161,14 @@ def nearest(asks: DataFrame, index: DataFrame, k: int, digits: int = 6, block: i
                 yield pa.RecordBatch.from_arrays(arrays, names=["query", "src", "tgt", "owner", "sim"])
 
     both = A.by_range(placed(asks, True, nq, nx).unionAll(placed(index, False, nx, nq)), nq * nx).sortWithinPartitions("turn", "xid")
-    return both.drop("part").mapInArrow(run, f"query {ask_kinds['id']}, src {ask_kinds['owner']}, tgt {kinds['id']}, owner {kinds['owner']}, sim double")
+    found = both.drop("part").mapInArrow(run, f"query {ask_kinds['id']}, src {ask_kinds['owner']}, tgt {kinds['id']}, owner {kinds['owner']}, sim double")
+    return found if nx == 1 else best_of(found, k)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` rows of every query; ties go to the smaller identifier."""
+    rank = F.row_number().over(W.partitionBy("src", "query").orderBy(F.desc("sim"), "tgt"))
+    return found.withColumn("__rn", rank).where(F.col("__rn") <= k).drop("__rn")
 
 
 def nearest_by_forest(asks: DataFrame, index: DataFrame, k: int, trees: int = 8, window: int = 2048, digits: int = 6, rows_per_part: int = 60_000, seed: int = 23) -> DataFrame:
@@ -244,9 +254,8 @@ def candidate_pairs(
     ask, index = (scratch.table(v, "vectors") for v in asking_vectors(f, representatives, index_frames, window_seconds, max_windows))
     coarse = max(0.35, min(0.90, match_threshold - 0.16))
     k = max(128, limit * 16)
-    near = nearest_by_forest(ask, index, k, trees, window, digits) if method == "forest" else nearest(ask, index, k, digits, block)
-    rank = F.row_number().over(W.partitionBy("src", "query").orderBy(F.desc("sim"), "tgt"))
-    near = near.withColumn("rank", rank).where(F.col("rank") <= k).where("src <> owner")
+    near = best_of(nearest_by_forest(ask, index, k, trees, window, digits), k) if method == "forest" else nearest(ask, index, k, digits, block)
+    near = near.where("src <> owner")
     best = near.groupBy("src", F.col("owner").alias("tgt"), "query").agg(F.max("sim").alias("s")).where("s > 0")
     asked = ask.groupBy(F.col("owner").alias("video_id")).agg(F.count(F.lit(1)).alias("queries"))
     scored = best.groupBy("src", "tgt").agg(F.sort_array(F.collect_list("s"), asc=False).alias("scores")).join(asked, F.col("src") == F.col("video_id"))
