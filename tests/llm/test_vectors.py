@@ -68,12 +68,41 @@ def test_copies_norms_and_invalid_vectors(spark):
     assert forest.neighbours(spark.createDataFrame(data[:1], SCHEMA), 5).count() == 0
 
 
+def test_all_trees_ascend_to_one_prefix_length():
+    rng = np.random.default_rng(4)
+    u = unit(rng.normal(size=(3000, 64))).astype(np.float32)
+    u[:400] = unit(u[:1] + 0.002 * rng.normal(size=(400, 64)))  # they share more bits than the table counts
+    h = A.planes(4, A.BITS, 64, 1)
+    keys = [A.bit_strings(u, t) for t in h]
+    small = forest.SmallForest(u, h, len(u))
+    level = small.levels(keys, 200.0)
+    share = lambda i, x: sum(int(((k >> (A.BITS - x)) == (k[i] >> (A.BITS - x))).sum()) for k in keys)
+    for i in (0, 5, 399, 400, 1234, 2999):
+        assert share(i, int(level[i])) >= 200 and (level[i] == A.BITS or share(i, int(level[i]) + 1) < 200)
+    assert level[:400].min() > forest.TABLE_BITS > level[400:].max()
+    order = np.argsort(keys[0])
+    lo, hi = forest.reach(keys[0][order], np.arange(3000), level[order], 10_000)
+    i = int(np.flatnonzero(order == 1234)[0])
+    assert hi[i] - lo[i] == ((keys[0] >> (A.BITS - level[1234])) == (keys[0][1234] >> (A.BITS - level[1234]))).sum()
+    lo, hi = forest.reach(keys[0][order], np.arange(3000), level[order], 5)
+    assert (hi - lo).max() <= 11 and (lo <= np.arange(3000)).all() and (hi > np.arange(3000)).all()
+
+
+def test_class_keys_tell_vectors_apart():
+    rng = np.random.default_rng(8)
+    u = unit(rng.normal(size=(20000, 64))).astype("<f4")
+    v = u.copy()
+    v[:, 7] += 2e-5
+    k = forest._class_keys(A.binary(np.concatenate([u, v, u])))
+    assert len(np.unique(k[:, 0])) == len(np.unique(k, axis=0)) == 40000 and (k[:20000] == k[40000:]).all()
+
+
 def test_search_recall(spark):
     rng = np.random.default_rng(9)
     centre = rng.normal(size=(6, 64))
     x = unit(centre[rng.integers(0, 6, 3000)] + rng.normal(size=(3000, 64)) * 0.8)
     q = spark.range(0, 3000, 100).select(F.col("id").alias("frame_id"))
-    got = forest.search(table(spark, x), q, 5, window=600, rows_per_part=1500).collect()
+    got = forest.search(table(spark, x), q, 5, share=0.4, rows_per_part=1500).collect()
     s = x @ x.T
     np.fill_diagonal(s, -2)
     hits = sum(r.neighbour in set(np.argsort(-s[r.id])[:5]) for r in got)

@@ -1,13 +1,17 @@
 """The k most similar vectors of every vector, by a hash-prefix forest.
 
 Each tree is a sorted array of long hash strings (signs of projections on random
-hyperplanes). Next to a vector in the array lie its longest-prefix matches: the
-descent of a lookup ends there. Ascending means accepting shorter and shorter
-prefixes, that is, going outwards from that place; all trees go outwards by the
-same number of candidates. Vectors travel to the trees as int8; the pairs that
-survive are compared again with the full vectors.
-
-A row whose window doesn't hold its surroundings (see ``_ascend``) is open: it is
+hyperplanes). A lookup descends in every tree to its longest-prefix match: its place
+in the sorted array. Then all trees ascend together: the prefix that a candidate must
+share with the row gets shorter by one bit in all trees at once, until the candidates
+of all trees are as many as wanted. So a row takes few candidates from a tree in which
+its prefix is rare and many from one in which it isn't. How far a row ascends is
+decided where its vector is hashed, on a small forest of a bounded sample: the sum of
+what shares its prefix there, scaled to all rows. Every array holds every row.
+Vectors travel to the trees as int8; the pairs that survive are compared again with
+the full vectors.
+
+A row whose surroundings are denser than that (see ``_ascend``) is open: it is
 compared with every vector that can be near enough, in blocks.
 
 Equal vectors are one leaf: a class with its size and its smallest identifiers.
@@ -33,16 +37,22 @@ from ..session import Scratch
 INT8_ERROR = 0.02
 #: A row is open if more rows of its window than this can't be told from its k best ones by int8.
 TIES = 64
-#: ... or if half of its window is within this of its k-th best or the least similarity wanted.
+#: ... or if half of what it looks at is within this of its k-th best or the least similarity wanted.
 CROWD = 0.15
+#: Places of a sorted array whose rows look at candidates together.
+SPAN = 1024
+#: Bits up to which the small forest counts by table, not by search.
+TABLE_BITS = 16
 
 
 def _class_keys(v: pa.Array) -> np.ndarray:
     """128 bits of each vector, rounded to 1e-5, as two longs: equal directions are equal keys."""
-    import xxhash
-
-    r = np.rint(A.matrix(v, "<f4", A.DIMS).astype(np.float64) * 1e5).astype(np.int32)
-    return np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), "<i8") for x in r], dtype=np.int64).reshape(-1, 2)
+    r = np.rint(A.matrix(v, "<f4", A.DIMS).astype(np.float64) * 1e5).astype(np.int64).astype(np.uint64)
+    rng = np.random.default_rng(128)
+    with np.errstate(over="ignore"):
+        a = rng.integers(1, 2**63, (A.DIMS, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        sums = np.stack([(r * a[:, i]).sum(axis=1, dtype=np.uint64) for i in (0, 1)], axis=1)
+    return A.mixed(sums).view(np.int64)
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:
@@ -55,22 +65,66 @@ def _keyed(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "id bigint, k1 bigint, k2 bigint, v binary")
 
 
-def classes(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (``id``, ``k1``, ``k2``, each once), classes of equal vectors, and a vector of each class.
+def classes(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (``id``, ``k1``, ``k2``, each once) and classes of equal vectors.
 
-    A class has ``rep`` (its smallest id), ``k1``, ``k2``, ``n`` members and ``ids`` (the k + 1 smallest); the vectors
-    are ``k1``, ``k2``, ``v``. A vector is of 256 bytes, a member of 24: the vectors are shuffled once, by class, and
-    whatever needs them joins on the class, so that they stay where they are.
+    A class has ``rep`` (its smallest id), ``k1``, ``k2``, ``n`` members, ``ids`` (the k + 1 smallest) and ``v``. The
+    vectors are shuffled once, by class, and written once.
     """
     keyed = _keyed(vectors)
     members = scratch.table(keyed.select("id", "k1", "k2").distinct(), "members")
     facts = members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), InternalFunction.collect_top_k(F.col("id"), k + 1, True).alias("ids"))
     facts = facts.select("k1", "k2", "n", F.array_sort("ids").alias("ids")).withColumn("rep", F.col("ids")[0])
-    return members, scratch.table(facts, "classes"), keyed.groupBy("k1", "k2").agg(F.first("v").alias("v"))
-
-
-def _tree_rows(classes_df: DataFrame, h: np.ndarray, edges: list[np.ndarray], parts: int) -> DataFrame:
-    """One row per class and tree: ``part``, ``key``, ``rep``, ``q`` (int8 vector)."""
+    return members, scratch.table(facts.join(keyed.groupBy("k1", "k2").agg(F.first("v").alias("v")), ["k1", "k2"]), "classes")
+
+
+class SmallForest:
+    """The sorted arrays of a sample, in which a row finds how far to ascend."""
+
+    def __init__(self, sample: np.ndarray, h: np.ndarray, rows: int):
+        self.keys = [np.sort(A.bit_strings(sample, t)) for t in h]
+        self.scale = rows / max(1, len(sample))
+        bins = [np.bincount(k >> (A.BITS - TABLE_BITS), minlength=1 << TABLE_BITS) for k in self.keys]
+        self.table = np.array([np.concatenate([[0], np.cumsum(b)]) for b in bins], dtype=np.int32)
+
+    def _shared(self, keys: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
+        """Rows of the sample that share the first ``bits`` bits with each key, added over the trees."""
+        n = np.zeros(len(bits), np.int64)
+        low = np.int64(A.BITS) - bits
+        if not len(bits) or bits.max() <= TABLE_BITS:
+            w = TABLE_BITS - bits
+            for t, k in enumerate(keys):
+                p = k >> low
+                n += self.table[t][(p + 1) << w] - self.table[t][p << w]
+            return n
+        for own, k in zip(self.keys, keys):
+            p = k >> low
+            n += np.searchsorted(own, (p << low) + ((np.int64(1) << low) - 1), "right") - np.searchsorted(own, p << low, "left")
+        return n
+
+    def levels(self, keys: list[np.ndarray], wanted: float) -> np.ndarray:
+        """The longest prefix that, shared in all trees at once, gives each row about ``wanted`` candidates."""
+        need = max(1.0, wanted / self.scale)
+        n = len(keys[0])
+        lo, hi = np.zeros(n, np.int64), np.full(n, TABLE_BITS, np.int64)  # the answer is at least lo
+
+        def search(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            own = [k[at] for k in keys]
+            while (lo < hi).any():
+                mid = (lo + hi + 1) // 2
+                ok = self._shared(own, mid) >= need
+                lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
+            return lo
+
+        out = search(np.arange(n), lo, hi)
+        deep = np.flatnonzero(out == TABLE_BITS)
+        if len(deep):
+            out[deep] = search(deep, out[deep], np.full(len(deep), A.BITS, np.int64))
+        return out
+
+
+def _tree_rows(classes_df: DataFrame, h: np.ndarray, edges: list[np.ndarray], parts: int, small: SmallForest, wanted: float) -> DataFrame:
+    """One row per class and tree: ``part``, ``key``, ``rep``, ``q`` (int8 vector), ``level`` (bits to share)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -78,16 +132,32 @@ def _tree_rows(classes_df: DataFrame, h: np.ndarray, edges: list[np.ndarray], pa
                 continue
             u, ids = A.matrix(x.column("v"), "<f4", A.DIMS), x.column("rep").to_numpy()
             q = A.binary(A.quantized(u))
-            for t in range(len(h)):
-                keys = A.bit_strings(u, h[t])
-                part = (A.range_of(keys, edges[t], ids, t) + t * parts).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), x.column("rep"), q], names=["part", "key", "rep", "q"])
+            keys = [A.bit_strings(u, t) for t in h]
+            level = pa.array(small.levels(keys, wanted).astype(np.int8))
+            for t, k in enumerate(keys):
+                part = (A.range_of(k, edges[t], ids, t) + t * parts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(k), x.column("rep"), q, level], names=["part", "key", "rep", "q", "level"])
+
+    return A.by_range(classes_df.select("rep", "v").mapInArrow(run, "part int, key bigint, rep bigint, q binary, level tinyint"), parts * len(h))
+
+
+def reach(keys: np.ndarray, at: np.ndarray, level: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the stretch of a sorted array that shares ``level`` bits with each of the rows ``at``, at most ``most`` to either side."""
+    low = np.int64(A.BITS) - level.astype(np.int64)
+    p = keys[at] >> low << low
+    lo, hi = np.searchsorted(keys, p, "left"), np.searchsorted(keys, p + ((np.int64(1) << low) - 1), "right")
+    return np.maximum(lo, at - most), np.minimum(hi, at + most + 1)
+
 
-    return A.by_range(classes_df.select("rep", "v").mapInArrow(run, "part int, key bigint, rep bigint, q binary"), parts * len(h))
+def together(at: np.ndarray, level: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (positions in ``at``) of one level whose places in the array are near each other."""
+    group = level.astype(np.int64) * (1 << 40) + at // SPAN
+    order = np.argsort(group, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
 
 
-def _ascend(window: int, k: int, min_similarity: float, block: int = 256) -> object:
-    """Within a sorted range: of the ``window`` rows on either side of each row, those that may be its ``k`` best ones.
+def _ascend(most: int, k: int, min_similarity: float) -> object:
+    """Within a sorted range: of the rows that share its prefix with each row, those that may be its ``k`` best ones.
 
     ``i``, ``j``; with ``i`` = ``j`` an open row and ``b``, which its k-th similarity is not below.
     """
@@ -98,27 +168,28 @@ def _ascend(window: int, k: int, min_similarity: float, block: int = 256) -> obj
         if got is None:
             return
         order = np.argsort(got.column("key").to_numpy(), kind="stable")
-        ids = got.column("rep").to_numpy()[order]
+        keys, ids = got.column("key").to_numpy()[order], got.column("rep").to_numpy()[order]
+        level = got.column("level").to_numpy()[order]
         u = A.unit(A.matrix(got.column("q"), "i1", A.DIMS)[order])
         n, ii, jj, bb = len(ids), [], [], []
-        for a in range(0, n, block):
-            z = min(n, a + block)
-            lo, hi = max(0, a - window), min(n, z + window)
-            s = u[a:z] @ u[lo:hi].T
-            s[np.arange(z - a), np.arange(a - lo, z - lo)] = -2
+        los, his = reach(keys, np.arange(n), level, most)
+        for mine in together(np.arange(n), level) if n else ():
+            lo, hi = int(los[mine].min()), int(his[mine].max())
+            s = u[mine] @ u[lo:hi].T
+            s[np.arange(len(mine)), mine - lo] = -2
             m = min(k, hi - lo)
-            rows = np.flatnonzero((s >= max(least, min_similarity - CROWD if hi - lo > window else least)).any(axis=1))
+            rows = np.flatnonzero((s >= max(least, min_similarity - CROWD if hi - lo > TIES else least)).any(axis=1))
             if not len(rows):
                 continue
             s = s[rows]
             kth = np.maximum(np.partition(s, hi - lo - m, axis=1)[:, hi - lo - m], least)
             good = s >= np.maximum(kth - 2 * INT8_ERROR, least)[:, None]
             crowd = (s >= (np.maximum(kth, min_similarity) - CROWD)[:, None]).sum(axis=1)
-            wide = np.flatnonzero((good.sum(axis=1) > TIES) | (crowd > max(window, TIES)))
+            wide = np.flatnonzero((good.sum(axis=1) > TIES) | (crowd > max((hi - lo) // 2, TIES)))
             good[wide] = False
             r, c = np.nonzero(good)
-            ii += [ids[a + rows[r]], ids[a + rows[wide]]]
-            jj += [ids[lo + c], ids[a + rows[wide]]]
+            ii += [ids[mine[rows[r]]], ids[mine[rows[wide]]]]
+            jj += [ids[lo + c], ids[mine[rows[wide]]]]
             bb += [np.full(len(r), -2.0), np.maximum(kth[wide] - INT8_ERROR, min_similarity).astype(np.float64)]
         if ii:
             i, j, b = np.concatenate(ii), np.concatenate(jj), np.concatenate(bb)
@@ -277,35 +348,39 @@ def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, tree
     Vectors of another length, with non-finite numbers or all zero, and null keys, don't take part and get no
     rows; a row delivered twice counts once; norms don't matter. Ties go to the smaller identifier. Copies have
     similarity 1 to each other. ``min_similarity`` leaves out less similar neighbours early. Fewer than ``k`` rows
-    come out for a vector only if fewer were found. The hyperplanes are random; range borders come from a sample of
-    ``SAMPLE_ROWS`` vectors; every vector is in every tree. Trees and window trade time for accuracy (see README); in
-    a place too dense for the window every row is compared with all that can be near enough, whatever that takes.
+    come out for a vector only if fewer were found. The hyperplanes are random; range borders and the length of the
+    prefixes come from a sample of ``SAMPLE_ROWS`` vectors; every vector is in every tree. A row ascends until it has
+    about 2 * ``window`` candidates a tree, in whatever trees they are (at most 4 * ``window`` to either side of its place
+    in one). Trees and window trade time for accuracy (see README); in a place too dense for that every row is compared
+    with all that can be near enough, whatever that takes.
     """
     spark = frames.sparkSession
     scratch = scratch or Scratch(spark, "forest")
     vectors = A.valid_vectors(frames)
-    rows = frames.count()
-    members, facts, one = classes(vectors, k, scratch)
-    cls = facts.select("rep", "k1", "k2").join(one, ["k1", "k2"])
+    members, facts = classes(vectors, k, scratch)
+    rows = facts.count()
     parts = max(1, -(-rows // rows_per_part))
     h = A.planes(trees, A.BITS, A.DIMS, seed)
-    sample = A.sample_vectors(vectors, rows, A.SAMPLE_ROWS) if parts > 1 else np.zeros((0, A.DIMS), np.float32)
+    sample = A.sample_vectors(facts.select(F.col("rep").alias("id"), "v"), rows, A.SAMPLE_ROWS)
     edges = [A.borders(A.bit_strings(sample, t), parts) for t in h]
-    near = _tree_rows(cls, h, edges, parts).select("key", "rep", "q").mapInArrow(_ascend(window, k, min_similarity), "i bigint, j bigint, b double")
+    found = _tree_rows(facts, h, edges, parts, SmallForest(sample, h, rows), 2.0 * window * trees).select("key", "rep", "q", "level")
+    near = found.mapInArrow(_ascend(4 * window, k, min_similarity), "i bigint, j bigint, b double")
     # A pair may come from both its ends and from several trees; its cosine is wanted once.
     near = scratch.table(near.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("b").alias("b")), "near")
     wide = near.where("i = j").select(F.col("i").alias("rep"), "b")
-    near = near.where("i <> j").select("i", "j")
+    close = near.where("i <> j").select("i", "j")
     if not wide.isEmpty():
-        dense = scratch.table(cls.join(wide, "rep").select("rep", "v", "b"), "dense")
-        more = _compared(cls, dense, k, scratch)
-        near = scratch.table(near.unionAll(more.select(F.least("i", "j"), F.greatest("i", "j"))).distinct(), "near")
-    ends = near.select(F.col("i").alias("rep")).unionAll(near.select("j")).distinct()
-    # Only vectors of classes with a candidate go on; they are found where the classes lie.
-    full = facts.select("rep", "k1", "k2").join(ends, "rep", "left_semi").join(one, ["k1", "k2"]).select("rep", "v")
-    exact = near.join(full.withColumnRenamed("rep", "ri"), F.col("i") == F.col("ri")).select("i", "j", "v")
+        dense = scratch.table(facts.join(wide, "rep").select("rep", "v", "b"), "dense")
+        more = _compared(facts, dense, k, scratch)
+        close = scratch.table(close.unionAll(more.select(F.least("i", "j"), F.greatest("i", "j"))).distinct(), "near")
+        scratch.drop(dense)
+    ends = close.select(F.col("i").alias("rep")).unionAll(close.select("j")).distinct()
+    # Only vectors of classes with a candidate go on.
+    full = scratch.table(facts.join(ends, "rep", "left_semi").select("rep", "v"), "ends")
+    exact = close.join(full.withColumnRenamed("rep", "ri"), F.col("i") == F.col("ri")).select("i", "j", "v")
     exact = exact.join(full.select(F.col("rep").alias("rj"), F.col("v").alias("w")), F.col("j") == F.col("rj")).select("i", "j", "v", "w")
     pairs = scratch.table(_cosines(exact).where(F.col("s") >= min_similarity), "pairs")
+    scratch.drop(near, close, full)
     return _expand(pairs, members, facts, scratch, k)
 
 
@@ -329,25 +404,26 @@ def _expand(pairs: DataFrame, members: DataFrame, facts: DataFrame, scratch: Scr
     return out.select("id", (F.col("rank") + 1).alias("rank"), (-F.col("x.o")).alias("neighbour"), F.col("x.s").alias("similarity"))
 
 
-def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, window: int | None = None, rows_per_part: int = 120_000, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 24, share: float = 0.12, rows_per_part: int = 120_000, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """``id``, ``rank``, ``neighbour``, ``similarity`` for the frames whose ``frame_id`` is in ``queries``.
 
-    As ``neighbours``, for a stated set of queries, of which each looks at ``window`` candidates on either side in
-    every tree, so that also the ranks among many nearly equal neighbours come out. ``queries`` has ``frame_id``. By
-    default the window is a thirtieth of the collection (at least 16,384): neighbours that nearly tie get more with it.
+    As ``neighbours``, for a stated set of queries. A query ascends until the trees together offer it ``share`` of the
+    collection (at least 4,096 rows), repeats between trees included, so ranks among many nearly equal neighbours come
+    out too. ``queries`` has ``frame_id``; null ones and those without a usable vector get no rows.
     """
     spark = frames.sparkSession
     scratch = scratch or Scratch(spark, "search")
-    vectors = A.valid_vectors(frames).dropDuplicates(["id"])
-    rows = frames.count()
     wanted = queries.select(F.col("frame_id").cast("long").alias("qid")).where("qid is not null").distinct()
+    vectors = scratch.table(A.valid_vectors(frames).dropDuplicates(["id"]), "vectors")
     base = vectors.join(wanted, vectors["id"] == wanted["qid"], "left").select("id", "v", F.col("qid").isNotNull().alias("asks"))
-    window = window or max(16_384, rows // 30)
-    rows_per_part = max(rows_per_part, 3 * window) if rows > rows_per_part else rows_per_part
-    parts = max(1, -(-rows // rows_per_part))
+    rows = vectors.count()
+    budget = max(4096.0, share * rows)
+    most = int(8 * budget / trees)
+    parts = max(1, rows // max(rows_per_part, 2 * most))
     h = A.planes(trees, A.BITS, A.DIMS, seed)
-    sample = A.sample_vectors(A.valid_vectors(frames), rows, A.SAMPLE_ROWS) if parts > 1 else np.zeros((0, A.DIMS), np.float32)
+    sample = A.sample_vectors(vectors, rows, A.SAMPLE_ROWS)
     edges = [A.borders(A.bit_strings(sample, t), parts) for t in h]
+    small = SmallForest(sample, h, rows)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -355,10 +431,13 @@ def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, wi
                 continue
             u, ids = A.matrix(x.column("v"), "<f4", A.DIMS), x.column("id").to_numpy()
             q = A.binary(A.quantized(u))
-            for t in range(len(h)):
-                keys = A.bit_strings(u, h[t])
-                part = (A.range_of(keys, edges[t], ids) + t * parts).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), x.column("id"), q, x.column("asks")], names=["part", "key", "id", "q", "asks"])
+            keys = [A.bit_strings(u, t) for t in h]
+            asks = np.flatnonzero(np.asarray(x.column("asks").to_pylist(), dtype=bool))
+            level = np.full(len(u), -1, np.int8)
+            level[asks] = small.levels([key[asks] for key in keys], budget)
+            for t, key in enumerate(keys):
+                part = (A.range_of(key, edges[t], ids) + t * parts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), x.column("id"), q, pa.array(level)], names=["part", "key", "id", "q", "level"])
 
     keep = 4 * k
 
@@ -367,26 +446,28 @@ def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, wi
         if got is None:
             return
         order = np.argsort(got.column("key").to_numpy(), kind="stable")
-        ids = got.column("id").to_numpy()[order]
-        asks = np.flatnonzero(np.asarray(got.column("asks").to_pylist(), dtype=bool)[order])
+        keys, ids = got.column("key").to_numpy()[order], got.column("id").to_numpy()[order]
+        level = got.column("level").to_numpy()[order]
+        asks = np.flatnonzero(level >= 0)
         u = A.unit(A.matrix(got.column("q"), "i1", A.DIMS)[order])
-        n = len(ids)
-        for a in range(0, len(asks), 32):
-            mine = asks[a : a + 32]
-            lo, hi = max(0, mine[0] - window), min(n, mine[-1] + window + 1)
-            s = u[mine] @ u[lo:hi].T
-            s[np.arange(len(mine)), mine - lo] = -2
-            m = min(keep, hi - lo - 1)
-            if m < 1:
-                continue
-            top = np.argpartition(s, hi - lo - m, axis=1)[:, hi - lo - m :]
-            r = np.repeat(np.arange(len(mine)), m)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[mine[r]]), pa.array(ids[lo + top.ravel()]), pa.array(s[r, top.ravel()].astype(np.float64))], names=["i", "j", "s"])
+        los, his = reach(keys, asks, level[asks], most)
+        for group in together(asks, level[asks]) if len(asks) else ():
+            for a in range(0, len(group), 32):
+                g = group[a : a + 32]
+                mine, lo, hi = asks[g], int(los[g].min()), int(his[g].max())
+                s = u[mine] @ u[lo:hi].T
+                s[np.arange(len(mine)), mine - lo] = -2
+                m = min(keep, hi - lo - 1)
+                if m < 1:
+                    continue
+                top = np.argpartition(s, hi - lo - m, axis=1)[:, hi - lo - m :]
+                r = np.repeat(np.arange(len(mine)), m)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[mine[r]]), pa.array(ids[lo + top.ravel()]), pa.array(s[r, top.ravel()].astype(np.float64))], names=["i", "j", "s"])
 
-    rows_df = A.by_range(base.mapInArrow(spread, "part int, key bigint, id bigint, q binary, asks boolean"), parts * trees)
-    near = rows_df.select("key", "id", "q", "asks").mapInArrow(look, "i bigint, j bigint, s double")
+    rows_df = A.by_range(base.mapInArrow(spread, "part int, key bigint, id bigint, q binary, level tinyint"), parts * trees)
+    near = rows_df.select("key", "id", "q", "level").mapInArrow(look, "i bigint, j bigint, s double")
     # The int8 order decides which candidates are compared exactly: four times as many as are wanted.
-    near = near.distinct().groupBy("i").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("j")).alias("j")), keep, False).alias("x"))
+    near = near.groupBy("i", "j").agg(F.max("s").alias("s")).groupBy("i").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("j")).alias("j")), keep, False).alias("x"))
     near = near.select("i", F.explode("x").alias("x")).select("i", (-F.col("x.j")).alias("j"))
     exact = near.join(vectors.select(F.col("id").alias("j"), F.col("v").alias("w")), "j")
     exact = exact.join(base.where("asks").select(F.col("id").alias("i"), "v"), "i")
