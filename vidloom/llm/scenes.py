@@ -10,10 +10,12 @@ Stars that share a vector are connected components. A component whose vectors
 don't point the same way is loose; it is split back into its stars around the
 medoids of highest degree.
 
-The components give mean directions. Means of the same scene are merged, every
-vector is assigned to the mean that it is close enough to, means are taken again,
-and the vectors that are near no scene go through banding with other hashes, until
-two thorough rounds in a row find no further scene.
+The components give mean directions; those of the same scene are merged, and the
+vectors that are near no scene go through banding with other hashes, until two
+thorough rounds in a row find no further scene. A vector then belongs to the scene of
+its component, if it is close enough to the mean direction of that scene and no other
+mean is closer; only means that can be closer are looked at. What has no component, or
+doesn't agree with it, is compared with all means.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ PROJECTIONS = 256
 VALUES = 7
 #: Rows up to which a band has 4 values; one more for each further factor of 3, to which unrelated buckets shrink.
 BAND_ROWS = 400_000
-#: Mean directions that are compared with all vectors in one pass; more are taken in several passes.
+#: Mean directions that are compared with vectors at once; more are taken in several passes.
 MEANS_PER_PASS = 8192
 
 
@@ -90,29 +92,33 @@ def _bands(rows: int) -> tuple[int, int]:
     return round(8 * 2.3**wider), 4 + wider
 
 
-def _banded(base: DataFrame, bands: list[int], known: np.ndarray, near: float, width: int, parts: int, seed: int) -> DataFrame:
-    """``key``, ``id``, ``q`` of the vectors that are near no known mean, once per band; a bucket is in one partition."""
+def _banded(left: DataFrame, bands: list[int], width: int, parts: int, seed: int) -> DataFrame:
+    """``key``, ``id``, ``q`` of the vectors that are left, once per band; a bucket is in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
                 continue
-            u, ids = A.matrix(x.column("v"), "<f4", A.DIMS), x.column("id").to_numpy()
-            if len(known):
-                left = np.ones(len(u), bool)
-                for a in range(0, len(known), MEANS_PER_PASS):
-                    left &= (u @ known[a : a + MEANS_PER_PASS].T).max(axis=1) < near
-                u, ids = u[left], ids[left]
-            if not len(u):
-                continue
+            u, ids = A.matrix(x.column("v"), "<f4", A.DIMS), x.column("id")
             s, q = signs(u, seed), A.binary(A.quantized(u))
             for t, b in enumerate(bands):
                 keys = band_keys(s, b)
                 bucket = A.mixed(keys >> (9 * (VALUES - width))) >> np.uint64(17)
                 part = (bucket % np.uint64(parts)).astype(np.int32) + np.int32(t * parts)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), pa.array(ids), q], names=["part", "key", "id", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), ids, q], names=["part", "key", "id", "q"])
+
+    return A.by_range(left.mapInArrow(run, "part int, key bigint, id bigint, q binary"), parts * len(bands))
+
+
+def _far(left: DataFrame, means: np.ndarray, near: float) -> DataFrame:
+    """The vectors that are ``near`` none of the means."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                yield x.filter(pa.array(_best(A.matrix(x.column("v"), "<f4", A.DIMS), means)[1] < near))
 
-    return A.by_range(base.mapInArrow(run, "part int, key bigint, id bigint, q binary"), parts * len(bands))
+    return left.mapInArrow(run, "id bigint, v binary")
 
 
 def _matches(rows: int, jaccard: float, least: int, seed: int, across: bool = True, block: int = 512) -> object:
@@ -238,27 +244,38 @@ def _vectors_of(sums: DataFrame, extra: str) -> tuple[np.ndarray, np.ndarray]:
     return t.column(extra).to_numpy(), v
 
 
-def merge_means(sizes: np.ndarray, sums: np.ndarray, alike: float) -> np.ndarray:
+def merge_means(sizes: np.ndarray, sums: np.ndarray, alike: float, block: int = 512) -> np.ndarray:
     """Summed vectors as mean directions: the largest first, each takes those at least ``alike``."""
-    order = np.argsort(-sizes, kind="stable")
-    sums = sums[order]
+    sums = sums[np.argsort(-sizes, kind="stable")]
     u = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-30)
-    out = np.zeros((0, A.DIMS))
-    left = np.ones(len(u), bool)
-    for k in range(len(u)):
-        if left[k]:
-            took = left & (u @ u[k] >= alike)
-            took[k] = True
-            left &= ~took
-            m = sums[took].sum(axis=0)
-            out = np.vstack([out, m / max(np.sqrt(m @ m), 1e-30)])
-    return out.astype(np.float32)
-
-
-def _nuclei(stars_df: DataFrame, least_rows: int, tight: float, scratch: Scratch) -> DataFrame:
-    """Summed vectors of the components of stars; loose components fall apart into their stars."""
+    heads, total = np.zeros((len(u), A.DIMS)), np.zeros((len(u), A.DIMS))
+    n = 0
+    for a in range(0, len(u), block):
+        x = u[a : a + block]
+        owner = np.full(len(x), -1)
+        if n:
+            hit = x @ heads[:n].T >= alike
+            owner = np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+        for k in np.flatnonzero(owner < 0):
+            if owner[k] < 0:
+                took = (owner < 0) & (x @ x[k] >= alike)
+                took[k] = True
+                owner[took] = n
+                heads[n] = x[k]
+                n += 1
+        np.add.at(total, owner, sums[a : a + block])
+    out = total[:n]
+    return (out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-30)).astype(np.float32)
+
+
+def _nuclei(stars_df: DataFrame, least_rows: int, tight: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Summed vectors of the components of stars (``k``); loose components fall apart into their stars.
+
+    Also ``id``, ``k``: the component, or the star, of every vector that has one.
+    """
     links = stars_df.where("id is not null").select("id", "medoid")
     spans = links.groupBy("id").agg(F.min("medoid").alias("a"), F.max("medoid").alias("b"), F.array_distinct(F.collect_list("medoid")).alias("all"))  # one per band
+    spans = scratch.table(spans, "spans")
     chains = spans.where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
     labels = contract(chains, scratch, seed=4211)
     heads = stars_df.where("id is null").select("medoid", "degree", "total")
@@ -268,7 +285,10 @@ def _nuclei(stars_df: DataFrame, least_rows: int, tight: float, scratch: Scratch
     loose = comps.where(F.col("bundle") < tight).select(F.col("k").alias("root"))
     single = heads.join(loose, "root", "left_semi")
     stars_sum = _add_vectors(single.where(F.col("degree") >= least_rows), "medoid")
-    return comps.where((F.col("bundle") >= tight) & (F.col("degree") >= least_rows)).drop("bundle").unionByName(stars_sum)
+    nuclei = comps.where((F.col("bundle") >= tight) & (F.col("degree") >= least_rows)).drop("bundle").unionByName(stars_sum)
+    names = heads.join(loose.withColumn("apart", F.lit(True)), "root", "left").select("medoid", F.when(F.col("apart"), F.col("medoid")).otherwise(F.col("root")).alias("k")).distinct()
+    members = spans.select("id", F.col("a").alias("medoid")).join(names, "medoid").select("id", "k")
+    return scratch.table(nuclei, "nuclei"), scratch.table(members, "members")
 
 
 def _condense(nuclei: DataFrame, alike: float, scratch: Scratch, group: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -312,17 +332,59 @@ def _condense(nuclei: DataFrame, alike: float, scratch: Scratch, group: int = 40
     return _vectors_of(nuclei, "degree")
 
 
-def _assign(base: DataFrame, means: np.ndarray, least: float) -> DataFrame:
-    """``id``, ``scene`` (row of ``means``), ``s`` of every vector with cosine at least ``least`` to its best mean."""
+def _scene_of(nuclei: DataFrame, means: np.ndarray, least: float) -> DataFrame:
+    """``k``, ``scene``: the mean that each nucleus points to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                best, s = _best(A.matrix(x.column("v"), "<f4", A.DIMS), means)
+                v = np.stack([x.column(f"c{i}").to_numpy() for i in range(A.DIMS)], axis=1)
+                u = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-30)
+                best, s = _best(u.astype(np.float32), means)
                 ok = np.flatnonzero(s >= least)
-                yield pa.RecordBatch.from_arrays([x.column("id").take(pa.array(ok)), pa.array(best[ok]), pa.array(s[ok].astype(np.float64))], names=["id", "scene", "s"])
+                yield pa.RecordBatch.from_arrays([x.column("k").take(pa.array(ok)), pa.array(best[ok])], names=["k", "scene"])
+
+    return nuclei.select("k", *[f"c{i}" for i in range(A.DIMS)]).mapInArrow(run, "k bigint, scene bigint")
 
-    return base.mapInArrow(run, "id bigint, scene bigint, s double")
+
+def _confirm(rows: DataFrame, means: np.ndarray, least: float) -> DataFrame:
+    """``id``, ``scene`` (row of ``means``), ``s`` of every vector with cosine at least ``least`` to its best mean.
+
+    ``rows``: ``id``, ``v``, ``scene`` (that of its component, or null). A vector that is close enough to the mean of its
+    own scene can only be closer to means within twice that angle of it, so only those are compared; the vectors
+    without a scene, or too far from it, are compared with all means.
+    """
+    wide = np.cos(min(np.pi, 2 * np.arccos(least))) - 1e-5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[int, np.ndarray] = {}
+        for x in batches:
+            if not x.num_rows:
+                continue
+            u = A.matrix(x.column("v"), "<f4", A.DIMS)
+            own = x.column("scene").fill_null(-1).to_numpy()
+            best, s = own.copy(), np.full(len(u), -2, np.float32)
+            has = np.flatnonzero(own >= 0)
+            s[has] = (u[has] * means[own[has]]).sum(axis=1)
+            ok = has[s[has] >= least]
+            for g in np.split(ok[np.argsort(own[ok], kind="stable")], np.flatnonzero(np.diff(np.sort(own[ok]))) + 1):
+                if not len(g):
+                    continue
+                c = int(own[g[0]])
+                if c not in near:
+                    if len(near) > 4096:
+                        near.clear()
+                    near[c] = np.flatnonzero(means @ means[c] >= wide)
+                t = u[g] @ means[near[c]].T
+                k = t.argmax(axis=1)
+                best[g], s[g] = near[c][k], t[np.arange(len(g)), k]
+            rest = np.setdiff1d(np.arange(len(u)), ok, assume_unique=True)
+            if len(rest):
+                best[rest], s[rest] = _best(u[rest], means)
+            ok = np.flatnonzero(s >= least)
+            yield pa.RecordBatch.from_arrays([x.column("id").take(pa.array(ok)), pa.array(best[ok]), pa.array(s[ok].astype(np.float64))], names=["id", "scene", "s"])
+
+    return rows.select("id", "v", "scene").mapInArrow(run, "id bigint, scene bigint, s double")
 
 
 def _best(u: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,42 +433,58 @@ def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, leas
     spark: SparkSession = frames.sparkSession
     scratch = scratch or Scratch(spark, "scenes")
     base = scratch.table(A.valid_vectors(frames).groupBy("id").agg(F.first("v").alias("v")), "vectors")
-    rows = base.count()
+    rows = left = base.count()
     known = np.zeros((0, A.DIMS), np.float32)
     near = (similarity + apart) / 2
-    left, turn, idle = rows, 0, 0
+    todo, turn, idle = base, 0, 0
+    grouped: list[tuple[DataFrame, DataFrame]] = []
     while left:
         # The first round only takes out the frequent scenes. The later ones see fewer rows, and find the small scenes.
         count, width = (2, 4) if turn == 0 else _bands(left)
         bands = [seed * 1000 + turn * 100 + b for b in range(count)]
         parts = max(1, -(-left // rows_per_part))
-        rows_df = _banded(base, bands, known, near, width, parts, seed + turn)
+        rows_df = _banded(todo, bands, width, parts, seed + turn)
         found = scratch.table(rows_df.select("key", "id", "q").mapInArrow(_matches(width, jaccard, 3, seed + turn, turn > 0), "id bigint, medoid bigint, degree bigint, total binary"), "stars")
-        sizes, sums = _condense(_nuclei(found, least_rows // 2, 0.72, scratch), (1 + apart) / 2, scratch)
+        nuclei, members = _nuclei(found, least_rows // 2, 0.72, scratch)
         scratch.drop(found)
+        sizes, sums = _condense(nuclei, (1 + apart) / 2, scratch)
         fresh = merge_means(sizes, sums, apart) if len(sizes) else known[:0]
         if len(known) and len(fresh):
-            fresh = fresh[(fresh @ known.T).max(axis=1) < apart]
-        more = False
+            fresh = fresh[_best(fresh, known)[1] < apart]
+        for least in (near, similarity):  # by what is left alone; the others are nearer to a scene that is known
+            if len(fresh):
+                n, t = _means(todo, fresh, least)
+                fresh = merge_means(n[n >= least_rows // 2], t[n >= least_rows // 2], apart)
+        if len(known) and len(fresh):
+            fresh = fresh[_best(fresh, known)[1] < apart]
         if len(fresh):
-            trial = np.vstack([known, fresh])
-            for least in (near, similarity):
-                n, t = _means(base, trial, least)
-                trial = merge_means(n[n >= least_rows // 2], t[n >= least_rows // 2], apart)
-            n, t = _means(base, trial, similarity)
-            trial = merge_means(n[n >= least_rows], t[n >= least_rows], apart)
-            more = len(trial) > len(known)
-        if more:
-            known, left = trial, rows - int(n.sum())
+            known = np.concatenate([known, fresh])
+            grouped.append((nuclei, members))
+            before, todo = todo, scratch.table(_far(todo, fresh, near), "left")
+            left = todo.count()
+            if before is not base:
+                scratch.drop(before)
+        else:
+            scratch.drop(nuclei, members)
         # Only rounds that look for small scenes end the search: two in a row, with other hashes, that find none.
-        idle = 0 if more or turn == 0 else idle + 1
+        idle = 0 if len(fresh) or turn == 0 else idle + 1
         if idle == 2:
             break
         turn += 1
+    for least in (near, similarity, similarity):
+        if len(known):
+            n, t = _means(base, known, least)
+            few = least_rows // 2 if least == near else least_rows
+            known = merge_means(n[n >= few], t[n >= few], apart)
     if not len(known):
         return spark.createDataFrame([], "id bigint, cluster bigint, similarity double, size bigint")
-    placed = scratch.table(_assign(base, known, similarity), "placed")
-    scratch.drop(base)
+    labels = [m.join(_scene_of(g, known, apart), "k").select("id", F.struct(F.lit(i).alias("turn"), "scene").alias("x")) for i, (g, m) in enumerate(grouped)]
+    labelled = labels[0]
+    for x in labels[1:]:
+        labelled = labelled.unionAll(x)
+    labelled = labelled.groupBy("id").agg(F.max("x").alias("x")).select(F.col("id").alias("lid"), F.col("x.scene").alias("scene"))
+    placed = scratch.table(_confirm(base.join(labelled, base["id"] == F.col("lid"), "left"), known, similarity), "placed")
+    scratch.drop(base, todo, *[x for pair in grouped for x in pair])
     facts = placed.groupBy("scene").agg(F.min("id").alias("cluster"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= least_rows)
     # One row per scene, of which there are at most rows / least_rows; Spark broadcasts it only below its threshold.
     return placed.join(facts, "scene").select("id", "cluster", F.col("s").alias("similarity"), "size")
