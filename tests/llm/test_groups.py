@@ -92,8 +92,47 @@ def test_token_consensus(spark, block):
     assert got["h"].value == "only" and got["h"].distance == 0 and got["i"].value == "" and set(got) == {"g", "h", "i"}
 
 
-def test_alignment_of_long_texts_uses_anchors():
+def score(a, b, pairs):
+    total = 0.0
+    for i, j in pairs:
+        if i >= 0 and j >= 0:
+            same = sum(w * b[j].get(t, 0) for t, w in a[i].items() if t)
+            total += same / (sum(a[i].values()) * sum(b[j].values())) + representative.SHARED
+    return total
+
+
+@pytest.mark.parametrize("cells", [1, 9, 10_000])
+def test_alignment_is_the_best_one_however_it_is_divided(cells):
+    rng = random.Random(cells)
+
+    def best(a, b):
+        table = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + score(a, b, [(i, j)]))
+        return table[-1][-1]
+
+    for _ in range(60):
+        a, b = ([{t: rng.randint(1, 4) for t in rng.sample(["x", "y", "z", ""], rng.randint(1, 3))} for _ in range(rng.randint(0, 7))] for _ in "ab")
+        p = representative._pairs(a, b, cells)
+        assert [i for i, _ in p if i >= 0] == list(range(len(a))) and [j for _, j in p if j >= 0] == list(range(len(b)))
+        assert score(a, b, p) == pytest.approx(best(a, b))
+
+
+def test_token_distance_is_exact():
+    rng = random.Random(2)
+    for _ in range(100):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randint(0, 9))] for _ in "ab")
+        lcs = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                lcs[i + 1][j + 1] = lcs[i][j] + 1 if x == y else max(lcs[i][j + 1], lcs[i + 1][j])
+        assert representative.token_distance(a, b) == len(a) + len(b) - 2 * lcs[-1][-1]
+
+
+def test_long_values_are_aligned_as_short_ones():
     a, b = "a b c d " * 300, "a b x d " * 300
     p = representative.profile_of([(a, 2.0), (b, 1.0)])
-    assert "".join(representative.consensus_of(p)) == a
+    assert "".join(representative.consensus_of(p)) == a and len(p[0]) == 2400
+    assert representative._unpack(representative._pack(p)) == p and representative._unpack(representative._pack(([], 0.0))) == ([], 0.0)
     assert representative.token_distance(["a", "b"], ["a", "c"]) == 2

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +57,8 @@ def survivors(groups: DataFrame, fields: DataFrame, order: tuple[str, ...] = ("s
     return best.select(F.col("__g").alias(group), F.col("best")["n"].alias(keeper))
 
 
+#: A profile as a column: number of tokens of each alignment column, tokens, weights, total weight.
+PROFILE = "p struct<w:double,n:array<int>,t:array<string>,x:array<double>>"
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\s+|[^\w\s]|_")
 
 
@@ -64,34 +66,80 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def _pairs(a: list[dict[str, float]], b: list[dict[str, float]], limit: int = 250_000) -> list[tuple[int, int]]:
-    """Pairs of columns (-1: none) of an alignment of two profiles."""
-    n, m = len(a), len(b)
-    if n * m > limit:  # long texts: anchors of the leading tokens instead of the full table
-        lead = [[max(c.items(), key=lambda t: (t[1], t[0]))[0] for c in p] for p in (a, b)]
-        out, i, j = [], 0, 0
-        for x, y, k in SequenceMatcher(None, *lead, autojunk=False).get_matching_blocks():
-            out += [(t, -1) for t in range(i, x)] + [(-1, t) for t in range(j, y)] + [(x + t, y + t) for t in range(k)]
-            i, j = x + k, y + k
-        return out
-    wa, wb = [sum(c.values()) for c in a], [sum(c.values()) for c in b]
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            same = sum(w * b[j].get(t, 0.0) for t, w in a[i].items() if t) / (wa[i] * wb[j])
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + same + 0.05)  # unlike tokens share a column rather than open two
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and (j == m or best[i][j] == best[i + 1][j]):
-            out.append((i, -1))
-            i += 1
-        elif j < m and (i == n or best[i][j] == best[i][j + 1]):
-            out.append((-1, j))
-            j += 1
-        else:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-    return out
+#: Cells up to which a table of scores is kept whole; a larger alignment is divided first.
+CELLS = 1_000_000
+#: Unlike tokens share a column rather than open two.
+SHARED = 0.05
+
+
+def _holders(cols: list[dict[str, float]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each token the columns that hold it, with its share of their weight."""
+    out: dict[str, tuple[list, list]] = {}
+    for j, c in enumerate(cols):
+        total = sum(c.values())
+        for t, w in c.items():
+            if t:
+                at, x = out.setdefault(t, ([], []))
+                at.append(j)
+                x.append(w / total)
+    return {t: (np.array(at), np.array(x)) for t, (at, x) in out.items()}
+
+
+def _pairs(a: list[dict[str, float]], b: list[dict[str, float]], cells: int = CELLS) -> list[tuple[int, int]]:
+    """Pairs of columns (-1: none) of a best alignment of two profiles.
+
+    A pair of columns scores the chance that a vote of each is for the same token. A row of scores follows from the one
+    before by a running maximum; a table of more than ``cells`` is divided where the best path crosses its middle row,
+    so memory grows with the lengths, not with their product. The method is the same at any length.
+    """
+    held, n, m = _holders(b), len(a), len(b)
+    weights = [sum(c.values()) for c in a]
+
+    def same(i: int, j0: int, j1: int) -> np.ndarray:
+        row = np.full(m, SHARED)
+        for t, w in a[i].items():
+            if t in held:
+                at, x = held[t]
+                row[at] += w * x / weights[i]
+        return row[j0:j1]
+
+    def scores(rows: range, j0: int, j1: int, back: bool) -> np.ndarray:
+        f = np.zeros(j1 - j0 + 1)
+        for i in rows:
+            s = same(i, j0, j1)
+            f[1:] = np.maximum(f[1:], f[:-1] + (s[::-1] if back else s))
+            np.maximum.accumulate(f, out=f)
+        return f
+
+    def solve(i0: int, i1: int, j0: int, j1: int) -> list[tuple[int, int]]:
+        if i0 == i1 or j0 == j1:
+            return [(i, -1) for i in range(i0, i1)] + [(-1, j) for j in range(j0, j1)]
+        if i1 - i0 > 1 and (i1 - i0) * (j1 - j0) > cells:
+            mid = (i0 + i1) // 2
+            ahead, behind = scores(range(i0, mid), j0, j1, False), scores(range(i1 - 1, mid - 1, -1), j0, j1, True)
+            j = j0 + int(np.argmax(ahead + behind[::-1]))
+            return solve(i0, mid, j0, j) + solve(mid, i1, j, j1)
+        best, fit = np.zeros((i1 - i0 + 1, j1 - j0 + 1)), np.zeros((i1 - i0, j1 - j0))
+        for i in range(i0, i1):
+            fit[i - i0] = same(i, j0, j1)
+            f = best[i - i0 + 1]
+            np.maximum(best[i - i0][1:], best[i - i0][:-1] + fit[i - i0], out=f[1:])
+            np.maximum.accumulate(f, out=f)
+        out, i, j = [], i1 - i0, j1 - j0
+        while i and j:
+            if best[i, j] == best[i, j - 1]:
+                j -= 1
+                out.append((-1, j0 + j))
+            elif best[i, j] == best[i - 1, j]:
+                i -= 1
+                out.append((i0 + i, -1))
+            else:
+                i, j = i - 1, j - 1
+                out.append((i0 + i, j0 + j))
+        out += [(-1, j0 + k) for k in range(j - 1, -1, -1)] + [(i0 + k, -1) for k in range(i - 1, -1, -1)]
+        return out[::-1]
+
+    return solve(0, n, 0, m)
 
 
 def merge_profiles(a: tuple[list, float], b: tuple[list, float]) -> tuple[list, float]:
@@ -121,9 +169,19 @@ def consensus_of(profile: tuple[list, float]) -> list[str]:
 
 
 def token_distance(a: list[str], b: list[str]) -> int:
-    """Insertions and deletions of tokens between two sequences."""
-    same = sum(k for *_, k in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-    return len(a) + len(b) - 2 * same
+    """Insertions and deletions of tokens between two sequences.
+
+    From the longest common subsequence, whose table is a row of bits: of any length it is exact.
+    """
+    at: dict[str, int] = {}
+    for j, t in enumerate(b):
+        at[t] = at.get(t, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    v = every
+    for t in a:
+        u = v & at.get(t, 0)
+        v = ((v + u) | (v - u)) & every
+    return len(a) + len(b) - 2 * (len(b) - v.bit_count())
 
 
 def consensus_values(values: DataFrame, group: str, value: str, weight: str, block: int = 48, scratch: Scratch | None = None) -> DataFrame:
@@ -153,7 +211,7 @@ def consensus_values(values: DataFrame, group: str, value: str, weight: str, blo
             yield pd.DataFrame({"g": x["g"], "b": x["b"], "n": x["n"], "p": [_pack(profile_of([(i["v"], i["w"]) for i in items])) for items in x["items"]]})
 
     kind = v.schema["g"].dataType.simpleString()
-    profiles = scratch.table(lists.mapInPandas(first, f"g {kind}, b bigint, n bigint, p string"), "profiles")
+    profiles = scratch.table(lists.mapInPandas(first, f"g {kind}, b bigint, n bigint, {PROFILE}"), "profiles")
     most = profiles.agg(F.max("b")).first()[0] or 0
     while most:
 
@@ -169,32 +227,31 @@ def consensus_values(values: DataFrame, group: str, value: str, weight: str, blo
                 yield pd.DataFrame({"g": x["g"], "b": x["b2"], "n": x["n"], "p": out})
 
         up = profiles.withColumn("b2", F.floor(F.col("b") / 16)).groupBy("g", "b2").agg(F.max("n").alias("n"), F.collect_list(F.struct("b", "p")).alias("items"))
-        profiles = scratch.table(up.mapInPandas(again, f"g {kind}, b bigint, n bigint, p string"), "profiles")
+        profiles = scratch.table(up.mapInPandas(again, f"g {kind}, b bigint, n bigint, {PROFILE}"), "profiles")
         most = profiles.agg(F.max("b")).first()[0] or 0
 
     @F.pandas_udf("array<string>")
-    def voted(p: pd.Series) -> pd.Series:
-        return p.map(lambda s: consensus_of(_unpack(s)))
+    def voted(p: pd.DataFrame) -> pd.Series:
+        return pd.Series([consensus_of(_unpack(r)) for r in p.to_dict("records")], dtype=object)
 
     @F.pandas_udf("int")
     def apart(text: pd.Series, want: pd.Series) -> pd.Series:
         return pd.Series([token_distance(tokens(t), list(c)) for t, c in zip(text, want)], dtype="int32")
 
     made = scratch.table(profiles.select("g", "n", voted("p").alias("c")), "consensus")
+    scratch.drop(profiles, sizes)
     near = lookup(v.withColumn("g2", F.col("g")), "g", made, "g", "c", "n", total, "c")
     near = near.withColumn("d", apart("v", "c"))
     best = near.groupBy("g2").agg(F.min(F.struct(F.col("d"), (-F.col("w")).alias("w"), F.col("v"))).alias("best"))
     return best.join(made, best["g2"] == made["g"]).select(F.col("g").alias("group"), F.concat_ws("", "c").alias("consensus"), F.col("best")["v"].alias("value"), F.col("best")["d"].alias("distance"), F.col("n").alias("values"))
 
 
-def _pack(profile: tuple[list, float]) -> str:
-    import json
-
-    return json.dumps(profile, ensure_ascii=False)
-
+def _pack(profile: tuple[list, float]) -> dict:
+    cols, w = profile
+    return {"w": w, "n": [len(c) for c in cols], "t": [t for c in cols for t in c], "x": [float(x) for c in cols for x in c.values()]}
 
-def _unpack(text: str) -> tuple[list, float]:
-    import json
 
-    cols, w = json.loads(text)
-    return cols, w
+def _unpack(p: dict) -> tuple[list, float]:
+    ends = np.cumsum(np.asarray(p["n"], dtype=np.int64)).tolist()
+    pairs = list(zip(p["t"], p["x"]))
+    return [dict(pairs[a:z]) for a, z in zip([0, *ends], ends)], float(p["w"])
