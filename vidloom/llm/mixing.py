@@ -42,7 +42,9 @@ def mix(sized: DataFrame, targets: DataFrame, slot_tokens: int = 65_536, seed: i
     has the size of all documents of the sources in ``targets``. First result: one row per placed copy, ``slot``
     (position in the mix), ``source``, ``doc_id``, ``copy`` (from 0), ``at`` (place on the source's tape), ``size``.
     Second result: one row per source of ``targets`` with available, wanted and placed tokens, target and reached
-    share, ``repeats`` used and ``short``, true where size times repeats is below the target share of the total.
+    share and their ``deviation``, ``repeats`` used, ``largest_slot_tokens`` (a document belongs to the slot in which it
+    starts, so a slot may hold more than its size) and ``short``: the source has nothing, or almost nothing, left for
+    further turns of the schedule, and size times repeats is indeed below the target share of the total.
 
     A document is placed at most ``max_repeats`` times (null: once). Documents of size 0 or of other sources, and
     rows with nulls, have no place in a mix. A source without documents has size 0. Shares that don't sum to 1 are
@@ -90,12 +92,17 @@ def mix(sized: DataFrame, targets: DataFrame, slot_tokens: int = 65_536, seed: i
     tape = tape.select("doc_id", "source", "size", "copy", at.alias("at"), F.floor(at / slot_tokens).alias("turn"))
     placed = scratch.table(tape.join(plan, ["source", "turn"]).select("slot", "source", "doc_id", "copy", "at", "size"), "mix")
 
-    got = placed.groupBy("source").agg(F.sum("size").alias("placed"), (F.max("copy") + 1).alias("repeats"))
+    scratch.drop(d, ranges, plan)
+    slot_sums = placed.groupBy("source", "slot").agg(F.sum("size").alias("held"), F.max("copy").alias("copy"))
+    got = slot_sums.groupBy("source").agg(F.sum("held").alias("placed"), (F.max("copy") + 1).alias("repeats"), F.max("held").alias("largest"))
+    # The turns of a source differ from its share of the slots by less than this (the points are of low discrepancy).
+    slack = (4 + math.ceil(math.log2(slots + 1))) * slot_tokens
     report = facts.join(weights.select("source", "target_share"), "source").join(got, "source", "left")
     placed_c, all_placed = F.coalesce("placed", F.lit(0)), placed.agg(F.sum("size")).first()[0] or 0
     report = report.select(
         "source", "target_share", "max_repeats", F.col("have").alias("available_tokens"), (F.col("target_share") * total).alias("wanted_tokens"),
         placed_c.alias("placed_tokens"), (placed_c / F.lit(max(1, all_placed))).alias("reached_share"),
-        F.coalesce("repeats", F.lit(0)).alias("repeats"), (F.col("have") * F.col("max_repeats") < F.col("target_share") * total).alias("short"),
+        (placed_c / F.lit(max(1, all_placed)) - F.col("target_share")).alias("deviation"), F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce("largest", F.lit(0)).alias("largest_slot_tokens"),
+        ((F.col("have") * F.col("max_repeats") - placed_c <= slack) & (F.col("have") * F.col("max_repeats") < F.col("target_share") * total)).alias("short"),
     )
     return placed, report
