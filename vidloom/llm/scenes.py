@@ -288,7 +288,9 @@ def _nuclei(stars_df: DataFrame, least_rows: int, tight: float, scratch: Scratch
     nuclei = comps.where((F.col("bundle") >= tight) & (F.col("degree") >= least_rows)).drop("bundle").unionByName(stars_sum)
     names = heads.join(loose.withColumn("apart", F.lit(True)), "root", "left").select("medoid", F.when(F.col("apart"), F.col("medoid")).otherwise(F.col("root")).alias("k")).distinct()
     members = spans.select("id", F.col("a").alias("medoid")).join(names, "medoid").select("id", "k")
-    return scratch.table(nuclei, "nuclei"), scratch.table(members, "members")
+    out = scratch.table(nuclei, "nuclei"), scratch.table(members, "members")
+    scratch.drop(spans, heads, comps, labels)
+    return out
 
 
 def _condense(nuclei: DataFrame, alike: float, scratch: Scratch, group: int = 4096) -> tuple[np.ndarray, np.ndarray]:
