@@ -112,7 +112,8 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "size
     # Bounded by the capacity: a run ends when a length can't fill it again, and it has few lengths.
     shared = spark.sparkContext.broadcast((table, total))
 
-    ranked = d.join(ranges.select("tokens", "range", "base"), ["tokens", "range"])
+    # Both sides lie by length and range, as the ranks need them; nothing that grows is broadcast.
+    ranked = d.join(ranges.select("tokens", "range", "base").hint("merge"), ["tokens", "range"])
     ranked = ranked.withColumn("rank", F.col("base") + F.row_number().over(W.partitionBy("tokens", "range").orderBy(F.xxhash64("k"), "k", "part")) - 1)
     kind = d.schema["k"].dataType.simpleString()
 
@@ -139,5 +140,5 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "size
         return placed
     empty = F.col("tokens") == 0
     fills = placed.where(~empty).groupBy("container").agg(F.max("fill").alias("f"))
-    zero = placed.where(empty).join(fills, "container", "left").withColumn("fill", F.coalesce("f", F.lit(0).cast("long")))
+    zero = placed.where(empty).join(fills.hint("merge"), "container", "left").withColumn("fill", F.coalesce("f", F.lit(0).cast("long")))
     return placed.where(~empty).unionByName(zero.select(*placed.columns))
