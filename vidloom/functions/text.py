@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SAFE_ID = re.compile(r"^[A-Za-z0-9_-]+$")
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -52,7 +56,7 @@ def safe_name(text: Column | str, fallback: str = "video") -> Column:
 
 
 def is_safe_id(text: Column | str) -> Column:
-    return F.coalesce(_c(text).rlike(r"^[A-Za-z0-9_-]+$"), F.lit(False))
+    return F.coalesce(_c(text).rlike(SAFE_ID.pattern), F.lit(False))
 
 
 def cache_float(value: Column | str) -> Column:

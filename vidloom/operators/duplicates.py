@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+from .skew import lookup
+
 
 def duplicate_members(files: DataFrame, key: str, size: str, content: str) -> DataFrame:
     """Members of groups of at least two files with the same size and content.
@@ -17,9 +20,12 @@ def duplicate_members(files: DataFrame, key: str, size: str, content: str) -> Da
     f = files.select(F.col(key).alias("k"), F.col(size).alias("n"), F.col(content).alias("c")).where("k is not null and n > 0 and c is not null")
     sizes = f.groupBy("n").agg(F.count(F.lit(1)).alias("same")).where("same > 1").select("n")
     marked = f.join(sizes, "n", "left_semi").select("k", F.concat_ws(":", F.col("n").cast("string"), F.sha2(F.col("c").cast("binary"), 256)).alias("g"))
-    marked = marked.groupBy("g", "k").agg(F.lit(1).alias("one")).drop("one")
+    scratch = Scratch(files.sparkSession, "duplicates")
+    marked = scratch.table(marked.groupBy("g", "k").agg(F.lit(1).alias("one")).drop("one"), "marked")  # keys and fingerprints
     groups = marked.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("k").alias("first")).where("members > 1")
-    return marked.join(groups, "g").select(F.col("g").alias("group"), F.col("k").alias(key), "members", "first")
+    groups = scratch.table(groups.select("g", "members", F.struct("members", "first").alias("facts")), "groups")
+    rows = lookup(marked.withColumn("key", F.col("g")), "key", groups, "g", "facts", "members", marked.count(), "facts")
+    return rows.select(F.col("g").alias("group"), F.col("k").alias(key), "facts.members", "facts.first")
 
 
 def duplicate_groups(files: DataFrame, key: str, size: str, content: str) -> DataFrame:

@@ -74,3 +74,75 @@ def video_vectors(frames: DataFrame, count: int = 16, video: str = "video_id", p
     from .candidates import even_sample
 
     return mean_vector(even_sample(frames.where(F.size(vector) > 0), count, video, pos), [video], vector)
+
+
+def build_index(frames: DataFrame, path: str | None = None, make: Callable[[], Embedder] = cosine_embedder, count: int = 16, by: str = "video_path", pos: str = "frame_pos") -> DataFrame:
+    """``name``, ``vector``: one vector for each video of ``frames`` (``by``, ``pos``, ``pixels``, ``height``, ``width``), written to ``path`` if given.
+
+    Only the evenly spaced frames that count are embedded. Without frames the index is empty.
+    """
+    from ..functions import text as T
+    from ..sources.caches import write_index
+    from .candidates import even_sample
+
+    good = frames.where(F.col("pixels").isNotNull() & (F.col("height") > 0) & (F.col("width") > 0))
+    vectors = mean_vector(embed_frames(even_sample(good, count, by, pos), make), [by])
+    out = vectors.select(T.basename(by).alias("name"), F.col("mean_vector").alias("vector")).orderBy("name")
+    if path:
+        write_index(out, path)
+    return out
+
+
+# Batch sizes by device and edge length of the input.
+def batch_size(device: str, input_size: int = 224, override: str | int | None = None) -> int:
+    """How many frames an embedder gets at once; a readable override wins."""
+    try:
+        if override is not None and str(override).strip():
+            return max(1, int(override))
+    except ValueError:
+        pass
+    if device.lower().startswith("cuda"):
+        return 2 if input_size >= 512 else 4 if input_size >= 336 else 8
+    return 16 if input_size >= 384 else 32
+
+
+def model_source(roots: list[str], name: str, needed: tuple[str, ...], hub_id: str, hub_folder: str | None = None) -> str:
+    """Where an embedding model lies: the first complete folder below the roots, else the id under which a hub has it.
+
+    A root may be the model's folder, hold it under ``name``, or hold a hub cache (``hub_folder``): there the snapshot that
+    ``refs/main`` names counts, else the newest complete one. A folder is complete if it has ``needed``; a name with ``|``
+    needs one of its alternatives. Equal roots count once.
+    """
+    from pathlib import Path
+
+    def complete(p: Path) -> bool:
+        return p.is_dir() and all(any((p / x).is_file() for x in n.split("|")) for n in needed)
+
+    for root in dict.fromkeys(Path(r).expanduser().resolve() for r in roots if r):
+        for p in dict.fromkeys((root, root if root.name == name else root / name)):
+            if complete(p):
+                return str(p)
+        cache = root if root.name == hub_folder else root / hub_folder if hub_folder else None
+        if cache is None or not (cache / "snapshots").is_dir():
+            continue
+        ref = cache / "refs" / "main"
+        main = cache / "snapshots" / ref.read_text().strip() if ref.is_file() else None
+        if main is not None and complete(main):
+            return str(main)
+        rest = sorted((p for p in (cache / "snapshots").iterdir() if complete(p)), key=lambda p: (p.stat().st_mtime, p.name))
+        if rest:
+            return str(rest[-1])
+    return hub_id
+
+
+def as_images(frames: DataFrame, origin: str = "video_path") -> DataFrame:
+    """``frames`` with ``image`` instead of the pixels: the struct of Spark's image source (blue first), null without pixels."""
+    kept = [c for c in frames.columns if c not in ("pixels", "height", "width")]
+
+    @F.pandas_udf("binary")
+    def swapped(pixels: pd.Series) -> pd.Series:
+        return pixels.map(lambda p: None if p is None else np.frombuffer(p, np.uint8).reshape(-1, 3)[:, ::-1].tobytes())
+
+    # 16: three channels of 8 bits, as the image source calls it.
+    image = F.struct(F.col(origin).cast("string").alias("origin"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), swapped("pixels").alias("data"))
+    return frames.select(*kept, F.when(F.col("pixels").isNotNull(), image).alias("image"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from .running import running
 
 # What lines say, and how many of them each tolerance accepts.
 FATAL = ("Error opening input", "Invalid data found when processing input", "moov atom not found", "does not contain any stream", "matches no streams")
@@ -72,7 +73,8 @@ def validate_streams(lines: DataFrame, tolerance: str = "balanced", severe_limit
     """``video``, ``severe``, ``missing``, ``verdict`` (null: accepted) of the error lines of every video.
 
     A fatal line decides at once; else the first limit that is reached in order of the lines does, and lines after
-    it don't count. Blank lines don't count. Counting is one running sum per video; the verdict is an aggregate.
+    it don't count. Blank lines don't count. Counting is a running sum that may cross tasks, so a log of any length is
+    spread; the verdict is an aggregate.
     """
     preset = TOLERANCES.get(tolerance, TOLERANCES["balanced"])
     s_max, m_max = limit_of(severe_limit, preset[0]), limit_of(missing_limit, preset[1])
@@ -80,8 +82,9 @@ def validate_streams(lines: DataFrame, tolerance: str = "balanced", severe_limit
     rows = lines.where(c != "").select(F.col(video).alias("video"), F.col(order).alias("n"), c.alias("line"))
     fatal, severe = _has(F.col("line"), FATAL), _has(F.col("line"), SEVERE)
     rows = rows.withColumn("kind", F.when(fatal, "f").when(severe, "s").when(F.contains(F.col("line"), F.lit(MISSING)), "m").otherwise("o"))
-    w = W.partitionBy("video").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("s", F.count_if(F.col("kind") == "s").over(w)).withColumn("m", F.count_if(F.col("kind") == "m").over(w))
+    rows = rows.where("kind <> 'o'").unionByName(rows.where("kind = 'o'").groupBy("video").agg(F.min("n").alias("n"), F.min("line").alias("line"), F.lit("o").alias("kind")))
+    one = lambda k: F.when(F.col("kind") == k, 1).otherwise(0).cast("long")
+    rows = running(rows, ["video"], ["n"], {"s": one("s"), "m": one("m")})
     stop = F.col("kind") == "f"
     if s_max:
         stop = stop | (F.col("s") >= s_max)
@@ -101,8 +104,7 @@ def validate_streams(lines: DataFrame, tolerance: str = "balanced", severe_limit
 
 def with_context(lines: DataFrame, stream: str, order: str, marker: Column) -> DataFrame:
     """Adds ``context``, the last marker at or before each line, and ``episode``, its running number (0: before any)."""
-    w = W.partitionBy(stream).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn("context", F.last(marker, ignorenulls=True).over(w)).withColumn("episode", F.count(marker).over(w))
+    return running(lines, [stream], [order], {"episode": F.when(marker.isNotNull(), 1).otherwise(0).cast("long")}, lasts={"context": marker})
 
 
 def warning_summaries(lines: DataFrame, stream: str = "stream", order: str = "line_no", line: str = "line", context: str = "context", episode: str = "episode") -> DataFrame:
@@ -114,11 +116,9 @@ def warning_summaries(lines: DataFrame, stream: str = "stream", order: str = "li
     keys = [stream, episode]
     c = F.col(line)
     rows = lines.select(*keys, order, context, F.contains(c, F.lit(SEVERE[0])).alias("nal"), F.contains(c, F.lit(MISSING)).alias("miss"))
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    run = rows.select(
-        *keys, context, order, F.count_if(F.col("nal")).over(w).alias("invalid_nal"), F.count_if(F.col("miss") & ~F.col("nal")).over(w).alias("missing_picture"),
-        F.count_if(~F.col("nal") & ~F.col("miss")).over(w).alias("other"), F.count(F.lit(1)).over(w).alias("total"),
-    )
+    one = lambda x: F.when(x, 1).otherwise(0).cast("long")
+    nal, miss = F.col("nal"), F.col("miss")
+    run = running(rows, keys, [order], {"invalid_nal": one(nal), "missing_picture": one(miss & ~nal), "other": one(~nal & ~miss), "total": F.lit(1).cast("long")}).drop("nal", "miss")
     due = (F.col("total") == SUMMARY_FIRST) | (F.col("total") % SUMMARY_EVERY == 0)
     live = run.where(due).withColumn("kind", F.lit("running"))
     last = run.groupBy(*keys).agg(F.max_by(F.struct(*run.columns), "total").alias("r")).select("r.*")
@@ -127,6 +127,28 @@ def warning_summaries(lines: DataFrame, stream: str = "stream", order: str = "li
     return live.unionByName(final).drop(order)
 
 
+def parse_context(line: Column | str) -> Column:
+    """``path`` and ``phase`` of a context line; null for any other line, broken JSON or a blank path."""
+    return _payload(line, "ANALYSIS_VIDEO_CONTEXT|", "path string, phase string", ("path", "phase"), "path")
+
+
+def parse_quarantined(line: Column | str) -> Column:
+    """What a quarantine line says: paths, how many videos are left and gone, whether the file was moved; else null."""
+    ddl = "originalPath string, destinationPath string, remainingVideos bigint, removedVideos bigint, moved boolean"
+    return _payload(line, "ANALYSIS_VIDEO_QUARANTINED|", ddl, tuple(x.split()[0] for x in ddl.split(", ")))
+
+
+def _payload(line: Column | str, prefix: str, ddl: str, needed: tuple[str, ...], filled: str | None = None) -> Column:
+    c = F.trim(F.col(line) if isinstance(line, str) else line)
+    x = F.from_json(F.substring(c, len(prefix) + 1, 2**31 - 1), ddl)
+    ok = c.startswith(prefix)
+    for n in needed:
+        ok = ok & x[n].isNotNull()
+    if filled:
+        ok = ok & (F.trim(x[filled]) != "")
+    return F.when(ok, x)
+
+
 def route(line: Column | str) -> Column:
     """Where a line goes: the first rule that matches."""
     c = F.col(line) if isinstance(line, str) else line
@@ -138,9 +160,9 @@ def route(line: Column | str) -> Column:
 
 def monotone_progress(df: DataFrame, stream: str, order: list[str], progress: str) -> DataFrame:
     """Adds ``shown``: progress never falls, and stays below 100 until it is 100."""
-    w = W.partitionBy(stream).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    top = F.max(F.least(F.greatest(F.col(progress), F.lit(0.0)), F.lit(100.0))).over(w)
-    return df.withColumn("shown", F.when(top < 100, F.least(top, F.lit(99.99))).otherwise(top))
+    top = F.col("__top")
+    rows = running(df, [stream], order, tops={"__top": F.least(F.greatest(F.col(progress), F.lit(0.0)), F.lit(100.0))})
+    return rows.withColumn("shown", F.when(top < 100, F.least(top, F.lit(99.99))).otherwise(top)).drop("__top")
 
 
 def tail(lines: DataFrame, stream: str, order: list[str], n: int = 1000) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import text as T
 #: Columns of the two CSV forms.
 CSV_COLUMNS = (
     "completed_at", "video_a", "video_b", "a_in_b", "b_in_a", "symmetric_similarity", "avg_similarity_a_to_b", "avg_similarity_b_to_a", "relation",
-    "total_frames_a", "total_frames_b", "duration_a", "duration_b", "raw_similarity_max", "matched_segment_count", "matches_a_to_b_total",
+    "total_frames_a", "total_frames_b", "duration_a", "duration_b", "raw_similarity_max", "raw_similarity_p95", "matched_segment_count",
 )
 RAW_KEYS = ("analysis_mode", "duplicate_group_paths", "file_size_bytes", "fingerprint", "raw_similarity_max", "raw_similarity_mean", "raw_similarity_p95", "raw_similarity_p99", "preprocess_config", "match_threshold")
 
@@ -194,6 +194,12 @@ def delete_pairs(normalized: DataFrame, doomed: DataFrame) -> DataFrame:
     return normalized.join(keys, "pair_key", "left_anti")
 
 
+def unique_non_empty(df: DataFrame, column: str, order: str) -> DataFrame:
+    """The distinct values of a text column without outer blanks, blank ones dropped, in order of their first row."""
+    x = df.select(F.trim(F.col(column)).alias(column), F.col(order).alias("__at")).where(F.col(column) != "")
+    return x.groupBy(column).agg(F.min("__at").alias("__at")).orderBy("__at", column).select(column)
+
+
 def delete_pairs_checked(normalized: DataFrame, doomed: DataFrame) -> DataFrame:
     """As ``delete_pairs``, but it is an error if nothing was removed."""
     left = delete_pairs(normalized, doomed)

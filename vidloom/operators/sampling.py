@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def step_filter(frames: DataFrame, step: int, index: str = "frame_index") -> DataFrame:
     """Every ``step``-th frame, by its index."""
@@ -30,23 +32,30 @@ def dynamic_sample(frames: DataFrame, video: str, index: str, bits: str, max_gap
     """The kept rows of ``frames``, all columns.
 
     ``bits`` holds the 64-bit hash of a frame, ``max_gap`` the longest gap in frames of its video (at least 1 counts).
-    Rows with a null video, index or hash are left out; equal indexes are taken in order of their hash. The longest
-    video bounds the run time of a task, not its memory: the state is one hash and one index.
+    Rows with a null video, index or hash are left out; equal indexes are taken in order of their hash. A frame that is
+    ``max_gap`` or more after the one before it is kept whatever came earlier, so the fold starts afresh there and a
+    video falls into independent runs; the longest run bounds the time of a task, and its memory is one hash and index.
     """
     rows = frames.where(F.col(video).isNotNull() & F.col(index).isNotNull() & F.col(bits).isNotNull())
+    columns = rows.columns
+    gap = F.greatest(F.lit(1), F.coalesce(F.col(max_gap), F.lit(1)))
+    rows = running(rows, [video], [index, bits], before={"__before": F.col(index)})
+    rows = rows.withColumn("__new", F.coalesce(F.col(index) - F.col("__before") >= gap, F.lit(True)))
+    # A run is named by the index at which it starts.
+    rows = running(rows.drop("__before"), [video], [index, bits], tops={"__run": F.when(F.col("__new"), F.col(index))})
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, state = object(), None
         for x in batches:
             kept = np.zeros(len(x), bool)
-            for i, (v, at, h, gap) in enumerate(zip(x[video], x[index].to_numpy(), x[bits].to_numpy(), x[max_gap].to_numpy())):
-                if v != name:
-                    name, state = v, None
-                if keep_frame(state, int(at), int(h), max(1, int(gap)), skip):
+            for i, (v, run, at, h, most) in enumerate(zip(x[video], x["__run"].to_numpy(), x[index].to_numpy(), x[bits].to_numpy(), x[max_gap].to_numpy())):
+                if (v, run) != name:
+                    name, state = (v, run), None
+                if keep_frame(state, int(at), int(h), max(1, int(most)) if most == most else 1, skip):
                     state, kept[i] = (int(at), int(h)), True
-            yield x[kept]
+            yield x[kept][columns]
 
-    return rows.repartition(video).sortWithinPartitions(video, index, bits).mapInPandas(fold, rows.schema)
+    return rows.drop("__new").repartition(video, "__run").sortWithinPartitions(video, "__run", index, bits).mapInPandas(fold, frames.schema)
 
 
 def farthest_points(vectors: np.ndarray, count: int) -> np.ndarray:

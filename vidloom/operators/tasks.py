@@ -80,6 +80,81 @@ def inputs_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return facts.select("added", "removed", ((F.col("added") + F.col("removed") > 0) & (F.col("had") > 0)).alias("changed"))
 
 
+def comparison_progress(direction: Column, done: Column, total: Column, frames_a: Column, frames_b: Column, first: Column | None = None) -> Column:
+    """``done``, ``total``, ``label`` of a pair while one direction of it is compared.
+
+    Each side counts with its frames (at least 1); the direction of the smaller side comes first unless stated (``A`` if
+    equal), and what the other one does is added to it.
+    """
+    at_least = lambda c: F.greatest(F.lit(1), F.coalesce(c, F.lit(0))).cast("long")
+    a, b, steps = at_least(frames_a), at_least(frames_b), at_least(total)
+    lead = F.when(a <= b, "A_to_B").otherwise("B_to_A")
+    lead = lead if first is None else F.coalesce(first, lead)
+    own = F.least(F.greatest(F.lit(0), F.coalesce(done, F.lit(0))).cast("long"), steps)
+    moved = own + F.when(direction == lead, 0).when(lead == "A_to_B", a).otherwise(b)
+    label = F.when(direction == "A_to_B", "A to B").otherwise("B to A")
+    return F.struct(F.least(moved, a + b).alias("done"), (a + b).alias("total"), label.alias("label"))
+
+
+def activate(recorded: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The six stages of each task that starts, and ``changed``: a task whose files differ from last time starts anew.
+
+    ``recorded``: stages of tasks as in ``merge_stages``; ``old`` and ``new``: ``task``, ``path``, ``size``, ``mtime_ms``.
+    A task is changed if it had files and they aren't the same; then all its stages are pending and its completed pairs
+    don't count. Tasks are those of ``new`` and of ``recorded``; nulls in a fingerprint are values.
+    """
+    cols = ["task", "path", "size", "mtime_ms"]
+    both = old.select(*cols).distinct().withColumn("o", F.lit(1)).withColumn("n", F.lit(0)).unionByName(new.select(*cols).distinct().withColumn("o", F.lit(0)).withColumn("n", F.lit(1)))
+    same = both.groupBy(*cols).agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    facts = same.groupBy("task").agg((F.max("o") == 1).alias("had"), F.max(F.when(F.col("o") != F.col("n"), True).otherwise(False)).alias("differs"))
+    tasks_ = new.select("task").distinct().join(recorded, "task", "full_outer") if set(recorded.columns) - {"task"} else new.select("task").distinct()
+    stages = merge_stages(tasks_).join(facts.select("task", (F.col("had") & F.col("differs")).alias("changed")), "task", "left")
+    changed = F.coalesce("changed", F.lit(False))
+    return stages.select("task", "idx", "id", "weight", F.when(changed, "pending").otherwise(F.col("status")).alias("status"), F.when(changed, 0.0).otherwise(F.col("progress")).alias("progress"), changed.alias("changed"))
+
+
+def resume_state(states: DataFrame, own: str, signature: str) -> DataFrame:
+    """The rows of the state from which a task goes on.
+
+    ``states``: ``state`` (file name), ``signature``, ``pair_key``, ``modified_ms`` and others. Candidates are the task's
+    own state and the first other one with an equal signature: its pending files come before the states of other tasks,
+    newer ones first. Of the two the one with more pairs is taken, the own one if equal.
+    """
+    s = states.where(F.col("signature") == signature)
+    facts = s.groupBy("state").agg(F.countDistinct("pair_key").alias("pairs"), F.max("modified_ms").alias("at"))
+    kind = F.when(F.col("state") == own, 0).when(F.col("state").startswith(f"{own}.") & F.col("state").endswith(".pending"), 1).when(F.col("state").endswith(".state.json"), 2)
+    facts = facts.withColumn("kind", kind).where("kind is not null")
+    other = facts.where("kind > 0").orderBy("kind", F.desc("at"), "state").limit(1)
+    best = facts.where("kind = 0").unionByName(other).orderBy(F.desc("pairs"), "kind").limit(1)
+    return states.where(F.col("signature") == signature).join(F.broadcast(best.select("state")), "state", "left_semi")  # one row
+
+
+#: The settings that make up the key by which a task is found again, in order.
+MATCH_FIELDS = (
+    "skipThreshold", "matchThreshold", "windowSize", "topK", "candidateLimit", "compareWorkers", "maxGapSec", "frameStep", "cropBlackBorders", "resizeMode", "inputSize", "portraitRotation", "force", "earlyStop", "device",
+    "errorTolerancePreset", "errorToleranceSevereLimit", "errorToleranceMissingPictureLimit", "errorTolerancePreflightValidation", "analysisMode", "minSegmentDuration", "minSegmentMatches", "offsetTolerance",
+)
+
+
+def match_key(config: Column | str) -> Column:
+    """The key of a task from the JSON text of its settings: the same settings and videos give the same key.
+
+    Paths count in their normal form, an absent early stop as true, absent settings not at all; null for broken JSON.
+    """
+    c = F.col(config) if isinstance(config, str) else config
+    get = lambda n: F.get_json_object(c, f"$.{n}")
+    paths = F.coalesce(F.transform(F.from_json(get("videoPaths"), "array<string>"), T.normalize_path), F.array().cast("array<string>"))
+    fields = [F.coalesce(get(n), F.lit("true")).alias(n) if n == "earlyStop" else get(n).alias(n) for n in MATCH_FIELDS]
+    doc = F.to_json(F.struct(F.lit(1).alias("version"), T.normalize_path(get("videoDir")).alias("videoDir"), *fields, paths.alias("videoPaths")))
+    return F.when(F.try_parse_json(c).isNotNull(), doc)
+
+
+def task_config(text: Column | str) -> Column:
+    """Settings as a map of texts; empty for broken JSON or anything but an object."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.when(F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{"), F.from_json(c, "map<string,string>")), F.from_json(F.lit("{}"), "map<string,string>"))
+
+
 def pair_key(a: tuple[str, str, str], b: tuple[str, str, str]) -> Column:
     """Unordered key of two files given as (path, size, time) column names."""
     left, right = (F.concat_ws("|", *[F.col(c).cast("string") for c in x]) for x in (a, b))

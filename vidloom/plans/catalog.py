@@ -11,13 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import relation as R
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.identity import video_identity
 from ..operators import candidates, duplicates, logs, offsets, periods, report, sampling, scan, similarity, tasks, timeline
+from ..operators.running import running
 from ..session import Scratch
 from ..sources import files, reports, subtitles
 from . import analyze, oracle, presets
@@ -201,8 +201,8 @@ def phash_steps(spark: SparkSession, d: str) -> DataFrame:
     """Hash similarity of every frame to the frame before it."""
     f = read(spark, d, "frames").select("frame_id", video_identity("video_path").alias("v"), "frame_index", V.hash_long("phash").alias("h"))
     f = f.groupBy("frame_id").agg(F.max("v").alias("v"), F.max("frame_index").alias("frame_index"), F.max("h").alias("h")).where("v is not null and h is not null")
-    before = F.lag("h").over(W.partitionBy("v").orderBy("frame_index", "frame_id"))
-    return f.withColumn("before", before).where("before is not null").select("frame_id", V.hash_similarity("h", "before").alias("similarity"))
+    f = running(f, ["v"], ["frame_index", "frame_id"], before={"before": F.col("h")})
+    return f.where("before is not null").select("frame_id", V.hash_similarity("h", "before").alias("similarity"))
 
 
 # Offsets, segments, windows --------------------------------------------------------------------
@@ -270,7 +270,7 @@ def stream_sampler(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "stream")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     table = scratch.table(_hashed_frames(spark, d), "frames")
-    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", "1000").parquet(table._vidloom_path)
+    source = spark.readStream.schema(table.schema).parquet(table._vidloom_path)
     out = f"{scratch.root}/kept"
     run_available(sample_stream(source, "video", "frame_index", "bits", "max_gap", 0.60), lambda df, n: df.write.mode("append").parquet(out), f"{scratch.root}/checkpoint")
     return spark.read.parquet(out).select("video", "frame_index", "bits")
@@ -559,9 +559,9 @@ def active_at(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def points_in_clips(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of urgent priority as points, and the clips of their track and customer that cover them."""
+    """Every order as a point, and the clips of its track and customer that cover it."""
     c = _clips(spark, d).withColumn("track", F.col("composition") * 3 + F.col("track"))
-    p = c.where("o_orderpriority = '1-URGENT'").select("track", (F.col("start") + 0.5).alias("at"), F.col("clip").alias("point"))
+    p = c.select("track", (F.col("start") + 0.5).alias("at"), F.col("clip").alias("point"))
     return timeline.points_in_intervals(p, c, 100.0).select("point", "clip")
 
 

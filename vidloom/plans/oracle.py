@@ -301,7 +301,7 @@ SQL["dedupe_windows"] = "select direction, count(*) windows from (select distinc
 SQL["timeline_intervals"] = f"""with {EVENT_CLIPS}, pts as (select composition, s pt from clips union select composition, e from clips), sp as (select *, lead(pt) over (partition by composition order by pt) nxt from pts)
 select sp.composition, pt as start, nxt as "end", string_agg(clip::varchar, ',' order by track, clip) active from sp join clips c on c.composition = sp.composition and s <= (pt + nxt) / 2 and (pt + nxt) / 2 < e where nxt - pt > 0.000001 group by 1, 2, 3"""
 SQL["active_at"] = f"with {EVENT_CLIPS} select track, clip, s as start from clips where s <= 2500.5 and 2500.5 < e"
-SQL["points_in_clips"] = f"with {EVENT_CLIPS} select p.clip point, c.clip from clips p join clips c on c.composition = p.composition and c.track = p.track and c.s <= p.s + 0.5 and p.s + 0.5 < c.e where p.o_orderpriority = '1-URGENT'"
+SQL["points_in_clips"] = f"with {EVENT_CLIPS} select p.clip point, c.clip from clips p join clips c on c.composition = p.composition and c.track = p.track and c.s <= p.s + 0.5 and p.s + 0.5 < c.e"
 SQL["sequential_track_cursor"] = f"""with recursive {EVENT_CLIPS}, n as materialized (select *, row_number() over (partition by composition order by clip) rn, e - s d, case when o_orderpriority = '1-URGENT' then s end want from clips),
 w as (select composition, clip, rn, greatest(0.0, coalesce(want, 0.0)) st, d, greatest(0.0, greatest(0.0, coalesce(want, 0.0)) + d) cur from n where rn = 1 union all
   select n.composition, n.clip, n.rn, (case when n.want is null then w.cur else greatest(0.0, n.want) end), n.d, greatest(w.cur, (case when n.want is null then w.cur else greatest(0.0, n.want) end) + n.d) from w join n on n.composition = w.composition and n.rn = w.rn + 1)

@@ -2,8 +2,8 @@
 
 Iterative operators cut their lineage by writing a table into the folder that
 ``spark.checkpoint.dir`` names. On a cluster that folder is shared by all
-executors, so a lost executor loses nothing. Only where the setting is absent
-(tests, notebooks) a temporary folder is created.
+executors, so a lost executor loses nothing. Only a local session without the setting
+(tests, notebooks) gets a temporary folder; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -62,6 +62,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir() or ""
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="vidloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import Scratch
 
 # Extensions that count as videos.
 VIDEO_EXTENSIONS = ("mp4", "mkv", "avi", "mov", "flv", "webm", "wmv")
@@ -34,10 +35,59 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | Non
     return out.orderBy("name", "path")
 
 
+def walk_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = VIDEO_EXTENSIONS, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """As ``scan_files``, for a mounted folder whose parts may be unreadable: the files, and what was skipped with its error.
+
+    Folders are listed level by level, those of a level by all tasks. Symbolic links are skipped; a folder or entry that
+    can't be read costs only itself. The mount must be the same on all executors.
+    """
+    scratch = Scratch(spark, "walk")
+
+    def look(batches):  # noqa: ANN001, ANN202
+        import os
+
+        import pandas as pd
+
+        for x in batches:
+            out = []
+            for folder in x["path"]:
+                try:
+                    entries = list(os.scandir(folder))
+                except OSError as e:
+                    out.append((folder, "error", None, None, str(e)))
+                    continue
+                for e in entries:
+                    try:
+                        if not e.is_symlink() and e.is_dir(follow_symlinks=False):
+                            out.append((e.path, "folder", None, None, None))
+                        elif not e.is_symlink() and e.is_file(follow_symlinks=False):
+                            st = e.stat(follow_symlinks=False)
+                            out.append((e.path, "file", st.st_size, st.st_mtime_ns // 1_000_000, None))
+                    except OSError as err:
+                        out.append((e.path, "error", None, None, str(err)))
+            yield pd.DataFrame(out, columns=["path", "kind", "size", "at", "error"]).astype({"size": "Int64", "at": "Int64"})
+
+    level, seen = spark.createDataFrame([(root,)], "path string"), None
+    while level is not None:
+        found = scratch.table(level.mapInPandas(look, "path string, kind string, size bigint, at bigint, error string"), "level")
+        seen = found if seen is None else seen.unionAll(found)
+        level = found.where("kind = 'folder'").select("path")
+        level = level.repartition(spark.sparkContext.defaultParallelism) if recursive and not level.isEmpty() else None
+    size, ext = F.col("size").alias("size_bytes"), T.extension("path").alias("extension")
+    files = seen.where("kind = 'file'").select("path", T.basename("path").alias("name"), ext, size, (F.col("size") / 1048576).alias("size_mb"), F.col("at").alias("modified_at_ms"))
+    if extensions is not None:
+        files = files.where(F.col("extension").isin(*extensions))
+    return files.orderBy("name", "path"), seen.where("kind = 'error'").select("path", "error")
+
+
 def explicit_files(spark: SparkSession, paths: list[str], extensions: tuple[str, ...] = VIDEO_EXTENSIONS) -> DataFrame:
     """One row per path with an ``error`` where it is missing or of another kind."""
-    known = [p for p in paths if _exists(spark, p)]
-    found = spark.read.format("binaryFile").load(known).select(T.basename("path").alias("name"), F.regexp_replace("path", "^file:/+", "/").alias("p"), F.col("length").alias("size_bytes")) if known else spark.createDataFrame([], "name string, p string, size_bytes bigint")
+    # Folders are asked for, not files: there are far fewer, and what is in them is listed by Spark.
+    folders = [f for f in sorted({p.rpartition("/")[0] or "/" for p in paths}) if _exists(spark, f)]
+    found = spark.createDataFrame([], "p string, size_bytes bigint")
+    if folders:
+        listed = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(folders)
+        found = listed.select(F.regexp_replace("path", "^file:/+", "/").alias("p"), F.col("length").alias("size_bytes")).distinct()
     asked = spark.createDataFrame([(p,) for p in paths], "path string")
     j = asked.join(found, asked["path"] == found["p"], "left")
     error = F.when(F.col("p").isNull(), "not a file").when(~T.extension("path").isin(*extensions), "unsupported extension")

@@ -38,12 +38,14 @@ class FrameSampler(StatefulProcessor):
         self.video, self.index, self.bits, self.max_gap, self.skip, self.columns = video, index, bits, max_gap, skip, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at bigint, bits bigint")
+        self.last = handle.getValueState("last", "at bigint, bits bigint, seen bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         x = pd.concat(list(rows)).sort_values([self.index, self.bits], kind="stable")
-        state = self.last.get() if self.last.exists() else None
-        state = tuple(int(v) for v in state) if state is not None else None
+        at, bits, seen = (int(v) for v in self.last.get()) if self.last.exists() else (None, None, None)
+        state = None if at is None else (at, bits)
+        if seen is not None and len(x) and int(x[self.index].iloc[0]) < seen:
+            raise ValueError(f"frame {int(x[self.index].iloc[0])} of {key[0]} came after frame {seen}")
         kept = []
         for at, bits, gap in zip(x[self.index], x[self.bits], x[self.max_gap]):
             keep = keep_frame(state, int(at), int(bits), max(1, int(gap)), self.skip)
@@ -51,7 +53,7 @@ class FrameSampler(StatefulProcessor):
                 state = (int(at), int(bits))
             kept.append(keep)
         if state is not None:
-            self.last.update(state)
+            self.last.update((*state, int(x[self.index].iloc[-1])))
         yield x[kept][self.columns]
 
     def close(self) -> None:
@@ -59,7 +61,12 @@ class FrameSampler(StatefulProcessor):
 
 
 def sample_stream(frames: DataFrame, video: str, index: str, bits: str, max_gap: str, skip: float = 0.90) -> DataFrame:
-    """The kept rows of a stream of frames; the frames of a video must arrive in order of their index, batch by batch."""
+    """The kept rows of a stream of frames.
+
+    The frames of a video must arrive in order of their index, batch by batch; one that comes in a later batch than a
+    frame after it is an error, never a silent loss. Within a batch they are sorted, in the memory of a task: limit the
+    batches of the source where a video has very many new frames at once.
+    """
     _portable()
     rows = frames.where(f"{video} is not null and {index} is not null and {bits} is not null")
     return rows.groupBy(video).transformWithStateInPandas(FrameSampler(video, index, bits, max_gap, skip, rows.columns), rows.schema, "Append", "None")
