@@ -401,7 +401,7 @@ def _best(u: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _means(base: DataFrame, means: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Number and summed vector of the vectors assigned to each mean."""
+    """Number and summed vector of the vectors assigned to each mean, in order of the means."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, t = np.zeros(len(means), np.int64), np.zeros((len(means), A.DIMS))
@@ -421,7 +421,12 @@ def _means(base: DataFrame, means: np.ndarray, least: float) -> tuple[np.ndarray
 
     cols = ", ".join(f"c{i} double" for i in range(A.DIMS))
     part = base.mapInArrow(run, f"k bigint, degree bigint, {cols}")
-    return _vectors_of(part.groupBy("k").agg(F.sum("degree").alias("degree"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(A.DIMS)]), "degree")
+    got = part.groupBy("k").agg(F.sum("degree").alias("degree"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(A.DIMS)]).toArrow()
+    n, t, k = np.zeros(len(means), np.int64), np.zeros((len(means), A.DIMS)), got.column("k").to_numpy()
+    n[k] = got.column("degree").to_numpy()
+    for i in range(A.DIMS):
+        t[k, i] = got.column(f"c{i}").to_numpy()
+    return n, t
 
 
 def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, least_rows: int = 20, jaccard: float = 0.53, rows_per_part: int = 60_000, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
@@ -457,6 +462,9 @@ def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, leas
             if len(fresh):
                 n, t = _means(todo, fresh, least)
                 fresh = merge_means(n[n >= least_rows // 2], t[n >= least_rows // 2], apart)
+        if len(fresh):  # a scene needs its number of rows among all vectors, however near other scenes some of them are
+            n, t = (x[len(known) :] for x in _means(base, np.concatenate([known, fresh]), similarity))
+            fresh = merge_means(n[n >= least_rows], t[n >= least_rows], apart)
         if len(known) and len(fresh):
             fresh = fresh[_best(fresh, known)[1] < apart]
         if len(fresh):
