@@ -90,8 +90,8 @@ def filter_pairs(normalized: DataFrame, relation: str = "all", query: str = "",
 SORT_KEYS = ("completed_at", "video_a", "video_b", "a_in_b", "b_in_a", "symmetric_similarity", "matched_segment_count", "frame_matches", "relation")
 
 
-def sort_pairs(normalized: DataFrame, key: str = "symmetric_similarity", descending: bool = True, tie: str = "pair_id") -> DataFrame:
-    """Sorted by one of ``SORT_KEYS``; missing values are the lowest; texts in natural order."""
+def sort_order(key: str = "symmetric_similarity", descending: bool = True, tie: str = "pair_id") -> list[Column]:
+    """The order by one of ``SORT_KEYS``; missing values are the lowest; texts in natural order."""
     if key not in SORT_KEYS:
         raise ValueError(f"unknown sort key {key}")
     if key == "relation":
@@ -100,7 +100,12 @@ def sort_pairs(normalized: DataFrame, key: str = "symmetric_similarity", descend
         keys = [F.col("matches_a_to_b_total") + F.col("matches_b_to_a_total")]
     else:
         keys = [T.natural_key(key)] if key in ("video_a", "video_b") else [F.col(key)]
-    return normalized.orderBy(*[k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys], tie)
+    return [*[k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys], F.col(tie).asc()]
+
+
+def sort_pairs(normalized: DataFrame, key: str = "symmetric_similarity", descending: bool = True, tie: str = "pair_id") -> DataFrame:
+    """Sorted by one of ``SORT_KEYS`` (see ``sort_order``)."""
+    return normalized.orderBy(*sort_order(key, descending, tie))
 
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:

@@ -17,7 +17,7 @@ from ..session import Scratch
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None,
+    df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None, before: dict[str, Column] | None = None, parts: int | None = None, scratch: Scratch | None = None,
 ) -> DataFrame:
     """``df`` with running columns per ``keys`` in ``order``.
@@ -45,7 +45,7 @@ def running(
     local = [F.sum(v(n)).over(upto).alias(f"__l_{n}") for n in sums] + [F.max(v(n)).over(upto).alias(f"__l_{n}") for n in tops]
     local += [F.last(v(n), ignorenulls=True).over(upto).alias(f"__l_{n}") for n in lasts] + [F.lag(v(n)).over(w).alias(f"__l_{n}") for n in before]
     first = [F.row_number().over(w).alias("__rn")] if before else []
-    at = F.struct(*order)
+    at = F.struct(*order) if lasts or before else F.lit(None)
     ends = [F.sum(v(n)).alias(f"__e_{n}") for n in sums] + [F.max(v(n)).alias(f"__e_{n}") for n in tops]
     ends += [F.max_by(v(n), F.when(v(n).isNotNull(), at)).alias(f"__e_{n}") for n in lasts] + [F.max_by(F.struct(v(n).alias("x")), at).alias(f"__e_{n}") for n in before]
     e = t.groupBy("__p", *keys).agg(*ends).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where("__n > 1")
@@ -62,3 +62,8 @@ def running(
     out += [F.greatest(f"__l_{n}", f"__c_{n}").alias(n) for n in tops] + [F.coalesce(f"__l_{n}", f"__c_{n}").alias(n) for n in lasts]
     out += [F.when(F.col("__rn") > 1, F.col(f"__l_{n}")).otherwise(F.col(f"__c_{n}")["x"]).alias(n) for n in before]
     return j.select(*given, *out)
+
+
+def places(df: DataFrame, order: list[str | Column], name: str = "place", scratch: Scratch | None = None) -> DataFrame:
+    """``df`` with the place of each row in a total order, from 1; counted in all partitions at once."""
+    return running(df, [], order, {name: F.lit(1).cast("long")}, scratch=scratch)

@@ -110,22 +110,24 @@ def join_metadata(videos: DataFrame, metadata: DataFrame) -> DataFrame:
     return videos.withColumn("__p", T.normalize_path("path")).join(m, "__p", "left").drop("__p")
 
 
-def sort_scan(videos: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
-    """By name, size, modified, duration, fps or resolution, then name and path.
+def scan_order(by: str = "name", descending: bool = False) -> list[Column]:
+    """The order by name, size, modified, duration, fps or resolution, then name and path.
 
     Files without readable metadata come last in either direction when sorted by metadata.
     """
     turn = (lambda c: c.desc()) if descending else (lambda c: c.asc())
-    keys = {"name": [T.natural_key("name")], "size": [F.col("size_bytes")], "modified": [F.col("modified_at_ms")], "duration": [F.col("duration")], "fps": [F.col("fps")]}
-    if by == "resolution":
-        chosen = [F.col("width") * F.col("height"), F.col("width"), F.col("height")]
-    else:
-        chosen = keys[by]
+    keys = {"name": [T.natural_key("name")], "size": ["size_bytes"], "modified": ["modified_at_ms"], "duration": ["duration"], "fps": ["fps"]}
+    chosen = [F.col("width") * F.col("height"), F.col("width"), F.col("height")] if by == "resolution" else [F.col(c) if isinstance(c, str) else c for c in keys[by]]
     first = []
     if by in ("duration", "fps", "resolution"):
         first = [F.coalesce("readable", F.lit(False)).desc()]
         chosen = [F.when(F.col("readable"), c) for c in chosen]
-    return videos.orderBy(*first, *[turn(c) for c in chosen], T.natural_key("name"), T.natural_key("path"))
+    return [*first, *[turn(c) for c in chosen], T.natural_key("name").asc(), T.natural_key("path").asc()]
+
+
+def sort_scan(videos: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
+    """Sorted as ``scan_order`` says."""
+    return videos.orderBy(*scan_order(by, descending))
 
 
 def explicit_list(paths: DataFrame, files: DataFrame, quarantine: str = "") -> DataFrame:

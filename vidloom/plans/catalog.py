@@ -16,8 +16,7 @@ from ..functions import relation as R
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.identity import video_identity
-from ..operators import candidates, duplicates, logs, offsets, periods, report, sampling, scan, similarity, tasks, timeline
-from ..operators.running import running
+from ..operators import candidates, duplicates, logs, offsets, periods, report, running, sampling, scan, similarity, tasks, timeline
 from ..session import Scratch
 from ..sources import files, reports, subtitles
 from . import analyze, oracle, presets
@@ -201,7 +200,7 @@ def phash_steps(spark: SparkSession, d: str) -> DataFrame:
     """Hash similarity of every frame to the frame before it."""
     f = read(spark, d, "frames").select("frame_id", video_identity("video_path").alias("v"), "frame_index", V.hash_long("phash").alias("h"))
     f = f.groupBy("frame_id").agg(F.max("v").alias("v"), F.max("frame_index").alias("frame_index"), F.max("h").alias("h")).where("v is not null and h is not null")
-    f = running(f, ["v"], ["frame_index", "frame_id"], before={"before": F.col("h")})
+    f = running.running(f, ["v"], ["frame_index", "frame_id"], before={"before": F.col("h")})
     return f.where("before is not null").select("frame_id", V.hash_similarity("h", "before").alias("similarity"))
 
 
@@ -339,9 +338,42 @@ def metadata_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def scan_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Files by size with their place."""
-    v = scan.sort_scan(_videos(spark, d).where("size_bytes is not null"), "size", descending=True)
-    return v.select("scan_id", "size_bytes")
+    """Files by size with their place; scans of one file that tie are told apart by their id."""
+    v = _videos(spark, d).where("size_bytes is not null")
+    return running.places(v, [*scan.scan_order("size", descending=True), F.col("scan_id").asc()]).select("scan_id", "size_bytes", "place")
+
+
+@query
+def scan_sort_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Files by duration with their place, those without one last."""
+    v = scan.join_metadata(_videos(spark, d), _durations(spark, d))
+    return running.places(v, [*scan.scan_order("duration"), F.col("scan_id").asc()]).select("scan_id", "place")
+
+
+@query
+def explicit_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned files that reports name as their A side, but for one folder."""
+    found = scan.explicit_list(read(spark, d, "report_pairs").select(F.col("video_a_path").alias("path")), _videos(spark, d), "/srv/video/archive")
+    return found.select(T.normalize_path("path").alias("path"))
+
+
+@query
+def inputs_changed(spark: SparkSession, d: str) -> DataFrame:
+    """What the last scan of every file says against the first one."""
+    v = _videos(spark, d).where("path is not null")
+    fact = F.struct("path", F.col("size_bytes").alias("size"), F.col("modified_at_ms").alias("mtime_ms"))
+    ends = v.groupBy(T.normalize_path("path").alias("p")).agg(F.min_by(fact, "scan_id").alias("old"), F.max_by(fact, "scan_id").alias("new"))
+    return tasks.inputs_changed(ends.select("old.*"), ends.select("new.*"))
+
+
+@query
+def fresh_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose first scan still says what the last one does."""
+    v = _videos(spark, d).where("path is not null")
+    fact = F.struct("size_mb", "extension", "modified_at_ms")
+    ends = v.groupBy(T.normalize_path("path").alias("path")).agg(F.min_by(fact, "scan_id").alias("old"), F.max_by(fact, "scan_id").alias("new"))
+    names = ("size_mb", "extension", "modified_at_ms")
+    return ends.select("path", tasks.is_fresh({n: F.col(f"old.{n}") for n in names}, {n: F.col(f"new.{n}") for n in names}).alias("fresh"))
 
 
 @query
@@ -374,9 +406,11 @@ def _log_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Events as the error lines of each user's stream."""
-    v = logs.validate_streams(_event_lines(spark, d), "lenient", severe_limit=20, missing_limit=12, video="stream")
-    return v.select("video", "severe", "missing", F.col("verdict").isNotNull().alias("rejected"))
+    """Events as the error lines of each user's stream; large purchases as fatal ones."""
+    fatal = (F.col("event_type") == "purchase") & (F.col("value") > 150)
+    lines = _event_lines(spark, d).withColumn("line", F.when(fatal, "moov atom not found").otherwise(F.col("line")))
+    v = logs.validate_streams(lines, "lenient", severe_limit=20, missing_limit=12, video="stream")
+    return v.select("video", "severe", "missing", "verdict")
 
 
 @query
@@ -390,7 +424,7 @@ def _event_lines(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     line = F.when(F.col("event_type") == "error", "[h264 @ 1] Invalid NAL unit size (10 > 2).").when(F.col("event_type") == "view", "missing picture in access unit with size 5").otherwise("[h264 @ 1] other")
     marker = F.when((F.col("event_type") == "signup") & (F.col("value") < 1), F.col("event_id").cast("string"))
-    return e.select(F.col("user_id").alias("stream"), F.struct("ts", "event_id").alias("line_no"), "event_id", marker.alias("marker"), line.alias("line"), "ts", "value")
+    return e.select(F.col("user_id").alias("stream"), F.struct("ts", "event_id").alias("line_no"), "event_id", "event_type", marker.alias("marker"), line.alias("line"), "ts", "value")
 
 
 @query
@@ -420,6 +454,38 @@ def line_router(spark: SparkSession, d: str) -> DataFrame:
 # Tasks -----------------------------------------------------------------------------------------
 
 
+@query
+def task_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's task: its progress, the next stage, and what must be completed before pairs are compared."""
+    e = read(spark, d, "events")
+    names = F.array(*[F.lit(s) for s in ("scan", "cache", "features", "candidate")])
+    status = F.when(F.col("event_type").isin("purchase", "click"), "completed").when(F.col("event_type") == "view", "running").otherwise("failed")
+    at = F.struct("ts", "event_id")
+    s = e.groupBy(F.col("user_id").alias("task"), F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("id"))
+    s = s.agg(F.max_by(status, at).alias("status"), F.max_by("value", at).alias("progress")).withColumn("weight", F.lit(None).cast("double"))
+    m = tasks.merge_stages(s)
+    out = tasks.weighted_progress(m, ["task"]).join(tasks.next_stage(m), "task").join(tasks.blocking_stages(m, "compare"), "task")
+    return out.select("task", "progress", "next_stage", F.array_join("blocking", ",").alias("blocking"))
+
+
+@query
+def elapsed_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as stages of each customer's task: open ones run since their date."""
+    o = read(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "running").otherwise("completed")
+    s = o.select("o_custkey", status.alias("status"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("started_ms"), F.floor("o_totalprice").alias("elapsed_ms"), F.lit(893_000_000_000).alias("now_ms"))
+    return tasks.elapsed(s, ["o_custkey"])
+
+
+@query
+def merged_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as reports: the latest one of each customer."""
+    o = read(spark, d, "orders")
+    path = lambda ext, *status: F.when(F.col("o_orderstatus").isin(*status), F.concat(F.lit("/r/"), F.col("o_orderkey").cast("string"), F.lit(ext)))
+    r = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("report_key"), path(".json", "F").alias("json_path"), path(".csv", "F", "O").alias("csv_path"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("modified_ms"))
+    return report.merge_reports(r)
+
+
 @query
 def weighted_progress(spark: SparkSession, d: str) -> DataFrame:
     p = F.when(F.col("o_orderstatus") == "F", 100.0).when(F.col("o_orderstatus") == "O", 0.0).otherwise(55.5)
@@ -494,6 +560,26 @@ def report_filter(spark: SparkSession, d: str) -> DataFrame:
     return report.filter_pairs(_report(spark, d), "clip", "TRAM", 0.3).select("pair_id", "relation", r6("symmetric_similarity"))
 
 
+@query
+def report_classes(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs each class of the filter keeps."""
+    n = _report(spark, d)
+    kinds = ("all", "near", "partial", "clip", "unknown", "different")
+    counts = n.agg(*[F.count_if(R.relation_matches("relation", k)).alias(k) for k in kinds])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("pairs")) for k in kinds])).alias("x")).select("x.*")
+
+
+@query
+def report_sorts(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every pair under every sort key, best first."""
+    n = Scratch(spark, "sorts").table(_report(spark, d), "pairs")
+    parts = [running.places(n, report.sort_order(k)).select(F.lit(k).alias("sort_key"), "pair_id", "place") for k in report.SORT_KEYS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query
 def report_page(spark: SparkSession, d: str) -> DataFrame:
     """The third page of 25 pairs by similarity."""
@@ -552,6 +638,11 @@ def timeline_intervals(spark: SparkSession, d: str) -> DataFrame:
     return t.select("composition", "start", "end", F.array_join(F.transform("active", lambda x: x.cast("string")), ",").alias("active"))
 
 
+@query
+def total_duration(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.total_duration(_clips(spark, d))
+
+
 @query
 def active_at(spark: SparkSession, d: str) -> DataFrame:
     return timeline.active_at(_clips(spark, d), 2500.5).select("track", "clip", "start")
@@ -598,6 +689,18 @@ def path_normalise(spark: SparkSession, d: str) -> DataFrame:
     return v.select("scan_id", T.normalize_path("video_path").alias("path"), T.basename(T.normalize_path("video_path")).alias("base"))
 
 
+@query
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Names and paths of scans in the forms that caches, reports and filter graphs need."""
+    v = read(spark, d, "videos").where("video_name is not null and video_path is not null").select("scan_id", "video_name", "video_path", "modified_at_ms").distinct()
+    n = F.col("video_name")
+    return v.select(
+        "scan_id", T.safe_name(n).alias("safe"), T.is_safe_id(T.stem(n)).alias("safe_id"), T.extension("video_path").alias("ext"), T.stem("video_path").alias("stem"), T.sibling(n, "srt").alias("sibling"), T.csv_cell(F.concat(n, F.lit(',"x"'))).alias("csv"),
+        T.html_escape(F.concat(n, F.lit("<&'\">"))).alias("html"), T.drawtext_escape(F.concat(n, F.lit("a:b,'5%'"))).alias("drawtext"), T.compact_error(F.concat_ws("  ", n, n, n, n, n, n, n, n)).alias("error"), T.progress_text(F.concat(n, F.lit("|x"))).alias("progress"),
+        T.short_hash(n).alias("hash"), T.natural_key(n).alias("natural"), T.time_value(F.col("modified_at_ms").cast("string")).alias("at"), R.relation_tone(F.concat(n, F.lit(" clip"))).alias("tone"), R.first_text(F.lit(" "), n).alias("said"),
+    )
+
+
 @query
 def timecode_format(spark: SparkSession, d: str) -> DataFrame:
     f = read(spark, d, "frames").groupBy("frame_id").agg(F.max("ts").alias("ts"))

@@ -156,6 +156,28 @@ HASHED = f"hashed as (select distinct {identity('video_path')} video, frame_inde
 
 SQL: dict[str, str] = {}
 
+
+def natural(c: str) -> str:
+    return f"regexp_replace(regexp_replace(lower(coalesce({c}, '')), '([0-9]+)', '0000000000000000000\\1', 'g'), '[0-9]*([0-9]{{20}})', '\\1', 'g')"
+
+
+def escaped(c: str) -> str:
+    out = f"coalesce({c}, '')"
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+LABEL = """case relation when 'near_duplicate_or_same_content' then 'Near duplicate' when 'B_is_likely_clip_of_A' then 'B is a clip of A' when 'A_is_likely_clip_of_B' then 'A is a clip of B' when 'partial_overlap' then 'Partial overlap' when 'similar' then 'Similar'
+  when 'different' then 'Different' when 'identical' then 'Identical' when 'identical_file' then 'Identical file' when 'a_contains_b' then 'A contains B' when 'b_contains_a' then 'B contains A' else relation end"""
+RANK = """case when regexp_matches(lower(relation), 'identical') then 5 when regexp_matches(lower(relation), 'clip|contains') then 4 when contains(lower(relation), 'near') then 3 when contains(lower(relation), 'partial') then 2
+  when contains(lower(relation), 'similar') then 1 when contains(lower(relation), 'different') then 0 else -1 end"""
+
+
+def percent(c: str) -> str:
+    return f"case when {c} is not null and not isnan({c}) then printf('%.1f', case when {c} <= 1 then {c} * 100 else {c} end) || '%' else '-' end"
+
+
 SQL["p4_found"] = """with i as (select pair_id, 'segment' track, a_start s, a_end e from report_segments
   union all select pair_id, direction, source_start, source_end from report_windows),
 m as (select distinct pair_id, track, round(s * 1000)::bigint s, round(e * 1000)::bigint e from i where s is not null and e is not null and not isnan(s) and not isnan(e)),
@@ -250,7 +272,15 @@ SQL["scan_filter"] = f"""with {VIDEOS} select scan_id, name, size_bytes from v w
   and (contains(lower(name), 'bridge') or contains(lower(name), 'tram') or contains(lower(name), 'lantern')) and lower(regexp_replace(extension, '^\\.', '')) in ('mp4', 'mkv', 'mov')"""
 SQL["metadata_filter"] = f"with {VIDEOS}, {DURATIONS} select scan_id from v where {norm_path('path')} in (select path from lens where duration between 120 and 240)"
 SQL["metadata_join"] = f"with {VIDEOS}, {DURATIONS} select scan_id, round(duration, 3) duration, duration is not null readable from v left join lens on lens.path = {norm_path('v.path')}"
-SQL["scan_sort"] = f"with {VIDEOS} select scan_id, size_bytes from v where size_bytes is not null"
+SQL["scan_sort"] = f"with {VIDEOS} select scan_id, size_bytes, row_number() over (order by size_bytes desc, {natural('name')}, {natural('path')}, scan_id) place from v where size_bytes is not null"
+SQL["scan_sort_metadata"] = f"""with {VIDEOS}, {DURATIONS} select scan_id, row_number() over (order by duration is not null desc, duration nulls first, {natural('name')}, {natural('v.path')}, scan_id) place from v left join lens on lens.path = {norm_path('v.path')}"""
+SQL["explicit_scan"] = f"""with {VIDEOS}, w as (select {norm_path('video_a_path')} p from report_pairs where trim(video_a_path) <> '') select distinct {norm_path('path')} path from v where {norm_path('path')} in (select p from w)
+  and not ({norm_path('path')} = '/srv/video/archive' or starts_with({norm_path('path')}, '/srv/video/archive/'))"""
+ENDS = f"""ends as (select {norm_path('path')} path, {{0}} from v where path is not null group by 1)"""
+SQL["inputs_changed"] = f"""with {VIDEOS}, k as (select {norm_path('path')} p, * from v where path is not null), o as (select distinct p, arg_min({{'s': size_bytes, 'm': modified_at_ms}}, scan_id) x from k group by p), n as (select distinct p, arg_max({{'s': size_bytes, 'm': modified_at_ms}}, scan_id) x from k group by p),
+j as (select o.p op, n.p np from o full join n on o.p = n.p and o.x.s = n.x.s and o.x.m = n.x.m) select count(*) filter (where op is null) added, count(*) filter (where np is null) removed, count(*) filter (where op is null or np is null) > 0 and count(op) > 0 changed from j"""
+SQL["fresh_scans"] = f"""with {VIDEOS}, e as (select {norm_path('path')} path, arg_min({{'s': size_mb, 'x': extension, 'm': modified_at_ms}}, scan_id) o, arg_max({{'s': size_mb, 'x': extension, 'm': modified_at_ms}}, scan_id) n from v where path is not null group by 1)
+select path, (o.s is not distinct from n.s or coalesce(abs(o.s - n.s) <= 1e-6, false)) and o.x is not distinct from n.x and o.m is not distinct from n.m fresh from e"""
 SQL["scan_summary"] = f"with {VIDEOS} select count(*) videos, round(sum(size_mb), 2) total_mb from v where not isnan(size_mb)"
 SQL["cache_inventory"] = f"""with {VIDEOS}, x as (select lower(extension) category, string_split({norm_path("path")}, '/')[1] || coalesce('/' || string_split({norm_path("path")}, '/')[2], '') as name, size_bytes from v),
 y as (select category, case when name is null then null else name end as name, size_bytes from x)
@@ -259,16 +289,28 @@ SQL["report_catalogue"] = """with f as (select 'r' || o_custkey report_key, case
 select report_key, sum(s)::bigint size_bytes, max(t) modified_ms, string_agg(distinct ext, '+' order by ext) formats,
   '/reports/' || report_key || '.' || (case when bool_or(ext = 'json') then 'json' when bool_or(ext = 'csv') then 'csv' else 'html' end) path from f group by report_key"""
 
-SQL["stream_validation"] = """with k as (select user_id video, row_number() over (partition by user_id order by ts, event_id) n, event_type from events),
-r as (select *, sum((event_type = 'error')::int) over w s, sum((event_type = 'view')::int) over w m from k window w as (partition by video order by n rows between unbounded preceding and current row)),
-e as (select video, min(n) filter (where s >= 20 or m >= 12) stop from r group by video)
-select r.video, max(s)::bigint severe, max(m)::bigint missing, any_value(stop) is not null rejected from r join e using (video) where stop is null or n <= stop group by r.video"""
+SQL["stream_validation"] = """with k as (select user_id video, row_number() over (partition by user_id order by ts, event_id) n, case when event_type = 'purchase' and value > 150 then 'f' when event_type = 'error' then 's' when event_type = 'view' then 'm' end kind from events),
+r as (select *, sum((kind = 's')::int) over w s, sum((kind = 'm')::int) over w m from k window w as (partition by video order by n rows between unbounded preceding and current row)),
+e as (select video, min(n) filter (where kind = 'f' or s >= 20 or m >= 12) stop from r group by video),
+x as (select r.video, coalesce(max(s), 0)::bigint severe, coalesce(max(m), 0)::bigint missing, coalesce(max((n = stop and kind = 'f')::int), 0) fatal from r join e using (video) where stop is null or n <= stop group by r.video)
+select video, severe, missing, case when fatal = 1 then 'moov atom not found' when severe >= 20 then '[h264 @ 1] Invalid NAL unit size (10 > 2).; ' || severe || ' severe stream errors' when missing >= 12 then missing || ' missing pictures' end verdict from x"""
+SQL["line_router"] = f"""with {LINES}, p as (select *, string_split(line, '|') f from lines), r as (select case when starts_with(line, 'ANALYSIS_VIDEO_CONTEXT|') then 'context' when contains(line, '[h264 @') then 'warning' when starts_with(line, 'ANALYSIS_VIDEO_QUARANTINED|') then 'quarantine'
+  when starts_with(line, 'PROGRESS|') and trim(f[2]) in ('scan', 'model', 'index', 'candidate', 'compare', 'report', 'done') and try_cast(trim(f[3]) as double) is not null and try_cast(trim(f[4]) as double) is not null then 'progress' when {HIDDEN} then 'hidden' else 'log' end route from p)
+select route, count(*) lines from r group by 1"""
 SQL["log_filter"] = f"with {LINES} select video, count(*) filter (where {HIDDEN}) hidden, count(*) filter (where {IMPORTANT}) important, count(*) filter (where {has('lower(line)', ('cannot open video', 'decoded no usable frames', 'no frames retained', 'error splitting the input', 'invalid nal unit', 'failed to decode', 'unable to decode', 'decord'))}) decode_failures from lines group by video"
 SQL["log_warning_summaries"] = f"""with {WARNINGS} select stream, episode, context, 'running' kind, invalid_nal, missing_picture, other, total from run where total = 100 or total % 1000 = 0
 union all select stream, episode, context, 'final', invalid_nal, missing_picture, other, total from run where nxt is null and not (total = 100 or total % 1000 = 0) and (total >= 100 or invalid_nal + other >= 20)"""
 SQL["monotone_progress"] = "with m as (select event_id, max(least(greatest(value, 0.0), 100.0)) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) t from events) select event_id, case when t < 100 then least(t, 99.99) else t end shown from m"
 SQL["log_tail"] = "select event_id from (select event_id, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn <= 20"
 
+SQL["task_stages"] = """with g as (select user_id task, ['scan', 'cache', 'features', 'candidate'][(event_id % 4 + 1)::int] id, case when event_type in ('purchase', 'click') then 'completed' when event_type = 'view' then 'running' else 'failed' end status, value, ts, event_id from events),
+s as (select task, id, arg_max(status, (ts, event_id)) status, arg_max(value, (ts, event_id)) progress from g group by 1, 2),
+b as (select * from (values (0, 'scan', 12.0), (1, 'cache', 8.0), (2, 'features', 35.0), (3, 'candidate', 8.0), (4, 'compare', 30.0), (5, 'report', 7.0)) t(idx, id, w)),
+m as (select t.task, b.idx, b.id, b.w::double w, coalesce(s.status, 'pending') status, least(100.0, greatest(0.0, coalesce(s.progress, 0.0))) progress from (select distinct task from s) t cross join b left join s on s.task = t.task and s.id = b.id)
+select task, round(sum(w * progress) / sum(w), 2) progress, arg_min(id, idx) filter (where status <> 'completed') next_stage, coalesce(string_agg(id, ',' order by idx) filter (where status <> 'completed' and idx < 4), '') blocking from m group by task"""
+SQL["elapsed_stages"] = "select o_custkey, sum(floor(o_totalprice)::bigint + case when o_orderstatus = 'O' then greatest(0, 893000000000 - epoch_ms(o_orderdate)) else 0 end)::bigint elapsed_ms from orders group by 1"
+SQL["merged_reports"] = """with r as (select 'c' || o_custkey report_key, case when o_orderstatus = 'F' then '/r/' || o_orderkey || '.json' end json_path, case when o_orderstatus in ('F', 'O') then '/r/' || o_orderkey || '.csv' end csv_path, epoch_ms(o_orderdate) modified_ms from orders)
+select report_key, json_path, csv_path, modified_ms from (select *, row_number() over (partition by report_key order by modified_ms desc, json_path desc nulls last, csv_path desc nulls last) rn from r where coalesce(json_path, csv_path) is not null) where rn = 1"""
 SQL["weighted_progress"] = "with s as (select o_custkey, o_totalprice w, case o_orderstatus when 'F' then 100.0 when 'O' then 0.0 else 55.5 end p from orders) select o_custkey, round(sum(w::double * p::double) / sum(w), 2) progress from s group by 1"
 SQL["stage_replay"] = """with e as (select user_id task, ts, event_id, epoch_us(ts) // 1000 at_ms, case event_type when 'view' then 'running' when 'click' then 'paused' when 'purchase' then 'completed' when 'error' then 'failed' else 'pending' end status, value from events),
 b as (select *, coalesce(lag(status) over w, 'pending') before from e window w as (partition by task order by ts, event_id)),
@@ -289,6 +331,11 @@ select count(*) pairs, count(*) filter (where coalesce(symmetric_similarity, gre
 SQL["relation_histogram"] = f"with {NORMAL} select relation, count(*) pairs from normal group by 1"
 SQL["relation_counters"] = f"with {NORMAL}, l as (select lower(relation) r from normal) select count(*) filter (where contains(r, 'near')) near, count(*) filter (where contains(r, 'clip')) clip, count(*) filter (where contains(r, 'partial')) as \"partial\", count(*) filter (where r = 'different') different from l"
 SQL["report_filter"] = f"with {NORMAL} select pair_id, relation, round(symmetric_similarity, 6) symmetric_similarity from normal where regexp_matches(lower(relation), 'clip|片段') and symmetric_similarity >= 0.3 and contains(lower(concat_ws(' ', video_a, video_b, regexp_extract(replace(x, '\\', '/'), '[^/]*$'), regexp_extract(replace(y, '\\', '/'), '[^/]*$'))), 'tram')"
+SQL["report_classes"] = f"""with {NORMAL}, k as (select * from (values ('all', '.*'), ('near', '(?i)near|identical|重复'), ('partial', '(?i)partial|contains|重叠|包含'), ('clip', '(?i)clip|片段'), ('unknown', '(?i)^unknown$|未知'), ('different', '(?i)different|差异')) t(kind, rule))
+select kind, count(*) filter (where regexp_matches(relation, rule)) pairs from normal cross join k group by kind"""
+SORTS = {"completed_at": "completed_at", "video_a": natural("video_a"), "video_b": natural("video_b"), "a_in_b": "a_in_b", "b_in_a": "b_in_a", "symmetric_similarity": "symmetric_similarity", "matched_segment_count": "segs", "frame_matches": "ma + mb", "relation": f"{RANK} desc nulls last, {natural(LABEL)}"}
+SQL["report_sorts"] = f"with {NORMAL} " + " union all ".join(f"select '{k}' sort_key, pair_id, row_number() over (order by {e} desc nulls last, pair_id) place from normal" for k, e in SORTS.items())
+SQL["html_rows"] = f"with {NORMAL} select '<tr><td>' || {escaped('video_a')} || '</td><td>' || {escaped('video_b')} || '</td><td>' || {percent('a_in_b')} || '</td><td>' || {percent('b_in_a')} || '</td><td>' || {percent('symmetric_similarity')} || '</td><td>' || {escaped(LABEL)} || '</td></tr>' html from normal"
 SQL["report_page"] = f"with {NORMAL} select pair_id, round(symmetric_similarity, 6) symmetric_similarity from normal order by symmetric_similarity desc nulls last, pair_id limit 25 offset 50"
 SQL["video_entries"] = f"with {NORMAL} select pair_key, 'A' side, video_a video, x path from normal union all select pair_key, 'B', video_b, y from normal"
 SQL["delete_pairs"] = f"with {NORMAL}, {KEYED} select pair_id from normal where pair_key not in (select pair_key from p where config_id = 8 and video_a_path is not null and video_b_path is not null)"
@@ -300,6 +347,7 @@ SQL["dedupe_windows"] = "select direction, count(*) windows from (select distinc
 
 SQL["timeline_intervals"] = f"""with {EVENT_CLIPS}, pts as (select composition, s pt from clips union select composition, e from clips), sp as (select *, lead(pt) over (partition by composition order by pt) nxt from pts)
 select sp.composition, pt as start, nxt as "end", string_agg(clip::varchar, ',' order by track, clip) active from sp join clips c on c.composition = sp.composition and s <= (pt + nxt) / 2 and (pt + nxt) / 2 < e where nxt - pt > 0.000001 group by 1, 2, 3"""
+SQL["total_duration"] = f"with {EVENT_CLIPS} select max(e)::double duration from clips"
 SQL["active_at"] = f"with {EVENT_CLIPS} select track, clip, s as start from clips where s <= 2500.5 and 2500.5 < e"
 SQL["points_in_clips"] = f"with {EVENT_CLIPS} select p.clip point, c.clip from clips p join clips c on c.composition = p.composition and c.track = p.track and c.s <= p.s + 0.5 and p.s + 0.5 < c.e"
 SQL["sequential_track_cursor"] = f"""with recursive {EVENT_CLIPS}, n as materialized (select *, row_number() over (partition by composition order by clip) rn, e - s d, case when o_orderpriority = '1-URGENT' then s end want from clips),
@@ -316,6 +364,12 @@ ONE_PAIR = "one as (select pair_id, any_value(a_in_b) a, any_value(b_in_a) b, an
 SQL["ratio_normalise"] = f"""with {ONE_PAIR} select pair_id, {ratio("a")} a_in_b, case when b is not null and not isnan(b) then printf('%.1f', case when b <= 1 then b * 100 else b end) || '%' else '-' end b_in_a,
   case when s is not null and not isnan(s) then printf('%.2f', case when s > 1 then s / 100 else s end) else '-' end score from one"""
 SQL["path_normalise"] = f"select distinct scan_id, {norm_path('video_path')} path, regexp_extract({norm_path('video_path')}, '[^/]*$') base from videos where video_path is not null"
+BASE = "regexp_extract(replace({0}, '\\', '/'), '[^/]*$')"
+SQL["text_functions"] = f"""with v as (select distinct scan_id, video_name n, video_path p, modified_at_ms m from videos where video_name is not null and video_path is not null)
+select scan_id, coalesce(nullif(regexp_replace(regexp_replace(n, '[^\\p{{L}}\\p{{N}}._-]', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'video') safe, regexp_matches(regexp_replace({BASE.format('n')}, '(.)\\.[^.]*$', '\\1'), '^[A-Za-z0-9_-]+$') safe_id, lower(regexp_extract({BASE.format('p')}, '.\\.([^.]+)$', 1)) ext,
+  regexp_replace({BASE.format('p')}, '(.)\\.[^.]*$', '\\1') stem, regexp_replace(n, '\\.[^./\\\\]*$', '') || '.srt' sibling, '"' || replace(n || ',"x"', '"', '""') || '"' csv, {escaped("n || '<&''" + '">' + "'")} html, regexp_replace(n || 'a:b,' || chr(39) || '5%' || chr(39), '([\\\\:'',%])', '\\\\\\1', 'g') drawtext,
+  substr(trim(regexp_replace(concat_ws('  ', n, n, n, n, n, n, n, n), '\\s+', ' ', 'g')), 1, 160) error, regexp_replace(replace(n || '|x', '|', '｜'), '[\\r\\n]+', ' ', 'g') progress, substr(sha256(n), 1, 20) hash, {natural('n')} "natural", (case when m > 10000000000 then m else m * 1000 end)::bigint "at",
+  case when regexp_matches(lower(n), 'identical') then 'strong' else 'clip' end tone, coalesce(nullif(trim(n), ''), '') said from v"""
 SQL["timecode_format"] = """with f as (select frame_id, max(ts) ts from frames group by 1), n as (select *, greatest(0, floor(ts))::bigint n from f)
 select frame_id, case when ts is null or isnan(ts) then '-' else lpad((n // 3600)::varchar, greatest(2, length((n // 3600)::varchar))::int, '0') || ':' || lpad((n % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n % 60)::varchar, 2, '0') end hhmmss,
   case when ts is null then null when n >= 3600 then lpad((n // 3600)::varchar, greatest(2, length((n // 3600)::varchar))::int, '0') || ':' || lpad((n % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n % 60)::varchar, 2, '0') else lpad((n // 60)::varchar, 2, '0') || ':' || lpad((n % 60)::varchar, 2, '0') end clock from n"""
