@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import Scratch
+from ..session import Scratch, rows_of
 from . import sorted_arrays as A
 from .similarity import all_pairs, mean_vector, top_of_rows
 
@@ -112,7 +112,7 @@ def nearest(asks: DataFrame, index: DataFrame, k: int, digits: int = 6, block: i
     that holds the queries only: the index passes in tiles. Vectors of another length than a query aren't compared with it.
     """
     parallel = 2 * asks.sparkSession.sparkContext.defaultParallelism
-    n_asks, n_index = asks.count(), index.count()
+    n_asks, n_index = rows_of(asks), rows_of(index)
     # Every query block takes the whole index, every index part gives k rows a query: as many of each as move least.
     wide = 8 * (asks.select(F.size("vector")).first() or [1])[0]
     balanced = round((n_asks * k * 64 * parallel / max(1, n_index * wide)) ** 0.5)
@@ -179,7 +179,7 @@ def nearest_by_forest(asks: DataFrame, index: DataFrame, k: int, trees: int = 8,
     both = asks.withColumn("asks", F.lit(True)).withColumn("held", F.lit(False)).unionByName(index.withColumn("asks", F.lit(False)).withColumn("held", F.lit(True)))
     both = both.groupBy("id", "owner").agg(F.first("vector").alias("vector"), F.max("asks").alias("asks"), F.max("held").alias("held"))
     both = both.withColumn("uid", F.xxhash64("id", "owner"))
-    rows = index.count()
+    rows = rows_of(index)
     every = max(1, rows // A.SAMPLE_ROWS)
     sample = index.where(F.pmod(F.xxhash64("id", "owner"), F.lit(every)) == 0).select("vector").limit(4 * A.SAMPLE_ROWS).toPandas()["vector"]
     first = np.stack([np.asarray(v, dtype=np.float32) for v in sample]) if len(sample) else np.zeros((0, 1), np.float32)

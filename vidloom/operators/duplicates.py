@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, rows_of
 from .skew import lookup
 
 
@@ -24,7 +24,7 @@ def duplicate_members(files: DataFrame, key: str, size: str, content: str) -> Da
     marked = scratch.table(marked.groupBy("g", "k").agg(F.lit(1).alias("one")).drop("one"), "marked")  # keys and fingerprints
     groups = marked.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("k").alias("first")).where("members > 1")
     groups = scratch.table(groups.select("g", "members", F.struct("members", "first").alias("facts")), "groups")
-    rows = lookup(marked.withColumn("key", F.col("g")), "key", groups, "g", "facts", "members", marked.count(), "facts")
+    rows = lookup(marked.withColumn("key", F.col("g")), "key", groups, "g", "facts", "members", rows_of(marked), "facts")
     return rows.select(F.col("g").alias("group"), F.col("k").alias(key), "facts.members", "facts.first")
 
 

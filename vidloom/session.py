@@ -15,7 +15,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -80,15 +81,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/vidloom-{label}-{uuid.uuid4().hex[:12]}"
-        self._paths: dict[int, str] = {}
         _written.append((spark, self.root))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        path, seen = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
         back._vidloom_path = path
+        back._vidloom_rows = seen.get["rows"]
         return back
 
     def drop(self, *tables: DataFrame) -> None:
@@ -98,6 +98,12 @@ class Scratch:
                 _remove(self.spark, path)
 
 
+def rows_of(table: DataFrame) -> int:
+    """Number of rows; a scratch table knows it from its writing."""
+    known = getattr(table, "_vidloom_rows", None)
+    return table.count() if known is None else known
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
