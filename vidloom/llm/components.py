@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup
-from ..session import Scratch
+from ..session import Scratch, rows_of
 
 
 def contract(edges: DataFrame, scratch: Scratch, seed: int = 20240) -> DataFrame:
@@ -30,7 +30,7 @@ def contract(edges: DataFrame, scratch: Scratch, seed: int = 20240) -> DataFrame
     e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(seed).cast("long").alias("salt")).distinct()
     e = scratch.table(e, "edges")
     steps: list[DataFrame] = []
-    n = e.count()
+    n = rows_of(e)
     while n:
         both = e.select("a", "b", "salt").unionAll(e.select(F.col("b"), F.col("a"), F.col("salt")))
         near = both.groupBy(F.col("a").alias("v")).agg(F.min_by("b", F.xxhash64("b", "salt")).alias("w"), F.count(F.lit(1)).alias("degree"), F.max("salt").alias("salt"))
@@ -42,7 +42,7 @@ def contract(edges: DataFrame, scratch: Scratch, seed: int = 20240) -> DataFrame
         nxt = moved.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("salt") + 7919).alias("salt")).distinct()
         nxt = scratch.table(nxt, "edges")
         scratch.drop(e)
-        e, n = nxt, nxt.count()
+        e, n = nxt, rows_of(nxt)
     scratch.drop(e)
     if not steps:
         return edges.sparkSession.createDataFrame([], "v bigint, root bigint")
@@ -68,7 +68,7 @@ def linked_groups(pairs: DataFrame, left: str, right: str, member: str = "member
     p = pairs.select(F.col(left).alias("l"), F.col(right).alias("r"))
     p = p.where(F.col("l").isNotNull() & F.col("r").isNotNull() & (F.col("l") != F.col("r")))
     p = scratch.table(p.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct(), "pairs")
-    n = p.count()
+    n = rows_of(p)
     keys = p.select(F.col("l").alias("key")).unionAll(p.select(F.col("r").alias("key")))
     keys = keys.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
     # Ids are made once and written, so that a task that runs again cannot make others.
@@ -78,7 +78,7 @@ def linked_groups(pairs: DataFrame, left: str, right: str, member: str = "member
     labels = contract(edges, scratch)
     named = scratch.table(ids.join(labels, "v").select(F.col("key"), F.col("root")), "named")
     firsts = scratch.table(named.groupBy("root").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("size")), "firsts")
-    out = lookup(named, "root", firsts, "root", "first", "size", named.count(), group)
+    out = lookup(named, "root", firsts, "root", "first", "size", rows_of(named), group)
     return out.select(F.col("key").alias(member), F.col(group))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql.internal import InternalFunction
 
 from ..operators import sorted_arrays as A
 from ..operators.skew import HOT_KEYS
-from ..session import Scratch
+from ..session import Scratch, rows_of
 
 #: The int8 cosine of two vectors is within this of the true one.
 INT8_ERROR = 0.02
@@ -358,7 +358,7 @@ def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, tree
     scratch = scratch or Scratch(spark, "forest")
     vectors = A.valid_vectors(frames)
     members, facts = classes(vectors, k, scratch)
-    rows = facts.count()
+    rows = rows_of(facts)
     parts = max(1, -(-rows // rows_per_part))
     h = A.planes(trees, A.BITS, A.DIMS, seed)
     sample = A.sample_vectors(facts.select(F.col("rep").alias("id"), "v"), rows, A.SAMPLE_ROWS)
@@ -394,7 +394,7 @@ def _expand(pairs: DataFrame, members: DataFrame, facts: DataFrame, scratch: Scr
     lists = others.unionAll(own).groupBy("c").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("o")).alias("o")), k + 1, False).alias("near"))
     lists = facts.select("k1", "k2", "rep", "n").join(lists, F.col("rep") == F.col("c")).select("k1", "k2", "n", "near")
     lists = scratch.table(lists, "lists")
-    total = members.count()
+    total = rows_of(members)
     hot = F.col("n") * HOT_KEYS > total  # at most HOT_KEYS classes
     big = members.join(F.broadcast(lists.where(hot)), ["k1", "k2"])
     rest = members.join(lists.where(~hot), ["k1", "k2"])
@@ -416,7 +416,7 @@ def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 24, s
     wanted = queries.select(F.col("frame_id").cast("long").alias("qid")).where("qid is not null").distinct()
     vectors = scratch.table(A.valid_vectors(frames).dropDuplicates(["id"]), "vectors")
     base = vectors.join(wanted, vectors["id"] == wanted["qid"], "left").select("id", "v", F.col("qid").isNotNull().alias("asks"))
-    rows = vectors.count()
+    rows = rows_of(vectors)
     budget = max(4096.0, share * rows)
     most = int(8 * budget / trees)
     parts = max(1, rows // max(rows_per_part, 2 * most))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import usable, video_identity
 from ..operators.skew import lookup
-from ..session import Scratch
+from ..session import Scratch, rows_of
 
 
 def latest_usable(df: DataFrame, key: Column, at: str, tie: str, fields: dict[str, str]) -> DataFrame:
@@ -200,7 +200,7 @@ def consensus_values(values: DataFrame, group: str, value: str, weight: str, blo
     v = v.where(F.col("g").isNotNull() & F.col("v").isNotNull() & (F.col("w") > 0)).groupBy("g", "v").agg(F.sum("w").alias("w"))
     v = scratch.table(v, "values")
     sizes = scratch.table(v.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    total = v.count()
+    total = rows_of(v)
     spread = lookup(v.withColumn("g2", F.col("g")), "g", sizes, "g", "n", "n", total, "n")
     blocks = F.ceil(F.col("n") / block)
     spread = spread.select(F.col("g2").alias("g"), F.pmod(F.xxhash64("v"), blocks).alias("b"), "n", "v", "w")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
 from ..operators import sorted_arrays as A
-from ..session import Scratch
+from ..session import Scratch, rows_of
 from .components import contract
 
 PROJECTIONS = 256
@@ -300,7 +300,7 @@ def _condense(nuclei: DataFrame, alike: float, scratch: Scratch, group: int = 40
     ones meet, with other hyperplanes each time, until the remaining ones fit one group. If passes stop helping,
     the directions really are that many; they are taken as they are.
     """
-    n, passes, stale = nuclei.count(), 0, 0
+    n, passes, stale = rows_of(nuclei), 0, 0
     while n > group and stale < 3:
         h = A.planes(1, 48, A.DIMS, 900 + passes)[0]
 
@@ -328,7 +328,7 @@ def _condense(nuclei: DataFrame, alike: float, scratch: Scratch, group: int = 40
         cols = "k bigint, degree bigint, " + ", ".join(f"c{i} double" for i in range(A.DIMS))
         sortable = nuclei.select("k", "degree", *[f"c{i}" for i in range(A.DIMS)]).mapInArrow(key, cols + ", h bigint")
         nuclei = scratch.table(sortable.repartitionByRange(max(1, n // group), "h").mapInArrow(join, cols), "merged")
-        n, before = nuclei.count(), n
+        n, before = rows_of(nuclei), n
         stale = stale + 1 if n > 0.98 * before else 0
         passes += 1
     return _vectors_of(nuclei, "degree")
@@ -440,7 +440,7 @@ def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, leas
     spark: SparkSession = frames.sparkSession
     scratch = scratch or Scratch(spark, "scenes")
     base = scratch.table(A.valid_vectors(frames).groupBy("id").agg(F.first("v").alias("v")), "vectors")
-    rows = left = base.count()
+    rows = left = rows_of(base)
     known = np.zeros((0, A.DIMS), np.float32)
     near = (similarity + apart) / 2
     todo, turn, idle = base, 0, 0
@@ -471,7 +471,7 @@ def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, leas
             known = np.concatenate([known, fresh])
             grouped.append((nuclei, members))
             before, todo = todo, scratch.table(_far(todo, fresh, near), "left")
-            left = todo.count()
+            left = rows_of(todo)
             if before is not base:
                 scratch.drop(before)
         else:
