@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,10 +170,12 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("__rn", rank).where(F.col("__rn") <= k).drop("__rn")
 
 
-def nearest_by_forest(asks: DataFrame, index: DataFrame, k: int, trees: int = 8, window: int = 2048, digits: int = 6, rows_per_part: int = 60_000, seed: int = 23) -> DataFrame:
+def nearest_by_forest(asks: DataFrame, index: DataFrame, k: int, trees: int = 12, window: int | None = None, digits: int = 6, rows_per_part: int = 60_000, seed: int = 23) -> DataFrame:
     """As ``nearest``, from the ``window`` neighbours on either side in each of several sorted arrays.
 
-    Range borders come from a sample of at most 4 * ``SAMPLE_ROWS`` vectors; every vector is in every array.
+    By default a window is a hundredth of the index, at least 2,048 rows: the nearest among many that nearly tie are as
+    hard to find in a large index as in a small one (recall in the README). Range borders come from a sample of at most
+    4 * ``SAMPLE_ROWS`` vectors; every vector is in every array.
     """
     both = asks.withColumn("asks", F.lit(True)).withColumn("held", F.lit(False)).unionByName(index.withColumn("asks", F.lit(False)).withColumn("held", F.lit(True)))
     both = both.groupBy("id", "owner").agg(F.first("vector").alias("vector"), F.max("asks").alias("asks"), F.max("held").alias("held"))
@@ -183,39 +184,48 @@ def nearest_by_forest(asks: DataFrame, index: DataFrame, k: int, trees: int = 8,
     every = max(1, rows // A.SAMPLE_ROWS)
     sample = index.where(F.pmod(F.xxhash64("id", "owner"), F.lit(every)) == 0).select("vector").limit(4 * A.SAMPLE_ROWS).toPandas()["vector"]
     first = np.stack([np.asarray(v, dtype=np.float32) for v in sample]) if len(sample) else np.zeros((0, 1), np.float32)
-    h = A.planes(trees, A.BITS, first.shape[1], seed)
-    parts = max(1, -(-rows // rows_per_part))
+    dims = first.shape[1]
+    h = A.planes(trees, A.BITS, dims, seed)
+    window = window or max(2048, rows // 100)
+    parts = max(1, rows // max(rows_per_part, 8 * window))
     edges = [A.borders(A.bit_strings(first, t), parts) for t in h]
     kinds = {c: asks.schema[c].dataType.simpleString() for c in ("id", "owner")}
+    names = ["id", "owner", "asks", "held"]
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            if len(x):
-                u = np.stack([np.asarray(v, dtype=np.float32) for v in x["vector"]])
-                for t in range(trees):
-                    keys = A.bit_strings(u, h[t])
-                    yield x.assign(key=keys, part=A.range_of(keys, edges[t], x["uid"].to_numpy()) + t * parts).drop(columns="uid")
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [x for x in batches if len(x)]
-        if not got:
+            if not x.num_rows:
+                continue
+            sizes, flat = _lists(x.column("vector"))
+            if (sizes != dims).any():
+                raise ValueError("vectors of different lengths can't be compared")
+            e = flat.reshape(-1, dims)
+            u, v, uid = e.astype(np.float32), A.binary(_unit(e)), x.column("uid").to_numpy()
+            for t in range(trees):
+                keys = A.bit_strings(u, h[t])
+                part = (A.range_of(keys, edges[t], uid) + t * parts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), *[x.column(c) for c in names], v], names=["part", "key", *names, "v"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = A.whole(batches)
+        if got is None:
             return
-        x = pd.concat(got).sort_values(["key", "id"], kind="stable", ignore_index=True)
-        e = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in x["vector"]]))
-        held, asking = np.flatnonzero(x["held"].to_numpy(bool)), np.flatnonzero(x["asks"].to_numpy(bool))
-        place = np.searchsorted(held, asking)
-        ids, owners = x["id"].to_numpy(), x["owner"].to_numpy()
-        del x, got
+        ids, owners = (got.column(c).combine_chunks() for c in ("id", "owner"))
+        ids, owners = (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in (ids, owners))
+        e, flags = A.matrix(got.column("v"), "<f8", dims), [got.column(c).to_numpy().astype(bool) for c in ("held", "asks")]
+        order = np.lexsort((np.arange(len(ids)), got.column("key").to_numpy()))
+        held, asking = order[flags[0][order]], order[flags[1][order]]
+        place = np.searchsorted(got.column("key").to_numpy()[held], got.column("key").to_numpy()[asking])
         for a in range(0, len(asking), 128):
             mine, p = asking[a : a + 128], place[a : a + 128]
             near = held[max(0, p[0] - window) : p[-1] + window]
             r, c = top_of_rows(np.round(e[mine] @ e[near].T, digits) + 0.0, k)
             q, t = mine[r], near[c]
-            yield pd.DataFrame({"query": ids[q], "src": owners[q], "tgt": ids[t], "owner": owners[t], "sim": np.round((e[q] * e[t]).sum(axis=1), digits)})
+            sim = np.round((e[q] * e[t]).sum(axis=1), digits)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), owners.take(pa.array(q)), ids.take(pa.array(t)), owners.take(pa.array(t)), pa.array(sim)], names=["query", "src", "tgt", "owner", "sim"])
 
-    fields = f"id {kinds['id']}, owner {kinds['owner']}, vector array<double>, asks boolean, held boolean, key bigint, part bigint"
-    placed = A.by_range(both.mapInPandas(spread, fields).withColumn("part", F.col("part").cast("int")), parts * trees)
-    return placed.mapInPandas(look, f"query {kinds['id']}, src {kinds['owner']}, tgt {kinds['id']}, owner {kinds['owner']}, sim double").dropDuplicates(["query", "src", "tgt", "owner"])
+    placed = A.by_range(both.mapInArrow(spread, f"part int, key bigint, id {kinds['id']}, owner {kinds['owner']}, asks boolean, held boolean, v binary"), parts * trees)
+    return placed.mapInArrow(look, f"query {kinds['id']}, src {kinds['owner']}, tgt {kinds['id']}, owner {kinds['owner']}, sim double").dropDuplicates(["query", "src", "tgt", "owner"])
 
 
 def asking_vectors(frames: DataFrame, representatives: int = 64, index_frames: int = 2048, window_seconds: float = 30.0, max_windows: int = 96) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +242,7 @@ def asking_vectors(frames: DataFrame, representatives: int = 64, index_frames: i
 
 def candidate_pairs(
     frames: DataFrame, limit: int, match_threshold: float, representatives: int = 64, index_frames: int = 2048, window_seconds: float = 30.0, max_windows: int = 96, digits: int = 6,
-    method: str = "exact", trees: int = 8, window: int = 2048, block: int | None = None, scratch: Scratch | None = None,
+    method: str = "exact", trees: int = 12, window: int | None = None, block: int | None = None, scratch: Scratch | None = None,
 ) -> DataFrame:
     """``a``, ``b`` with ``a`` before ``b``: pairs of which one side is among the ``limit`` best targets of the other.
 
