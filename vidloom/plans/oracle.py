@@ -380,3 +380,30 @@ SQL["profile_key"] = f"select config_id, preset_name || '__skip_' || {F4.format(
 SQL["progress_parse"] = """with x as (select event_id, event_type, event_id % 5 k, least(1.0, greatest(0.0, floor(value) / 500)) r from events)
 select event_id, event_type stage, round(case k when 0 then 5 + r * 7 when 1 then 20 + r * 35 when 2 then 63 + r * 27 else 90 + r * 8 end, 2) progress from x where k < 4"""
 SQL["engine_relation"] = f"with {NORMAL} select pair_id, {ENGINE} engine, made report from normal where a_in_b is not null and b_in_a is not null"
+
+SQL["diverse_frames"] = f"""with recursive {LABELS}, n as (select video_id, count(*) n from frames_ group by 1),
+spots as (select distinct video_id, case when c > 1 then floor(i * (n - 1) / (c - 1)) else 0 end pos from (select video_id, n, least(64, n) c, unnest(range(least(64, n))) i from n)),
+pool as materialized (select f.video_id, f.pos, e, row_number() over (partition by f.video_id order by f.pos) i from frames_ f join spots s on s.video_id = f.video_id and s.pos = f.pos),
+near as materialized (select a.video_id, a.i, list(list_cosine_similarity(a.e, b.e) order by b.i) sims from pool a join pool b on a.video_id = b.video_id group by 1, 2),
+w as (select video_id, 1 step, [1::bigint] picked, list_transform(sims, lambda x, j: case when j = 1 then 1e9 else x end) closest from near where i = 1 union all
+  select w.video_id, step + 1, list_append(picked, r.i), list_transform(range(1, len(closest) + 1), lambda j: case when j = r.i then 1e9 else greatest(closest[j], r.sims[j]) end)
+  from w join near r on r.video_id = w.video_id and r.i = list_position(closest, list_min(closest)) where step < least(16, len(closest)))
+select p.video_id, p.pos frame_pos from w join pool p on p.video_id = w.video_id and list_contains(picked, p.i) where step = least(16, len(closest))"""
+
+
+def cue_seconds(c: str) -> str:
+    pattern = r"'^(?:([0-9]+):)?([0-9]{1,2}):([0-9]{1,2})(?:[.,]([0-9]{1,3}))?'"
+    part = lambda k: f"coalesce(nullif(regexp_extract(trim({c}), {pattern}, {k}), ''), '0')"
+    return f"(case when regexp_matches(trim({c}), {pattern}) then {part(1)}::int * 3600 + {part(2)}::int * 60 + {part(3)}::int + rpad({part(4)}, 3, '0')::double / 1000 end)"
+
+
+SPACE = r"[ \t\n\x0B\f\r]"
+TIDY = rf"list_filter(list_transform(string_split({{0}}, chr(10)), lambda x: trim(regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g'))), lambda x: x <> '')"
+ENTITIES = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(said, '<[^>]+>', '', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g')"
+SQL["subtitle_cues"] = rf"""with t as (select doc_id, regexp_replace(regexp_replace(ltrim(text, chr(65279)), '\r\n?', chr(10), 'g'), '(?i)^WEBVTT[^\n]*(\n|$)', '') body from documents where text is not null),
+b as (select doc_id, unnest(range(len(l))) cue, unnest(l) block from (select doc_id, string_split_regex(body, '\n{{2,}}') l from t)),
+c as (select doc_id, cue, {TIDY.format("block")} l from b where contains(block, '-->')),
+k as (select *, list_position(list_transform(l, lambda x: contains(x, '-->')), true) pos from c),
+m as (select *, string_split(l[pos], '-->') parts, array_to_string(l[pos + 1:], chr(10)) said from k),
+x as (select doc_id, cue, {cue_seconds("parts[1]")} as start, {cue_seconds(f"string_split_regex(trim(parts[2]), '{SPACE}+')[1]")} as "end", array_to_string({TIDY.format(ENTITIES)}, chr(10)) as text from m)
+select doc_id, cue::int cue, round(start, 3) as start, round("end", 3) as "end", text from x where "end" > start and text <> ''"""
