@@ -100,9 +100,18 @@ def drawtext_escape(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(text), r"([\\:',%])", r"\\$1"), r"\r?\n", r"\\n")
 
 
+#: Blanks of any script, as subtitle files hold them.
+BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
+def strip_blanks(text: Column | str) -> Column:
+    """Text without outer blanks of any script."""
+    return F.regexp_replace(_c(text), f"^{BLANK}+|{BLANK}+$", "")
+
+
 def subtitle_seconds(text: Column | str) -> Column:
     """Seconds of ``[h:]m:s[.,]ms``; null if it doesn't read as a time."""
-    t = F.trim(_c(text))
+    t = strip_blanks(text)
     pattern = r"^(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[.,](\d{1,3}))?"
     part = lambda k: F.coalesce(F.nullif(F.regexp_extract(t, pattern, k), F.lit("")), F.lit("0"))
     ms = F.rpad(part(4), 3, "0")
@@ -115,7 +124,7 @@ def clean_subtitle(text: Column | str) -> Column:
     t = F.regexp_replace(_c(text), r"<[^>]+>", "")
     for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         t = F.regexp_replace(t, "(?i)" + a, b)
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), strip_blanks), lambda x: x != "")
     return F.array_join(lines, "\n")
 
 

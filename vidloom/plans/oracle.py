@@ -391,19 +391,30 @@ w as (select video_id, 1 step, [1::bigint] picked, list_transform(sims, lambda x
 select p.video_id, p.pos frame_pos from w join pool p on p.video_id = w.video_id and list_contains(picked, p.i) where step = least(16, len(closest))"""
 
 
+SPACE = r"[ \t\n\x0B\f\r\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def bare(c: str) -> str:
+    return f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
 def cue_seconds(c: str) -> str:
     pattern = r"'^(?:([0-9]+):)?([0-9]{1,2}):([0-9]{1,2})(?:[.,]([0-9]{1,3}))?'"
-    part = lambda k: f"coalesce(nullif(regexp_extract(trim({c}), {pattern}, {k}), ''), '0')"
-    return f"(case when regexp_matches(trim({c}), {pattern}) then {part(1)}::int * 3600 + {part(2)}::int * 60 + {part(3)}::int + rpad({part(4)}, 3, '0')::double / 1000 end)"
+    part = lambda k: f"coalesce(nullif(regexp_extract({bare(c)}, {pattern}, {k}), ''), '0')"
+    return f"(case when regexp_matches({bare(c)}, {pattern}) then {part(1)}::int * 3600 + {part(2)}::int * 60 + {part(3)}::int + rpad({part(4)}, 3, '0')::double / 1000 end)"
+
+
+
+
+def tidy(c: str) -> str:
+    return f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: {bare('x')}), lambda x: x <> '')"
 
 
-SPACE = r"[ \t\n\x0B\f\r]"
-TIDY = rf"list_filter(list_transform(string_split({{0}}, chr(10)), lambda x: trim(regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g'))), lambda x: x <> '')"
 ENTITIES = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(said, '<[^>]+>', '', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g')"
 SQL["subtitle_cues"] = rf"""with t as (select doc_id, regexp_replace(regexp_replace(ltrim(text, chr(65279)), '\r\n?', chr(10), 'g'), '(?i)^WEBVTT[^\n]*(\n|$)', '') body from documents where text is not null),
 b as (select doc_id, unnest(range(len(l))) cue, unnest(l) block from (select doc_id, string_split_regex(body, '\n{{2,}}') l from t)),
-c as (select doc_id, cue, {TIDY.format("block")} l from b where contains(block, '-->')),
+c as (select doc_id, cue, {tidy("block")} l from b where contains(block, '-->')),
 k as (select *, list_position(list_transform(l, lambda x: contains(x, '-->')), true) pos from c),
 m as (select *, string_split(l[pos], '-->') parts, array_to_string(l[pos + 1:], chr(10)) said from k),
-x as (select doc_id, cue, {cue_seconds("parts[1]")} as start, {cue_seconds(f"string_split_regex(trim(parts[2]), '{SPACE}+')[1]")} as "end", array_to_string({TIDY.format(ENTITIES)}, chr(10)) as text from m)
+x as (select doc_id, cue, {cue_seconds("parts[1]")} as start, {cue_seconds(f"string_split_regex({bare('parts[2]')}, '{SPACE}+')[1]")} as "end", array_to_string({tidy(ENTITIES)}, chr(10)) as text from m)
 select doc_id, cue::int cue, round(start, 3) as start, round("end", 3) as "end", text from x where "end" > start and text <> ''"""

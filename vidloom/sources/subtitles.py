@@ -25,12 +25,12 @@ def timed_cues(files: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     body = F.regexp_replace(_normal(text), "(?i)^WEBVTT[^\n]*(?:\n|$)", "")
     blocks = files.select(F.col(key).alias("k"), F.posexplode(F.split(body, "\n{2,}")).alias("cue", "block")).where(F.contains("block", F.lit("-->")))
-    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("block", "\n"), T.strip_blanks), lambda x: x != "")
     b = blocks.select("k", "cue", lines.alias("l"))
     at = F.array_position(F.transform("l", lambda x: F.contains(x, F.lit("-->"))), True).cast("int")
     b = b.withColumn("at", at).withColumn("time", F.get("l", F.col("at") - 1))
     start = T.subtitle_seconds(F.get(F.split("time", "-->"), F.lit(0)))
-    end = T.subtitle_seconds(F.get(F.split(F.trim(F.get(F.split("time", "-->"), F.lit(1))), r"\s+"), F.lit(0)))
+    end = T.subtitle_seconds(F.get(F.split(T.strip_blanks(F.get(F.split("time", "-->"), F.lit(1))), f"{T.BLANK}+"), F.lit(0)))
     said = T.clean_subtitle(F.array_join(F.slice("l", F.col("at") + 1, F.size("l")), "\n"))
     cues = b.select(F.col("k").alias(key), "cue", start.alias("start"), end.alias("end"), said.alias("text"))
     return cues.where((F.col("end") > F.col("start")) & (F.col("text") != ""))
