@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
 from ..operators import sorted_arrays as A
+from ..operators.heaps import best_k
 from ..operators.skew import HOT_KEYS
 from ..session import Scratch, rows_of
 
@@ -73,7 +73,7 @@ def classes(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, Da
     """
     keyed = _keyed(vectors)
     members = scratch.table(keyed.select("id", "k1", "k2").distinct(), "members")
-    facts = members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), InternalFunction.collect_top_k(F.col("id"), k + 1, True).alias("ids"))
+    facts = members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), best_k(F.col("id"), k + 1, True).alias("ids"))
     facts = facts.select("k1", "k2", "n", F.array_sort("ids").alias("ids")).withColumn("rep", F.col("ids")[0])
     return members, scratch.table(facts.join(keyed.groupBy("k1", "k2").agg(F.first("v").alias("v")), ["k1", "k2"]), "classes")
 
@@ -325,7 +325,7 @@ def _compared(cls: DataFrame, dense: DataFrame, k: int, scratch: Scratch, block:
 
     both = asks.mapInArrow(spread(True), fields).unionAll(near.mapInArrow(spread(False), fields))
     got = A.by_range(both, parts).select("unit", "rep", "v", "b").mapInArrow(compare, "i bigint, j bigint, s double")
-    got = got.groupBy("i").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("j")).alias("j")), keep, False).alias("x"))
+    got = got.groupBy("i").agg(best_k(F.struct("s", (-F.col("j")).alias("j")), keep, False).alias("x"))
     return got.select("i", F.explode("x").alias("x")).select("i", (-F.col("x.j")).alias("j"))
 
 
@@ -387,11 +387,11 @@ def neighbours(frames: DataFrame, k: int = 5, min_similarity: float = -1.0, tree
 def _expand(pairs: DataFrame, members: DataFrame, facts: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """From pairs of classes to neighbours of members. Classes without a partner and with one member have none."""
     sides = pairs.select(F.col("i").alias("c"), F.col("j").alias("d"), "s").unionAll(pairs.select("j", "i", "s"))
-    best = sides.groupBy("c").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("d")).alias("d")), k, False).alias("near"))
+    best = sides.groupBy("c").agg(best_k(F.struct("s", (-F.col("d")).alias("d")), k, False).alias("near"))
     best = best.select("c", F.explode("near").alias("x")).select("c", (-F.col("x.d")).alias("d"), F.col("x.s").alias("s"))
     others = best.join(facts.select(F.col("rep").alias("d"), "ids"), "d").select("c", F.explode("ids").alias("o"), "s")
     own = facts.where("n > 1").select(F.col("rep").alias("c"), F.explode("ids").alias("o"), F.lit(1.0).alias("s"))
-    lists = others.unionAll(own).groupBy("c").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("o")).alias("o")), k + 1, False).alias("near"))
+    lists = others.unionAll(own).groupBy("c").agg(best_k(F.struct("s", (-F.col("o")).alias("o")), k + 1, False).alias("near"))
     lists = facts.select("k1", "k2", "rep", "n").join(lists, F.col("rep") == F.col("c")).select("k1", "k2", "n", "near")
     lists = scratch.table(lists, "lists")
     total = rows_of(members)
@@ -467,10 +467,10 @@ def search(frames: DataFrame, queries: DataFrame, k: int = 5, trees: int = 24, s
     rows_df = A.by_range(base.mapInArrow(spread, "part int, key bigint, id bigint, q binary, level tinyint"), parts * trees)
     near = rows_df.select("key", "id", "q", "level").mapInArrow(look, "i bigint, j bigint, s double")
     # The int8 order decides which candidates are compared exactly: four times as many as are wanted.
-    near = near.groupBy("i", "j").agg(F.max("s").alias("s")).groupBy("i").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("j")).alias("j")), keep, False).alias("x"))
+    near = near.groupBy("i", "j").agg(F.max("s").alias("s")).groupBy("i").agg(best_k(F.struct("s", (-F.col("j")).alias("j")), keep, False).alias("x"))
     near = near.select("i", F.explode("x").alias("x")).select("i", (-F.col("x.j")).alias("j"))
     exact = near.join(vectors.select(F.col("id").alias("j"), F.col("v").alias("w")), "j")
     exact = exact.join(base.where("asks").select(F.col("id").alias("i"), "v"), "i")
-    heaps = _cosines(exact.select("i", "j", "v", "w")).groupBy("i").agg(InternalFunction.collect_top_k(F.struct("s", (-F.col("j")).alias("j")), k, False).alias("x"))
+    heaps = _cosines(exact.select("i", "j", "v", "w")).groupBy("i").agg(best_k(F.struct("s", (-F.col("j")).alias("j")), k, False).alias("x"))
     out = heaps.select("i", F.posexplode("x").alias("rank", "x"))
     return out.select(F.col("i").alias("id"), (F.col("rank") + 1).alias("rank"), (-F.col("x.j")).alias("neighbour"), F.col("x.s").alias("similarity"))

@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
 from ..operators import sorted_arrays as A
+from ..operators.heaps import best_k
 from ..session import Scratch, rows_of
 from .components import contract
 
@@ -502,7 +502,7 @@ def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, leas
 
 def describe(clusters: DataFrame, typical: int = 5) -> DataFrame:
     """Per cluster its ``size`` and ``typical`` most typical members (``rank``, ``id``, ``similarity``)."""
-    heap = InternalFunction.collect_top_k(F.struct("similarity", (-F.col("id")).alias("i")), typical, False)
+    heap = best_k(F.struct("similarity", (-F.col("id")).alias("i")), typical, False)
     top = clusters.groupBy("cluster").agg(F.max("size").alias("size"), heap.alias("x"))
     top = top.select("cluster", "size", F.posexplode("x").alias("rank", "x"))
     return top.select("cluster", "size", (F.col("rank") + 1).alias("rank"), (-F.col("x.i")).alias("id"), F.col("x.similarity").alias("similarity"))

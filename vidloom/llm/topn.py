@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
+
+from ..operators.heaps import best_k
 
 
 def top_n(df: DataFrame, group: list[str], score: str, tie: list[str], n: int, limit: str | None = None, heap: str = "heap") -> DataFrame:
@@ -19,7 +20,7 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: list[str], n: int, l
     score_c: Column = F.col(score).cast("double")
     rows = df.where(score_c.isNotNull() & ~F.isnan(score_c) & F.col(tie[-1]).isNotNull())
     entry = F.struct(score_c.alias("s"), *[(-F.col(t)).alias(f"t{i}") for i, t in enumerate(tie)])
-    heaps = rows.groupBy(*group).agg(InternalFunction.collect_top_k(entry, n, False).alias("__h"))
+    heaps = rows.groupBy(*group).agg(best_k(entry, n, False).alias("__h"))
     back = F.transform("__h", lambda x: F.struct(x["s"].alias(score), *[(-x[f"t{i}"]).alias(t) for i, t in enumerate(tie)]))
     return heaps.select(*group, back.alias(heap))
 
