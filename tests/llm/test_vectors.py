@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vidloom.llm import forest, scenes
 from vidloom.operators import sorted_arrays as A
+from vidloom.session import Scratch
 
 SCHEMA = "frame_id bigint, embedding array<float>"
 
@@ -205,3 +206,29 @@ def test_matches_reach_across_the_blocks_of_a_bucket():
 
 def test_wider_bands_for_more_rows():
     assert scenes._bands(140_000) == (8, 4) and scenes._bands(1_000_000) == (18, 5) and scenes._bands(10**9)[1] == scenes.VALUES
+
+
+def test_buckets_of_directions_stay_small_with_few_bands():
+    u = unit(np.random.default_rng(4).normal(size=(20_000, 64))).astype(np.float32)
+    for rows in (140_000, 1_000_000, 4_800_000):
+        bands, axes = scenes._directions(rows)
+        n = np.unique(scenes.buckets_of(u, axes, 1), return_counts=True)[1]
+        assert bands <= 25 and rows * ((n * (n - 1)).sum() / len(u) ** 2) < 2 * scenes.BUCKET_ROWS  # the two bases depend on each other
+
+
+def test_small_scenes_are_in_thorough_bands_and_a_few_near_copies_are_no_nuclei(spark):
+    rng = np.random.default_rng(6)
+    m, copies = unit(rng.normal(size=(10, 1, 64))), rng.normal(size=(40, 1, 64))
+    e = rng.normal(size=(10, 20, 64))
+    e -= (e * m).sum(axis=2, keepdims=True) * m
+    e /= np.linalg.norm(e, axis=2, keepdims=True)
+    x = unit(np.concatenate([(0.78 * m + 0.6258 * e).reshape(-1, 64), (copies + 0.05 * rng.normal(size=(40, 5, 64))).reshape(-1, 64), rng.normal(size=(2000, 64))]))
+    df = spark.createDataFrame([(i, v.astype("<f4").tobytes()) for i, v in enumerate(x)], "id bigint, v binary")
+    for rows in (140_000, 4_800_000):
+        bands, axes = scenes._directions(rows)
+        found = scenes._sets(df, list(range(bands)), axes, 2, 5, 500).select("sets").mapInArrow(scenes._set_matches(0.53, 3, 5), scenes.STARS)
+        got = scenes._nuclei(found, 10, 0.72, Scratch(spark, "test"))
+        of = got[1].toPandas().query("id < 200").groupby("k")["id"].apply(lambda s: set(s // 20))
+        assert set.union(*of) == set(range(10)) and got[0].count() <= 12
+        k, v = scenes._vectors_of(got[0], "k")
+        assert (((unit(v) @ m[:, 0].T).max(axis=0)) > 0.9).all()

@@ -1,8 +1,11 @@
 """Clusters of mutually similar vectors, each with its size and most typical members.
 
-A vector is the set of the signs of 256 random projections. MinHash banding puts
-vectors of similar sets into the same bucket; in a bucket the exact Jaccard
-similarity decides which vectors match. Matches are kept as stars: in a block of
+A vector is the set of the signs of 256 random projections. A band puts vectors that
+point most along the same random directions into the same bucket, whose rows are in
+MinHash order where it is too large to be compared whole; in a bucket the exact Jaccard
+similarity decides which vectors match. Unrelated vectors agree in a MinHash value of such
+sets one time in three, in a strongest direction one time in 128, so buckets of directions
+stay small with few bands. Matches are kept as stars: in a block of
 a bucket the vector of highest degree (the medoid) takes its matches, then the
 next one among those that are left, so a bucket of m rows gives fewer than m
 links. What the blocks of a bucket leave over is compared block against block.
@@ -38,13 +41,22 @@ PROJECTIONS = 256
 VALUES = 7
 #: Rows up to which a band has 4 values; one more for each further factor of 3, to which unrelated buckets shrink.
 BAND_ROWS = 400_000
+#: Unrelated rows of a bucket of directions, were they spread evenly, up to which it isn't divided further; measured: up to twice as many.
+BUCKET_ROWS = 300
+STARS = "id bigint, medoid bigint, degree bigint, total binary"
+#: A row of a thorough band: its bucket, its id and its set.
+SET_ROW = np.dtype([("key", "<i4"), ("id", "<i8"), ("set", f"V{PROJECTIONS // 8}")])
 #: Mean directions that are compared with vectors at once; more are taken in several passes.
 MEANS_PER_PASS = 8192
 
 
+def _projections(seed: int) -> np.ndarray:
+    return np.concatenate(A.planes(PROJECTIONS // A.DIMS, A.DIMS, A.DIMS, seed), axis=1)
+
+
 def signs(u: np.ndarray, seed: int) -> np.ndarray:
     """The set of a vector: token 2i + 1 if projection i is positive, else token 2i."""
-    return u @ np.concatenate(A.planes(PROJECTIONS // A.DIMS, A.DIMS, A.DIMS, seed), axis=1) > 0
+    return u @ _projections(seed) > 0
 
 
 def band_keys(s: np.ndarray, seed: int) -> np.ndarray:
@@ -84,7 +96,8 @@ def stars(agree: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
 
 
 def _bands(rows: int) -> tuple[int, int]:
-    """Number of bands and of values per band: wider ones for many rows, so that buckets don't grow with them, and as
+    """For bands of MinHash values alone, which the rounds don't use because they need so many (see ``_directions``):
+    number of bands and of values per band: wider ones for many rows, so that buckets don't grow with them, and as
     many more as make up for the chance that two rows of a small scene have a member of it in their bucket (2.3 per value)."""
     wider = 0
     while rows > BAND_ROWS * 3**wider and wider < VALUES - 4:
@@ -92,8 +105,34 @@ def _bands(rows: int) -> tuple[int, int]:
     return round(8 * 2.3**wider), 4 + wider
 
 
-def _banded(left: DataFrame, bands: list[int], width: int, parts: int, seed: int) -> DataFrame:
-    """``key``, ``id``, ``q`` of the vectors that are left, once per band; a bucket is in one partition."""
+def _directions(rows: int) -> tuple[int, int]:
+    """Number of bands and of axes of the second direction of a bucket: more axes for more rows, so that buckets don't
+    grow with them, and more bands as a small scene has fewer members in one bucket (1.23 times for twice the axes)."""
+    k = 0
+    while rows > BUCKET_ROWS * 8 * A.DIMS * 2**k and k < 5:
+        k += 1
+    return round(9 * 1.23**k), 2 << k
+
+
+def buckets_of(u: np.ndarray, axes: int, seed: int) -> np.ndarray:
+    """The strongest of the 128 directions of a random basis and of the ``2 * axes`` of another one, as one number."""
+    out = np.zeros(len(u), np.int64)
+    for basis, n in zip(A.planes(2, A.DIMS, A.DIMS, seed), (A.DIMS, axes), strict=True):
+        p = u @ basis[:, :n]
+        k = np.abs(p).argmax(axis=1)
+        out = (out << 7) | 2 * k + (p[np.arange(len(u)), k] > 0)
+    return out
+
+
+def _part_of(buckets: np.ndarray, parts: int, band: int) -> np.ndarray:
+    return ((A.mixed(buckets) >> np.uint64(17)) % np.uint64(parts)).astype(np.int32) + np.int32(band * parts)
+
+
+def _banded(left: DataFrame, bands: list[int], axes: int, parts: int, seed: int) -> DataFrame:
+    """``key``, ``id``, ``q`` of the vectors that are left, once per band; a bucket is in one partition.
+
+    The key is the bucket, then five MinHash values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -102,14 +141,45 @@ def _banded(left: DataFrame, bands: list[int], width: int, parts: int, seed: int
             u, ids = A.matrix(x.column("v"), "<f4", A.DIMS), x.column("id")
             s, q = signs(u, seed), A.binary(A.quantized(u))
             for t, b in enumerate(bands):
-                keys = band_keys(s, b)
-                bucket = A.mixed(keys >> (9 * (VALUES - width))) >> np.uint64(17)
-                part = (bucket % np.uint64(parts)).astype(np.int32) + np.int32(t * parts)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), ids, q], names=["part", "key", "id", "q"])
+                bucket = buckets_of(u, axes, b)
+                keys = (bucket << 45) | (band_keys(s, b) >> 18)
+                yield pa.RecordBatch.from_arrays([pa.array(_part_of(bucket, parts, t)), pa.array(keys), ids, q], names=["part", "key", "id", "q"])
 
     return A.by_range(left.mapInArrow(run, "part int, key bigint, id bigint, q binary"), parts * len(bands))
 
 
+def _sets(left: DataFrame, bands: list[int], axes: int, parts: int, seed: int, rows: int = 65_536) -> DataFrame:
+    """The sets of the vectors that are left, once per band: as ``SET_ROW``s, those for one partition of a task together."""
+
+    def packed(x: pa.Table) -> Iterator[pa.RecordBatch]:
+        u = A.matrix(x.column("v"), "<f4", A.DIMS)
+        out = np.empty(len(u), SET_ROW)
+        out["id"] = x.column("id").to_numpy()
+        out["set"] = np.packbits(signs(u, seed), axis=1).view(SET_ROW["set"])[:, 0]
+        for t, b in enumerate(bands):
+            bucket = buckets_of(u, axes, b)
+            part = _part_of(bucket, parts, t)
+            out["key"] = bucket
+            order = np.argsort(part, kind="stable")
+            first = np.flatnonzero(np.diff(part[order], prepend=-1))
+            ends = (np.append(first, len(u)) * SET_ROW.itemsize).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(out[order].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][first]), blobs], names=["part", "sets"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for x in batches:
+            if x.num_rows:
+                held.append(x)
+            if sum(h.num_rows for h in held) >= rows:
+                yield from packed(A.whole(iter(held)))
+                held = []
+        if held:
+            yield from packed(A.whole(iter(held)))
+
+    return A.by_range(left.mapInArrow(run, "part int, sets binary"), parts * len(bands))
+
+
 def _far(left: DataFrame, means: np.ndarray, near: float) -> DataFrame:
     """The vectors that are ``near`` none of the means."""
 
@@ -123,8 +193,6 @@ def _far(left: DataFrame, means: np.ndarray, near: float) -> DataFrame:
 
 def _matches(rows: int, jaccard: float, least: int, seed: int, across: bool = True, block: int = 512) -> object:
     """Stars of the sorted buckets, of larger ones ``across`` their blocks: rows ``(id, medoid)`` and, per medoid, its degree and summed vector."""
-    # |A and B| / |A or B| for sets with one token per projection: agreement p gives p / (2 - p).
-    agreement = 2 * jaccard / (1 + jaccard) * PROJECTIONS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = A.whole(batches)
@@ -132,55 +200,85 @@ def _matches(rows: int, jaccard: float, least: int, seed: int, across: bool = Tr
             return
         keys = got.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
-        buckets = keys[order] >> (9 * (VALUES - rows))
-        ids = got.column("id").to_numpy()[order]
         q = A.matrix(got.column("q"), "i1", A.DIMS)
-        who, star, deg, sums, heads = [], [], [], [], []
-        ends = np.append(np.flatnonzero(np.diff(buckets)) + 1, len(ids))
-        free, at = np.ones(len(ids), bool), {}
-
-        def add(medoid: int, took: np.ndarray) -> None:
-            free[took] = False
-            total = A.unit(q[order[took]]).sum(axis=0)
-            if ids[medoid] in at:
-                k = at[ids[medoid]]
-                who[k], star[k] = np.append(who[k], ids[took]), np.append(star[k], np.full(len(took), ids[medoid]))
-                deg[k], sums[k] = deg[k] + len(took), sums[k] + total
-                return
-            at[ids[medoid]] = len(heads)
-            who.append(ids[took])
-            star.append(np.full(len(took), ids[medoid]))
-            heads.append(ids[medoid])
-            deg.append(len(took))
-            sums.append(total)
+
+        def vectors(rows: np.ndarray) -> np.ndarray:
+            return A.unit(q[order[rows]])
 
         def values(rows: np.ndarray) -> np.ndarray:
-            return np.where(signs(A.unit(q[order[rows]]), seed), np.float32(1), np.float32(-1))
-
-        a = 0
-        while a < len(ids):
-            begin, end = np.searchsorted(buckets, buckets[a]), ends[np.searchsorted(ends, a, "right")]
-            large = end - begin > block
-            # As many whole buckets as a block takes; a larger bucket goes block by block.
-            z = min(end, a + block) if large else ends[np.searchsorted(ends, a + block, "right") - 1]
-            s = values(np.arange(a, z))
-            agree = (s @ s.T + PROJECTIONS) / 2 >= agreement
-            agree &= buckets[a:z, None] == buckets[None, a:z]
-            for medoid, took in stars(agree, least):
-                add(a + medoid, a + took)
-            if across and large and z == end:
-                medoids = begin + np.flatnonzero([i in at for i in ids[begin:end]])
-                _across(begin + np.flatnonzero(free[begin:end]), medoids, values, add, agreement, least, 4 * block)
-            a = z
-        if heads:
-            n, m = sum(map(len, who)), len(heads)
-            none = pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(star)), *none], names=["id", "medoid", "degree", "total"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(np.array(heads)), pa.array(np.array(deg, dtype=np.int64)), A.binary(np.array(sums, dtype="<f4"))], names=["id", "medoid", "degree", "total"])
+            return np.where(signs(vectors(rows), seed), np.float32(1), np.float32(-1))
+
+        yield from _stars_of(keys[order] >> (9 * (VALUES - rows)), got.column("id").to_numpy()[order], values, vectors, jaccard, least, across, block)
 
     return run
 
 
+def _set_matches(jaccard: float, least: int, seed: int, block: int = 512) -> object:
+    """As ``_matches``, for ``_sets``. A vector is put together from its set, which gives it with some noise."""
+    # A projection of a unit vector is as long as this in the mean.
+    back = _projections(seed).T / np.float32(PROJECTIONS * np.sqrt(2 / (np.pi * A.DIMS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.frombuffer(v.as_buffer(), SET_ROW) for x in batches for v in x.column("sets")]
+        if not got:
+            return
+        got = np.concatenate(got)
+        got = got[np.argsort(got["key"], kind="stable")]
+        sets = np.ascontiguousarray(got["set"]).view(np.uint8).reshape(len(got), -1)
+
+        def values(rows: np.ndarray) -> np.ndarray:
+            return np.unpackbits(sets[rows], axis=1).astype(np.float32) * 2 - 1
+
+        yield from _stars_of(got["key"], np.ascontiguousarray(got["id"]), values, lambda rows: values(rows) @ back, jaccard, least, True, block)
+
+    return run
+
+
+def _stars_of(buckets: np.ndarray, ids: np.ndarray, values: object, vectors: object, jaccard: float, least: int, across: bool, block: int) -> Iterator[pa.RecordBatch]:
+    """``values`` and ``vectors`` give the signs (1 or -1) and the vectors of rows, which are in order of their buckets."""
+    # |A and B| / |A or B| for sets with one token per projection: agreement p gives p / (2 - p).
+    agreement = 2 * jaccard / (1 + jaccard) * PROJECTIONS
+    who, star, deg, sums, heads = [], [], [], [], []
+    ends = np.append(np.flatnonzero(np.diff(buckets)) + 1, len(ids))
+    free, at = np.ones(len(ids), bool), {}
+
+    def add(medoid: int, took: np.ndarray) -> None:
+        free[took] = False
+        total = vectors(took).sum(axis=0)
+        if ids[medoid] in at:
+            k = at[ids[medoid]]
+            who[k], star[k] = np.append(who[k], ids[took]), np.append(star[k], np.full(len(took), ids[medoid]))
+            deg[k], sums[k] = deg[k] + len(took), sums[k] + total
+            return
+        at[ids[medoid]] = len(heads)
+        who.append(ids[took])
+        star.append(np.full(len(took), ids[medoid]))
+        heads.append(ids[medoid])
+        deg.append(len(took))
+        sums.append(total)
+
+    a = 0
+    while a < len(ids):
+        begin, end = np.searchsorted(buckets, buckets[a]), ends[np.searchsorted(ends, a, "right")]
+        large = end - begin > block
+        # As many whole buckets as a block takes; a larger bucket goes block by block.
+        z = min(end, a + block) if large else ends[np.searchsorted(ends, a + block, "right") - 1]
+        s = values(np.arange(a, z))
+        agree = (s @ s.T + PROJECTIONS) / 2 >= agreement
+        agree &= buckets[a:z, None] == buckets[None, a:z]
+        for medoid, took in stars(agree, least):
+            add(a + medoid, a + took)
+        if across and large and z == end:
+            medoids = begin + np.flatnonzero([i in at for i in ids[begin:end]])
+            _across(begin + np.flatnonzero(free[begin:end]), medoids, values, add, agreement, least, 4 * block)
+        a = z
+    if heads:
+        n, m = sum(map(len, who)), len(heads)
+        none = pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(star)), *none], names=["id", "medoid", "degree", "total"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(np.array(heads)), pa.array(np.array(deg, dtype=np.int64)), A.binary(np.array(sums, dtype="<f4"))], names=["id", "medoid", "degree", "total"])
+
+
 def _across(rest: np.ndarray, medoids: np.ndarray, values: object, add: object, agreement: float, least: int, block: int) -> None:
     """What the blocks of a bucket left over: rows that match a medoid join its star, the others make new stars."""
     rows = np.sort(np.concatenate([rest, medoids]))
@@ -279,7 +377,10 @@ def _nuclei(stars_df: DataFrame, least_rows: int, tight: float, scratch: Scratch
     chains = spans.where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
     labels = contract(chains, scratch, seed=4211)
     heads = stars_df.where("id is null").select("medoid", "degree", "total")
-    heads = scratch.table(heads.join(labels, heads["medoid"] == labels["v"], "left").select("medoid", F.coalesce("root", "medoid").alias("root"), "degree", "total"), "stars")
+    heads = heads.join(labels, heads["medoid"] == labels["v"], "left").select("medoid", F.coalesce("root", "medoid").alias("root"), "degree", "total")
+    # A few near copies meet in every band, so their degrees add up; their number of rows doesn't.
+    held = spans.join(labels, spans["a"] == labels["v"], "left").groupBy(F.coalesce("root", "a").alias("root")).count().where(F.col("count") >= 4 * least_rows // 5)
+    heads = scratch.table(heads.join(held, "root", "left_semi"), "stars")
     norm = F.sqrt(sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(A.DIMS)), F.lit(0.0)))
     comps = scratch.table(_add_vectors(heads, "root").withColumn("bundle", norm / F.col("degree")), "components")
     loose = comps.where(F.col("bundle") < tight).select(F.col("k").alias("root"))
@@ -447,11 +548,14 @@ def scenes(frames: DataFrame, similarity: float = 0.77, apart: float = 0.6, leas
     grouped: list[tuple[DataFrame, DataFrame]] = []
     while left:
         # The first round only takes out the frequent scenes. The later ones see fewer rows, and find the small scenes.
-        count, width = (2, 4) if turn == 0 else _bands(left)
-        bands = [seed * 1000 + turn * 100 + b for b in range(count)]
+        count, axes = _directions(left)
+        bands = [seed * 1000 + turn * 100 + b for b in range(count if turn else 2)]
         parts = max(1, -(-left // rows_per_part))
-        rows_df = _banded(todo, bands, width, parts, seed + turn)
-        found = scratch.table(rows_df.select("key", "id", "q").mapInArrow(_matches(width, jaccard, 3, seed + turn, turn > 0), "id bigint, medoid bigint, degree bigint, total binary"), "stars")
+        if turn == 0:
+            found = _banded(todo, bands, axes, parts, seed).select("key", "id", "q").mapInArrow(_matches(2, jaccard, 3, seed, False), STARS)
+        else:
+            found = _sets(todo, bands, axes, parts, seed + turn).select("sets").mapInArrow(_set_matches(jaccard, 3, seed + turn), STARS)
+        found = scratch.table(found, "stars")
         nuclei, members = _nuclei(found, least_rows // 2, 0.72, scratch)
         scratch.drop(found)
         sizes, sums = _condense(nuclei, (1 + apart) / 2, scratch)
