@@ -232,3 +232,25 @@ def test_small_scenes_are_in_thorough_bands_and_a_few_near_copies_are_no_nuclei(
         assert set.union(*of) == set(range(10)) and got[0].count() <= 12
         k, v = scenes._vectors_of(got[0], "k")
         assert (((unit(v) @ m[:, 0].T).max(axis=0)) > 0.9).all()
+
+
+def test_small_groups_that_do_not_match_make_no_scene_together(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a = unit(rng.normal(size=(40, 64)))
+    e = rng.normal(size=(40, 64))
+    e = unit(e - (e * a).sum(axis=1, keepdims=True) * a)
+    centres = np.concatenate([a, 0.52 * a + np.sqrt(1 - 0.52**2) * e])  # each cosine 0.87 to the mean of its pair
+    copies = unit(centres[:, None] + 0.02 * rng.normal(size=(80, 11, 64)))
+    m = unit(rng.normal(size=(1, 64)))
+    x = np.concatenate([unit(m + 0.08 * rng.normal(size=(30, 64))), copies.reshape(-1, 64)])
+    rounds = []
+    thorough = scenes._sets
+    monkeypatch.setattr(scenes, "_sets", lambda *a: rounds.append(1) or thorough(*a))
+    got = {(r.id, r.cluster) for r in scenes.scenes(table(spark, x)).collect()}
+    assert got == {(i, 0) for i in range(30)} and len(rounds) <= 3
+
+
+def test_pieces_of_a_scene():
+    u = unit(np.eye(64)[[0] * 12 + [1] * 12] + 0.5)
+    assert not scenes.in_one_piece(u, float(u[0] @ u[23]) + 0.01, 20) and scenes.in_one_piece(u, float(u[0] @ u[23]) - 0.01, 20)
+    assert scenes.in_one_piece(u, 0.99, 12) and not scenes.in_one_piece(u[:0], 0.5, 1)
